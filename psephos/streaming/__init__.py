@@ -1,0 +1,8 @@
+"""Streaming: not applicable.
+
+The reference reads static tables once and serves queries over them; it has
+no streams, watermarks, windows over time or state.  Every operator in this
+package is a plain DataFrame plan, so it also runs unchanged inside
+``foreachBatch`` of a Structured Streaming query if entries ever arrive as a
+stream, but no streaming operator is part of the reference's work.
+"""
