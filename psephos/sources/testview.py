@@ -143,7 +143,7 @@ _BUILT: dict[tuple[str, str], tuple[str, str]] = {}
 _VIEW_INPUTS = ("lineitem", "orders", "customer", "supplier", "nation")
 
 
-def _fingerprint(sf_dir: str) -> str:
+def view_fingerprint(sf_dir: str) -> str:
     h = hashlib.sha1(os.path.realpath(sf_dir).encode())
     for name in _VIEW_INPUTS:
         path = f"{sf_dir.rstrip('/')}/{name}.parquet"
@@ -164,7 +164,7 @@ def contest_tables(spark: SparkSession, sf_dir: str) -> ContestTables:
     written too, like the reference's tables.  The folder is the session's
     ``spark.checkpoint.dir``; a local one is set only when none is (tests).
     """
-    key = (spark.sparkContext.applicationId, _fingerprint(sf_dir))
+    key = (spark.sparkContext.applicationId, view_fingerprint(sf_dir))
     if key not in _BUILT:
         if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
             ensure_shared_dir(spark, tempfile.mkdtemp(prefix="psephos-shared-", dir="/tmp"))
