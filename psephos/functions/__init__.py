@@ -2,7 +2,6 @@
 
 from psephos.functions.columns import (
     col_or,
-    finish_key,
     pct,
     ratio,
     nan_to_null,
@@ -18,7 +17,6 @@ from psephos.functions.text import (
 
 __all__ = [
     "col_or",
-    "finish_key",
     "pct",
     "ratio",
     "nan_to_null",

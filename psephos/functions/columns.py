@@ -50,16 +50,3 @@ def rank_window(keys: Sequence[str], votes: str = "total_votes", tie_breakers: S
     """Window over one contest in finish order."""
     return Window.partitionBy(*keys).orderBy(*rank_order(votes, tie_breakers))
 
-
-def finish_key(votes: str = "total_votes", tie_breakers: Sequence[str] = ("sn", "candidate")) -> Column:
-    """Orderable struct whose minimum is the entry that finishes first in a contest.
-
-    Same order as ``rank_order``: votes descending with nulls last, then the
-    tie-breakers ascending with nulls last.  ``bitwise_not`` reverses the vote
-    order without the overflow a negation could hit.  For ``min_by``.
-    """
-    v = F.col(votes)
-    parts = [v.isNull(), F.bitwise_not(v)]
-    for t in tie_breakers:
-        parts += [F.col(t).isNull(), F.col(t)]
-    return F.struct(*parts)

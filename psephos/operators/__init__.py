@@ -3,7 +3,7 @@
 from psephos.operators.enrich import enrich, enrich_summary
 from psephos.operators.lookup import contest_detail, search_contests
 from psephos.operators.margins import close_contests, contest_margins
-from psephos.operators.matchups import finishers, head_to_head, opponents, relevant_parties
+from psephos.operators.matchups import contest_winner_party, finishers, head_to_head, opponents, relevant_parties
 from psephos.operators.nota import nota_by_contest, nota_summary
 from psephos.operators.positions import party_profile, party_profiles
 from psephos.operators.summary import (
@@ -25,6 +25,7 @@ __all__ = [
     "search_contests",
     "close_contests",
     "contest_margins",
+    "contest_winner_party",
     "finishers",
     "head_to_head",
     "opponents",

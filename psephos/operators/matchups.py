@@ -4,7 +4,8 @@ No operator here joins entries with entries.  Opponent counts are the
 number of (subject entry, opponent entry) pairs sharing a contest; they are
 computed as the sum over contests of n_subject * n_opponent after both sides
 are collapsed to one row per (contest, party), so the pairs are never made.
-Head to head is a single conditional aggregate per contest.
+Head to head is one conditional hash aggregate over the two parties' rows,
+joined to the winner of each contest (both sides one row per contest).
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from psephos.functions.columns import finish_key
+from psephos.functions.columns import rank_window
 from psephos.schema import CONTEST_KEY, IND_SHORT, PARTY_SCOPE
 
 
@@ -70,27 +71,50 @@ def opponents(
     )
 
 
+def contest_winner_party(enriched: DataFrame, keys: Sequence[str] = CONTEST_KEY) -> DataFrame:
+    """(contest key, actual_winner): the party of the first-placed entry among the winner-flagged ones.
+
+    Only winner-flagged rows take part (about one per contest, a few on ties),
+    and a top-1 window picks the first by ballot order, so a tie still gives
+    one row per contest.  A contest whose votes are all null has no winner.
+    """
+    keys = list(keys)
+    return (
+        enriched.where(F.col("is_winner"))
+        .select(*keys, "sn", "candidate", "total_votes", "party_short")
+        .withColumn("_rn", F.row_number().over(rank_window(keys)))
+        .where(F.col("_rn") == 1)
+        .select(*keys, F.col("party_short").alias("actual_winner"))
+    )
+
+
 def head_to_head(enriched: DataFrame, party1: str, party2: str, keys: Sequence[str] = CONTEST_KEY) -> DataFrame:
     """Every contest where both parties stood: each one's best votes and best vote percent, and the winner.
 
-    ``actual_winner`` is the party of the first-placed winner (the tie rule of
-    the margins).  ``party1 == party2`` gives the contests where that party stood.
+    The two parties' entries are filtered first and collapsed per contest in
+    one hash aggregate (presence counts and conditional maxima); contests
+    lacking either party drop out.  ``actual_winner`` comes from
+    ``contest_winner_party`` by a left join on the contest key.
+    ``party1 == party2`` gives the contests where that party stood.
     """
     keys = list(keys)
     ps = F.col("party_short")
     is1, is2 = ps == party1, ps == party2
-    is_win = F.col("is_winner")
-    g = enriched.groupBy(*keys, "ac_name").agg(
-        F.count_if(is1).alias("_n1"),
-        F.count_if(is2).alias("_n2"),
-        F.max(F.when(is1, F.col("total_votes"))).alias("p1_votes"),
-        F.max(F.when(is1, F.col("vote_percent"))).alias("p1_pct"),
-        F.max(F.when(is2, F.col("total_votes"))).alias("p2_votes"),
-        F.max(F.when(is2, F.col("vote_percent"))).alias("p2_pct"),
-        F.min_by(F.col("party_short"), F.when(is_win, finish_key())).alias("actual_winner"),
+    g = (
+        enriched.where(ps.isin(party1, party2))
+        .groupBy(*keys, "ac_name")
+        .agg(
+            F.count_if(is1).alias("_n1"),
+            F.count_if(is2).alias("_n2"),
+            F.max(F.when(is1, F.col("total_votes"))).alias("p1_votes"),
+            F.max(F.when(is1, F.col("vote_percent"))).alias("p1_pct"),
+            F.max(F.when(is2, F.col("total_votes"))).alias("p2_votes"),
+            F.max(F.when(is2, F.col("vote_percent"))).alias("p2_pct"),
+        )
+        .where((F.col("_n1") > 0) & (F.col("_n2") > 0))
     )
     return (
-        g.where((F.col("_n1") > 0) & (F.col("_n2") > 0))
+        g.join(contest_winner_party(enriched, keys), keys, "left")
         .select(*keys, "ac_name", "p1_votes", "p1_pct", "p2_votes", "p2_pct", "actual_winner")
         .orderBy(*[F.col(k).asc_nulls_last() for k in keys], F.col("ac_name").asc_nulls_last())
     )

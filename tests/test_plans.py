@@ -46,10 +46,16 @@ def test_no_python_udf(spark, name):
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p and "FlatMapGroupsInPandas" not in p
 
 
-def test_head_to_head_is_one_aggregate_no_join(spark, view):
+def test_head_to_head_hash_aggregates_only(spark, view):
     p = plan_text(head_to_head(enrich(view.candidates, view.party_map), "N3", "N8"))
-    joins = [line for line in p.splitlines() if "Join" in line]
-    assert len(joins) == 1 and "BroadcastHashJoin" in joins[0]  # only the party-map lookup
+    assert "SortAggregate" not in p and "ObjectHashAggregate" not in p
+    assert "WindowGroupLimit" in p  # winner: top-1 over winner-flagged rows
+
+
+@pytest.mark.parametrize("name", sorted(entry_mod.queries()))
+def test_no_sort_aggregate(spark, name):
+    p = plan_text(entry_mod.queries()[name](spark, SMOKE))
+    assert "SortAggregate" not in p
 
 
 def test_opponents_joins_aggregated_sides(spark, view):
