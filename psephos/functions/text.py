@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from psephos.functions.columns import ColumnOrName, col_or
 
 # The characters Python's str.strip() removes by default
-# (str.isspace() is true for exactly these code points), as a regex class.
-PY_WHITESPACE_CLASS = (
-    "[\\t\\n\\x{0B}\\x{0C}\\r\\x{1C}-\\x{1F} \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}"
-    "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+# (str.isspace() is true for exactly these code points).
+PY_WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 
 # The words that make a statement unsafe, and the statement
@@ -21,9 +22,11 @@ SAFE_SQL_STARTS = ("select", "with")
 
 
 def python_strip(c: ColumnOrName) -> Column:
-    """Remove leading and trailing whitespace the way Python's ``str.strip()`` does."""
-    ws = PY_WHITESPACE_CLASS
-    return F.regexp_replace(col_or(c), f"^{ws}+|{ws}+$", "")
+    """Remove leading and trailing whitespace the way Python's ``str.strip()`` does.
+
+    ``btrim`` with a character set only looks at the two ends of the text.
+    """
+    return F.btrim(col_or(c), F.lit(PY_WHITESPACE))
 
 
 def sql_is_read_only(c: ColumnOrName) -> Column:
@@ -49,14 +52,21 @@ def strip_code_fences(c: ColumnOrName) -> Column:
     """Strip a markdown code fence around generated SQL, then surrounding whitespace.
 
     In order: strip whitespace; cut a leading fence written with the ``sql``
-    tag, else a bare leading fence; cut one trailing fence; strip again.
+    tag, and then one more bare fence if the rest starts with one, or else a
+    bare leading fence; cut one trailing fence from what is left; strip again.
+    The cut lengths are decided from the two ends only, so the text is not
+    scanned.
     """
     s = python_strip(c)
-    # one optional "```sql", then one optional bare fence, at the very start
-    s = F.regexp_replace(s, "^(?:```sql)?(?:```)?", "")
-    # one fence at the very end (\\z: end of input, not before a final newline)
-    s = F.regexp_replace(s, "```\\z", "")
-    return python_strip(s)
+    n = F.length(s)
+    lead = (
+        F.when(s.startswith("```sql```"), F.lit(9))
+        .when(s.startswith("```sql"), F.lit(6))
+        .when(s.startswith("```"), F.lit(3))
+        .otherwise(F.lit(0))
+    )
+    tail = F.when(s.endswith("```") & (n - lead >= 3), F.lit(3)).otherwise(F.lit(0))
+    return python_strip(s.substr(lead + 1, n - lead - tail))
 
 
 def contains_pattern(q: str) -> str:
