@@ -47,7 +47,7 @@ from psephos.plans.adhoc import adhoc_query
 from psephos.plans.datasets import build_datasets
 from psephos.sources.store import register_views
 from psephos.sources.testview import TEST_NOTA_PARTY, contest_tables, view_fingerprint
-from psephos.session import shared_dir
+from psephos.session import app_id, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -105,7 +105,7 @@ _DATASETS: dict[tuple[str, str], dict[str, DataFrame]] = {}
 def served_datasets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The named datasets of the contest view, written to the shared folder on first use."""
     fp = view_fingerprint(sf_dir)
-    key = (spark.sparkContext.applicationId, fp)
+    key = (app_id(spark), fp)
     if key not in _DATASETS:
         t = contest_tables(spark, sf_dir)  # also makes sure a shared folder is set
         out = f"{shared_dir(spark).rstrip('/')}/psephos-datasets/{fp}-{uuid.uuid4().hex[:8]}"

@@ -42,26 +42,48 @@ def build_session(
     return builder.getOrCreate()
 
 
-def shared_dir(spark: SparkSession) -> str:
+def app_id(spark: SparkSession) -> str:
+    """Application id of the session (works without a local SparkContext handle)."""
+    try:
+        return spark.conf.get("spark.app.id")
+    except Exception:  # pragma: no cover - sessions without the key
+        return f"session-{id(spark)}"
+
+
+def _configured_dir(spark: SparkSession) -> str | None:
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    try:
+        return spark.sparkContext.getCheckpointDir()
+    except Exception:  # no SparkContext handle on this session (e.g. Spark Connect)
+        return None
+
+
+def shared_dir(spark: SparkSession, local_fallback: str | None = None) -> str:
     """Folder the cluster shares for checkpoints and written tables.
 
     Read from the session (``spark.checkpoint.dir`` or the context's
-    checkpoint directory).  Raises if neither is set: a machine-local
+    checkpoint directory).  Only when neither is set, and only if the caller
+    passes one (tests, local bench), is ``local_fallback`` used and set as
+    the checkpoint directory.  Otherwise this raises: a machine-local
     temporary folder is not a valid place to cut lineage on a cluster.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
+    path = _configured_dir(spark)
+    if path:
+        return path
+    if local_fallback is None:
         raise RuntimeError(
             "no shared folder: set spark.checkpoint.dir (or sc.setCheckpointDir) for this session"
         )
-    return path
+    os.makedirs(local_fallback, exist_ok=True)
+    try:
+        spark.sparkContext.setCheckpointDir(local_fallback)
+    except Exception:  # pragma: no cover
+        pass
+    return local_fallback
 
 
 def ensure_shared_dir(spark: SparkSession, local_fallback: str) -> str:
     """Use the session's shared folder; set ``local_fallback`` only where none is set (tests, bench)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if path:
-        return path
-    os.makedirs(local_fallback, exist_ok=True)
-    spark.sparkContext.setCheckpointDir(local_fallback)
-    return spark.sparkContext.getCheckpointDir() or local_fallback
+    return shared_dir(spark, local_fallback)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from psephos.functions.columns import pct
 from psephos.operators.winners import winner_flag
 from psephos.schema import CONTEST_KEY
-from psephos.session import ensure_shared_dir, shared_dir
+from psephos.session import app_id, shared_dir
 from psephos.sources.store import materialize
 
 # Fixed values of the mapping: raw party names (nation names) that play
@@ -156,6 +156,14 @@ def view_fingerprint(sf_dir: str) -> str:
     return h.hexdigest()[:16]
 
 
+def local_shared_dir(spark: SparkSession) -> str:
+    """The session's shared folder; a fresh local one only when the session names none."""
+    try:
+        return shared_dir(spark)
+    except RuntimeError:
+        return shared_dir(spark, tempfile.mkdtemp(prefix="psephos-shared-", dir="/tmp"))
+
+
 def contest_tables(spark: SparkSession, sf_dir: str) -> ContestTables:
     """Candidates, contest totals and party map, built once per session and written to the shared folder.
 
@@ -165,11 +173,10 @@ def contest_tables(spark: SparkSession, sf_dir: str) -> ContestTables:
     written too, like the reference's tables.  The folder is the session's
     ``spark.checkpoint.dir``; a local one is set only when none is (tests).
     """
-    key = (spark.sparkContext.applicationId, view_fingerprint(sf_dir))
+    key = (app_id(spark), view_fingerprint(sf_dir))
     if key not in _BUILT:
-        if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-            ensure_shared_dir(spark, tempfile.mkdtemp(prefix="psephos-shared-", dir="/tmp"))
-        base = f"{shared_dir(spark).rstrip('/')}/psephos-contest-view/{key[1]}-{uuid.uuid4().hex[:8]}"
+        root = local_shared_dir(spark)
+        base = f"{root.rstrip('/')}/psephos-contest-view/{key[1]}-{uuid.uuid4().hex[:8]}"
         entries = materialize(test_entries(spark, sf_dir), f"{base}/entries")
         t = _derive(spark, sf_dir, entries)
         _BUILT[key] = ContestTables(
