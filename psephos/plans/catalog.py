@@ -110,7 +110,7 @@ def served_datasets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         t = contest_tables(spark, sf_dir)  # also makes sure a shared folder is set
         out = f"{shared_dir(spark).rstrip('/')}/psephos-datasets/{fp}-{uuid.uuid4().hex[:8]}"
         _DATASETS[key] = build_datasets(
-            t.candidates, t.totals, t.party_map, out_dir=out, nota_party=TEST_NOTA_PARTY, register=False
+            t.candidates, t.totals, t.party_map, out_dir=out, nota_party=TEST_NOTA_PARTY, register=False, write_base=False
         )
     return _DATASETS[key]
 

@@ -58,17 +58,26 @@ def build_datasets(
     alliance_scope: Sequence[str] = ALLIANCE_SCOPE,
     keys: Sequence[str] = CONTEST_KEY,
     register: bool = True,
+    write_base: bool = True,
 ) -> dict[str, DataFrame]:
-    """All named datasets as DataFrames (written under ``out_dir`` when given), registered as views."""
+    """All named datasets as DataFrames (written under ``out_dir`` when given), registered as views.
 
-    def table(name: str, df: DataFrame) -> DataFrame:
-        return materialize(df, f"{out_dir.rstrip('/')}/{name}") if out_dir else df
+    ``write_base=False`` leaves candidates, totals and party map as given
+    (for inputs that are already files), writing only the derived tables.
+    """
+
+    def table(name: str, df: DataFrame, cluster: bool = True) -> DataFrame:
+        if not out_dir:
+            return df
+        cluster_by = [k for k in keys if k in df.columns] if cluster else None
+        return materialize(df, f"{out_dir.rstrip('/')}/{name}", cluster_by=cluster_by or None)
 
     if "is_winner" not in candidates.columns:
         candidates = flag_winners(candidates, keys)
-    candidates = table("candidates", candidates)
-    totals = table("ac_totals", totals)
-    party_map = table("party_map", party_map)
+    if write_base:
+        candidates = table("candidates", candidates)
+        totals = table("ac_totals", totals)
+        party_map = table("party_map", party_map)
     ps = table("party_summary", party_summary(candidates, party_scope))
     ce = enrich(candidates, party_map)
     pse = enrich_summary(ps, party_map, party_scope)

@@ -177,11 +177,12 @@ def contest_tables(spark: SparkSession, sf_dir: str) -> ContestTables:
     if key not in _BUILT:
         root = local_shared_dir(spark)
         base = f"{root.rstrip('/')}/psephos-contest-view/{key[1]}-{uuid.uuid4().hex[:8]}"
+        keys = list(CONTEST_KEY)
         entries = materialize(test_entries(spark, sf_dir), f"{base}/entries")
         t = _derive(spark, sf_dir, entries)
         _BUILT[key] = ContestTables(
-            candidates=materialize(t.candidates, f"{base}/candidates"),
-            totals=materialize(t.totals, f"{base}/ac_totals"),
+            candidates=materialize(t.candidates, f"{base}/candidates", cluster_by=keys),
+            totals=materialize(t.totals, f"{base}/ac_totals", cluster_by=keys),
             party_map=t.party_map,
         )
     return _BUILT[key]
