@@ -11,9 +11,9 @@ Plan notes.  Lines are summed per (status, customer, supplier) right after
 the lineitem-orders join, before any dimension join: customer, supplier and
 nation names are functions of those keys, so joining them after the partial
 aggregation gives the same rows while moving far fewer through the shuffles.
-Contest totals and the contest maximum come from one aggregate over the
-entries and are joined back once, on the contest key (no window: a hot
-contest is split by AQE's skew join instead of landing in one window task).
+Contest totals and maxima are grouped aggregates joined back to the entries
+with ``attach_group_aggregates`` (no window, and a hot contest is salted
+over several join tasks instead of landing in one).
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from psephos.functions.columns import pct
+from psephos.operators.grouped import attach_group_aggregates
 from psephos.operators.winners import winner_flag
 from psephos.schema import CONTEST_KEY
 from psephos.session import app_id, shared_dir
@@ -120,15 +121,17 @@ def contest_tables_lazy(spark: SparkSession, sf_dir: str) -> ContestTables:
 
 def _derive(spark: SparkSession, sf_dir: str, entries: DataFrame) -> ContestTables:
     keys = list(CONTEST_KEY)
-    per_contest = entries.groupBy(*keys, "ac_name").agg(
+    totals = entries.groupBy(*keys, "ac_name").agg(
         F.sum("evm_votes").alias("total_evm_votes"),
         F.sum("postal_votes").alias("total_postal_votes"),
         F.sum("total_votes").alias("total_votes"),
-        F.max("total_votes").alias("_contest_max"),
     )
-    totals = per_contest.drop("_contest_max")
-    back = per_contest.select(*keys, F.col("total_votes").alias("_contest_votes"), "_contest_max")
-    candidates = entries.join(back, keys).select(
+    with_contest = attach_group_aggregates(
+        entries,
+        keys,
+        [F.sum("total_votes").alias("_contest_votes"), F.max("total_votes").alias("_contest_max")],
+    )
+    candidates = with_contest.select(
         *[F.col(c) for c in entries.columns],
         pct("total_votes", "_contest_votes").alias("vote_percent"),
         winner_flag(F.col("total_votes"), F.col("_contest_max")).alias("is_winner"),
