@@ -7,9 +7,9 @@ A join alone would still send all rows of a hot key to one task, and AQE's
 skew-join split does not apply when one join side is an aggregate on its
 own shuffle, so hot keys are salted explicitly:
 
-* a key is hot when it holds at least ``1 / hot_share`` of all rows, so
-  there are at most ``hot_share`` hot keys; that list is broadcast (a bound
-  proven by construction, not by an estimate);
+* a key is hot when it holds at least ``1 / hot_share`` of all rows (and
+  more than one slice of rows), so there are at most ``hot_share`` hot keys;
+  that list is broadcast (a bound proven by construction, not an estimate);
 * a hot key with n rows is cut into ``ceil(n / salt_rows)`` slices: its rows
   get a salt from a hash of the row (deterministic, so a recomputed task
   after an executor loss assigns the same salt), and its one aggregate row
@@ -41,13 +41,14 @@ def attach_group_aggregates(
     Rows whose key has a null part find no group and get null aggregates.
     """
     keys = list(keys)
+    total_rows = df.select(F.count(F.lit(1))).scalar()
     stats = df.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("_grp_rows"))
     agg_names = [c for c in stats.columns if c not in keys and c != "_grp_rows"]
-    total_rows = stats.select(F.sum("_grp_rows")).scalar()
-    hot = stats.where(F.col("_grp_rows") * F.lit(hot_share) >= total_rows).select(
-        *keys, F.ceil(F.col("_grp_rows") / F.lit(salt_rows)).cast("int").alias("_slices")
-    )
-    hot = F.broadcast(hot)  # at most hot_share rows by construction
+    n = F.col("_grp_rows")
+    is_hot = (n * F.lit(hot_share) >= total_rows) & (n > F.lit(salt_rows))
+    stats = stats.withColumn("_slices", F.when(is_hot, F.ceil(n / F.lit(salt_rows))).otherwise(F.lit(1)).cast("int"))
+    # at most hot_share keys pass is_hot, so this broadcast has a proven bound
+    hot = F.broadcast(stats.where(F.col("_slices") > 1).select(*keys, "_slices"))
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     rows = (
         df.join(hot, keys, "left")
@@ -55,12 +56,7 @@ def attach_group_aggregates(
         .drop("_slices")
     )
     slices = F.when(F.col("_slices") > 1, F.sequence(F.lit(0), F.col("_slices") - 1)).otherwise(F.array(F.lit(0)))
-    groups = (
-        stats.drop("_grp_rows")
-        .join(hot, keys, "left")
-        .withColumn("_salt", F.explode(slices))
-        .drop("_slices")
-    )
+    groups = stats.withColumn("_salt", F.explode(slices)).drop("_grp_rows", "_slices")
     return rows.join(groups, [*keys, "_salt"], "left").select(
         *[F.col(f"`{c}`") for c in df.columns], *agg_names
     )
