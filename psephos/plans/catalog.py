@@ -46,8 +46,8 @@ from psephos.operators import (
 from psephos.plans.adhoc import adhoc_query
 from psephos.plans.datasets import build_datasets
 from psephos.sources.store import register_views
-from psephos.sources.testview import TEST_NOTA_PARTY, contest_tables, view_fingerprint
-from psephos.session import app_id, shared_dir
+from psephos.session import app_id
+from psephos.sources.testview import VIEW_NOTA_PARTY, contest_tables, local_shared_dir, view_fingerprint
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -107,10 +107,10 @@ def served_datasets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     fp = view_fingerprint(sf_dir)
     key = (app_id(spark), fp)
     if key not in _DATASETS:
-        t = contest_tables(spark, sf_dir)  # also makes sure a shared folder is set
-        out = f"{shared_dir(spark).rstrip('/')}/psephos-datasets/{fp}-{uuid.uuid4().hex[:8]}"
+        t = contest_tables(spark, sf_dir)
+        out = f"{local_shared_dir(spark).rstrip('/')}/psephos-datasets/{fp}-{uuid.uuid4().hex[:8]}"
         _DATASETS[key] = build_datasets(
-            t.candidates, t.totals, t.party_map, out_dir=out, nota_party=TEST_NOTA_PARTY, register=False, write_base=False
+            t.candidates, t.totals, t.party_map, out_dir=out, nota_party=VIEW_NOTA_PARTY, register=False, write_base=False
         )
     return _DATASETS[key]
 
@@ -151,8 +151,8 @@ QUERIES: dict[str, Query] = {
     "alliance_summary_split": _q(lambda v: v.alliances(split=True)),
     "party_performance": _q(lambda v: party_performance(v.enriched, v.totals, v.summary_enriched)),
     "contest_margins": _q(lambda v: v.margins),
-    "nota_by_contest": _q(lambda v: nota_by_contest(v.candidates, TEST_NOTA_PARTY)),
-    "nota_summary": _q(lambda v: nota_summary(nota_by_contest(v.candidates, TEST_NOTA_PARTY))),
+    "nota_by_contest": _q(lambda v: nota_by_contest(v.candidates, VIEW_NOTA_PARTY)),
+    "nota_summary": _q(lambda v: nota_summary(nota_by_contest(v.candidates, VIEW_NOTA_PARTY))),
     "independents_summary": _q(lambda v: independents_summary(v.enriched)),
     "overview_parties": _route(lambda d: overview_parties(d["party_summary_enriched"])),
     "overview_alliances": _route(lambda d: overview_alliances(d["alliance_summary"])),

@@ -4,7 +4,7 @@ the driver's test tables, materialised tables, views and JSON output."""
 from psephos.sources.files import party_map_from_rows, read_entries, read_party_map, read_totals
 from psephos.sources.store import materialize, register_views
 from psephos.sources.sinks import answer_rows, json_rows, preview
-from psephos.sources.testview import ContestTables, contest_tables, test_party_map
+from psephos.sources.testview import ContestTables, contest_tables, view_party_map
 
 __all__ = [
     "read_entries",
@@ -18,5 +18,5 @@ __all__ = [
     "answer_rows",
     "ContestTables",
     "contest_tables",
-    "test_party_map",
+    "view_party_map",
 ]

@@ -36,8 +36,8 @@ from psephos.sources.store import materialize
 
 # Fixed values of the mapping: raw party names (nation names) that play
 # none-of-the-above and the independents.
-TEST_NOTA_PARTY = "NATION_24"
-TEST_IND_PARTY = "NATION_21"
+VIEW_NOTA_PARTY = "NATION_24"
+VIEW_IND_PARTY = "NATION_21"
 
 
 @dataclass(frozen=True)
@@ -51,7 +51,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def test_party_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+def view_party_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("n_nationkey")
     short = (
         F.when(k == 24, F.lit("NOTA"))
@@ -77,7 +77,7 @@ def test_party_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def test_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def view_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries without derived columns: state, ac_no, ac_name, sn, candidate, party, votes."""
     lineitem = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_returnflag")
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
@@ -116,7 +116,7 @@ def test_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contest_tables_lazy(spark: SparkSession, sf_dir: str) -> ContestTables:
     """Candidates (with vote_percent, is_winner), contest totals and party map as one lazy plan."""
-    return _derive(spark, sf_dir, test_entries(spark, sf_dir))
+    return _derive(spark, sf_dir, view_entries(spark, sf_dir))
 
 
 def _derive(spark: SparkSession, sf_dir: str, entries: DataFrame) -> ContestTables:
@@ -136,7 +136,7 @@ def _derive(spark: SparkSession, sf_dir: str, entries: DataFrame) -> ContestTabl
         pct("total_votes", "_contest_votes").alias("vote_percent"),
         winner_flag(F.col("total_votes"), F.col("_contest_max")).alias("is_winner"),
     )
-    return ContestTables(candidates=candidates, totals=totals, party_map=test_party_map(spark, sf_dir))
+    return ContestTables(candidates=candidates, totals=totals, party_map=view_party_map(spark, sf_dir))
 
 
 # Written views, per (application, input fingerprint): the reference builds its
@@ -159,12 +159,18 @@ def view_fingerprint(sf_dir: str) -> str:
     return h.hexdigest()[:16]
 
 
+_LOCAL_FALLBACK: dict[str, str] = {}
+
+
 def local_shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a fresh local one only when the session names none."""
+    """The session's shared folder; a local one (one per application) only when the session names none."""
     try:
         return shared_dir(spark)
     except RuntimeError:
-        return shared_dir(spark, tempfile.mkdtemp(prefix="psephos-shared-", dir="/tmp"))
+        app = app_id(spark)
+        if app not in _LOCAL_FALLBACK:
+            _LOCAL_FALLBACK[app] = tempfile.mkdtemp(prefix="psephos-shared-", dir="/tmp")
+        return shared_dir(spark, _LOCAL_FALLBACK[app])
 
 
 def contest_tables(spark: SparkSession, sf_dir: str) -> ContestTables:
@@ -181,7 +187,7 @@ def contest_tables(spark: SparkSession, sf_dir: str) -> ContestTables:
         root = local_shared_dir(spark)
         base = f"{root.rstrip('/')}/psephos-contest-view/{key[1]}-{uuid.uuid4().hex[:8]}"
         keys = list(CONTEST_KEY)
-        entries = materialize(test_entries(spark, sf_dir), f"{base}/entries")
+        entries = materialize(view_entries(spark, sf_dir), f"{base}/entries")
         t = _derive(spark, sf_dir, entries)
         _BUILT[key] = ContestTables(
             candidates=materialize(t.candidates, f"{base}/candidates", cluster_by=keys),
