@@ -110,3 +110,31 @@ def test_hot_contest_join_is_split(spark, skewed):
     for r in rows:
         best[(r[0], r[1])] = max(best.get((r[0], r[1]), -1), r[8])
     assert n == sum(1 for r in rows if r[8] == best[(r[0], r[1])])
+
+
+def test_attach_group_aggregates_equals_window(spark, skewed):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from psephos.operators.grouped import attach_group_aggregates
+
+    rows, e = skewed
+    # salt_rows=300 cuts the hot contest (3,000 rows) into 10 slices
+    got = attach_group_aggregates(
+        e, ["state", "ac_no"], [F.sum("total_votes").alias("s"), F.max("total_votes").alias("m")], salt_rows=300
+    )
+    w = Window.partitionBy("state", "ac_no")
+    want = e.select("*", F.sum("total_votes").over(w).alias("s"), F.max("total_votes").over(w).alias("m"))
+    cols = ["state", "ac_no", "sn", "s", "m"]
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+    assert got.count() == len(rows)
+
+
+def test_attach_group_aggregates_null_keys(spark):
+    from pyspark.sql import functions as F
+
+    from psephos.operators.grouped import attach_group_aggregates
+
+    df = spark.createDataFrame([("a", 1, 5), ("a", 1, 7), (None, 1, 9), (None, 1, 11)], "k string, j int, v int")
+    out = {(r["k"], r["v"]): r["m"] for r in attach_group_aggregates(df, ["k", "j"], [F.max("v").alias("m")]).collect()}
+    assert out == {("a", 5): 7, ("a", 7): 7, (None, 9): None, (None, 11): None}
