@@ -174,9 +174,9 @@ QUERIES: dict[str, Query] = {
     "party_profile_NOTA": _route(lambda d: party_profile(d["candidates_enriched"], "NOTA")),
     "party_profile_missing": _route(lambda d: party_profile(d["candidates_enriched"], "NO_SUCH_PARTY")),
     "party_profiles": _route(lambda d: party_profiles(d["candidates_enriched"])),
-    "contest_search_text": _route(lambda d: search_contests(d["candidates"], "er#0000001")),
-    "contest_search_number": _route(lambda d: search_contests(d["candidates"], "12")),
-    "contest_search_wildcard": _route(lambda d: search_contests(d["candidates"], " customer#00000_12' ")),
+    "contest_search_text": _route(lambda d: search_contests(d["contest_index"], "er#0000001")),
+    "contest_search_number": _route(lambda d: search_contests(d["contest_index"], "12")),
+    "contest_search_wildcard": _route(lambda d: search_contests(d["contest_index"], " customer#00000_12' ")),
     "contest_detail": _route(lambda d: contest_detail(d["candidates_enriched"], 1)),
     "adhoc_select": _adhoc,
     "sql_text_check": _sql_text_check,

@@ -2,7 +2,8 @@
 
 entries -> candidates (+is_winner) -> party_summary -> party_summary_enriched
 party_map -> candidates_enriched -> party_performance, constituency_margins,
-independents_summary; alliance_summary; nota_by_ac -> nota_summary.
+independents_summary; alliance_summary; nota_by_ac -> nota_summary; and
+contest_index (distinct contest numbers and names, which search scans).
 
 With ``out_dir`` the reference's tables are written as Parquet there (its
 CREATE TABLE AS) and read back, so later queries reuse them and a lost
@@ -45,6 +46,7 @@ DATASET_NAMES = (
     "nota_by_ac",
     "nota_summary",
     "independents_summary",
+    "contest_index",
 )
 
 
@@ -85,6 +87,8 @@ def build_datasets(
     performance = table("party_performance", party_performance(ce, totals, pse, party_scope, keys))
     margins = table("constituency_margins", contest_margins(ce, totals, keys))
     nba = nota_by_contest(candidates, nota_party, keys)
+    # distinct (contest, name) pairs: what contest search scans instead of every entry
+    index = table("contest_index", candidates.select(*keys, "ac_name").distinct())
     datasets = {
         "candidates": candidates,
         "ac_totals": totals,
@@ -98,6 +102,7 @@ def build_datasets(
         "nota_by_ac": nba,
         "nota_summary": nota_summary(nba),
         "independents_summary": independents_summary(ce),
+        "contest_index": index,
     }
     if register:
         register_views(datasets)
