@@ -5,7 +5,7 @@ from psephos.operators.lookup import contest_detail, search_contests
 from psephos.operators.margins import close_contests, contest_margins
 from psephos.operators.matchups import contest_winner_party, finishers, head_to_head, opponents, relevant_parties
 from psephos.operators.nota import nota_by_contest, nota_summary
-from psephos.operators.positions import party_profile, party_profiles
+from psephos.operators.positions import contest_places, party_profile, party_profiles
 from psephos.operators.summary import (
     alliance_summary,
     independents_summary,
@@ -32,6 +32,7 @@ __all__ = [
     "relevant_parties",
     "nota_by_contest",
     "nota_summary",
+    "contest_places",
     "party_profile",
     "party_profiles",
     "alliance_summary",

@@ -38,25 +38,34 @@ PROFILE_COLUMNS = (
 )
 
 
-def _profile_input(enriched: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Entries (rank null) unioned with top-4 places (vote percent null)."""
+def contest_places(enriched: DataFrame, keys: Sequence[str] = CONTEST_KEY) -> DataFrame:
+    """Places 1-4 of every contest: (keys, sn, party_short, _place), in finish order.
+
+    A top-4 window; Spark keeps at most four rows per contest per task
+    before the shuffle (WindowGroupLimit), so a huge contest stays cheap.
+    """
     keys = list(keys)
+    return (
+        enriched.select(*keys, "sn", "candidate", "total_votes", "party_short")
+        .withColumn("_place", F.row_number().over(rank_window(keys)))
+        .where(F.col("_place") <= TOP_PLACES)
+        .select(*keys, "sn", "party_short", "_place")
+    )
+
+
+def _profile_input(enriched: DataFrame, keys: Sequence[str], places: DataFrame | None = None) -> DataFrame:
+    """Entries (place null) unioned with top-4 places (vote percent null)."""
     entries = enriched.select(
         "party_short",
         F.lit(None).cast("int").alias("_place"),
         "vote_percent",
         F.lit(True).alias("_entry"),
     )
-    top = (
-        enriched.select(*keys, "sn", "candidate", "total_votes", "party_short")
-        .withColumn("_place", F.row_number().over(rank_window(keys)))
-        .where(F.col("_place") <= TOP_PLACES)
-        .select(
-            "party_short",
-            "_place",
-            F.lit(None).cast("double").alias("vote_percent"),
-            F.lit(False).alias("_entry"),
-        )
+    top = (places if places is not None else contest_places(enriched, keys)).select(
+        "party_short",
+        "_place",
+        F.lit(None).cast("double").alias("vote_percent"),
+        F.lit(False).alias("_entry"),
     )
     return entries.unionByName(top)
 
@@ -87,16 +96,24 @@ def _profile_select(group: Sequence[str]) -> list:
     ]
 
 
-def party_profile(enriched: DataFrame, party: str, keys: Sequence[str] = CONTEST_KEY) -> DataFrame:
-    """One row for ``party``: finishes 1, 2, 3, 4, 5+; entries per vote band; entries in all (zeros if absent)."""
-    rows = _profile_input(enriched, keys).where(F.col("party_short") == party)
+def party_profile(
+    enriched: DataFrame, party: str, keys: Sequence[str] = CONTEST_KEY, places: DataFrame | None = None
+) -> DataFrame:
+    """One row for ``party``: finishes 1, 2, 3, 4, 5+; entries per vote band; entries in all (zeros if absent).
+
+    ``places`` may be a written ``contest_places`` table of the same entries;
+    otherwise the places are ranked here.
+    """
+    rows = _profile_input(enriched, keys, places).where(F.col("party_short") == party)
     return rows.agg(*_profile_aggs()).select(*_profile_select([]))
 
 
-def party_profiles(enriched: DataFrame, keys: Sequence[str] = CONTEST_KEY) -> DataFrame:
+def party_profiles(
+    enriched: DataFrame, keys: Sequence[str] = CONTEST_KEY, places: DataFrame | None = None
+) -> DataFrame:
     """The profile of every party in one job, one row per party_short."""
     return (
-        _profile_input(enriched, keys)
+        _profile_input(enriched, keys, places)
         .groupBy("party_short")
         .agg(*_profile_aggs())
         .select(*_profile_select(["party_short"]))

@@ -3,7 +3,8 @@
 entries -> candidates (+is_winner) -> party_summary -> party_summary_enriched
 party_map -> candidates_enriched -> party_performance, constituency_margins,
 independents_summary; alliance_summary; nota_by_ac -> nota_summary; and
-contest_index (distinct contest numbers and names, which search scans).
+contest_index (distinct contest numbers and names, which search scans) and
+contest_places (places 1-4 of every contest, which the profiles read).
 
 With ``out_dir`` the reference's tables are written as Parquet there (its
 CREATE TABLE AS) and read back, so later queries reuse them and a lost
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from psephos.operators import (
     alliance_summary,
     contest_margins,
+    contest_places,
     enrich,
     enrich_summary,
     flag_winners,
@@ -47,6 +49,7 @@ DATASET_NAMES = (
     "nota_summary",
     "independents_summary",
     "contest_index",
+    "contest_places",
 )
 
 
@@ -89,6 +92,8 @@ def build_datasets(
     nba = nota_by_contest(candidates, nota_party, keys)
     # distinct (contest, name) pairs: what contest search scans instead of every entry
     index = table("contest_index", candidates.select(*keys, "ac_name").distinct())
+    # places 1-4 of every contest: what the finish-position profiles read
+    places = table("contest_places", contest_places(ce, keys))
     datasets = {
         "candidates": candidates,
         "ac_totals": totals,
@@ -103,6 +108,7 @@ def build_datasets(
         "nota_summary": nota_summary(nba),
         "independents_summary": independents_summary(ce),
         "contest_index": index,
+        "contest_places": places,
     }
     if register:
         register_views(datasets)
