@@ -1,9 +1,10 @@
 """Relevant parties, opponents and head-to-head comparisons (O-12, O-13, O-14).
 
-No operator here joins entries with entries.  Opponent counts are the
-number of (subject entry, opponent entry) pairs sharing a contest; they are
-computed as the sum over contests of n_subject * n_opponent after both sides
-are collapsed to one row per (contest, party), so the pairs are never made.
+No operator here joins entries with entries.  Both matchup operators start
+from ``contest_parties``: one row per (contest, party).  Opponent counts are
+the number of (subject entry, opponent entry) pairs sharing a contest; they
+are the sum over contests of n_subject * n_opponent over that table, so the
+pairs are never made.
 Head to head is one conditional hash aggregate over the two parties' rows,
 joined to the winner of each contest (both sides one row per contest).
 """
@@ -44,21 +45,39 @@ def relevant_parties(margins: DataFrame, party_summary_enriched: DataFrame, scop
     )
 
 
+def contest_parties(enriched: DataFrame, keys: Sequence[str] = CONTEST_KEY) -> DataFrame:
+    """One row per (contest, party): entries, best votes and best vote percent of that party there.
+
+    The per-contest collapse both ``opponents`` and ``head_to_head`` start
+    from (a hash aggregate with partial aggregation).  The dataset build
+    writes it once; the operators compute it when it is not given.
+    """
+    return enriched.groupBy(*keys, "ac_name", "party_short", "alliance").agg(
+        F.count(F.lit(1)).alias("entries"),
+        F.max("total_votes").alias("best_votes"),
+        F.max("vote_percent").alias("best_pct"),
+    )
+
+
 def opponents(
     enriched: DataFrame,
     margins: DataFrame,
     party: str,
     scope: Sequence[str] = PARTY_SCOPE,
     keys: Sequence[str] = CONTEST_KEY,
+    parties: DataFrame | None = None,
 ) -> DataFrame:
     """Relevant, non-independent parties met by ``party`` and how often.
 
     ``contests`` counts entry pairs: a contest where the subject has two
     entries and the opponent three adds 6 (the reference's pair count).
+    ``parties`` may be a written ``contest_parties`` table of the same entries.
     """
     keys = list(keys)
     ps = F.col("party_short")
-    per = enriched.groupBy(*keys, "party_short", "alliance").agg(F.count(F.lit(1)).alias("_n"))
+    per = (parties if parties is not None else contest_parties(enriched, keys)).select(
+        *keys, "party_short", "alliance", F.col("entries").alias("_n")
+    )
     subject = per.where(ps == party).groupBy(*keys).agg(F.sum("_n").alias("_n_subject"))
     others = per.where((ps != party) & (ps != IND_SHORT)).join(
         finishers(margins, scope), [*scope, "party_short"], "left_semi"
@@ -88,28 +107,36 @@ def contest_winner_party(enriched: DataFrame, keys: Sequence[str] = CONTEST_KEY)
     )
 
 
-def head_to_head(enriched: DataFrame, party1: str, party2: str, keys: Sequence[str] = CONTEST_KEY) -> DataFrame:
+def head_to_head(
+    enriched: DataFrame,
+    party1: str,
+    party2: str,
+    keys: Sequence[str] = CONTEST_KEY,
+    parties: DataFrame | None = None,
+) -> DataFrame:
     """Every contest where both parties stood: each one's best votes and best vote percent, and the winner.
 
-    The two parties' entries are filtered first and collapsed per contest in
-    one hash aggregate (presence counts and conditional maxima); contests
-    lacking either party drop out.  ``actual_winner`` comes from
-    ``contest_winner_party`` by a left join on the contest key.
-    ``party1 == party2`` gives the contests where that party stood.
+    The two parties' rows of ``contest_parties`` (written, or computed here
+    with the party filter pushed below the aggregate) are collapsed per
+    contest in one hash aggregate; contests lacking either party drop out.
+    ``actual_winner`` comes from ``contest_winner_party`` by a left join on
+    the contest key.  ``party1 == party2`` gives the contests where that
+    party stood.
     """
     keys = list(keys)
     ps = F.col("party_short")
     is1, is2 = ps == party1, ps == party2
     g = (
-        enriched.where(ps.isin(party1, party2))
+        (parties if parties is not None else contest_parties(enriched, keys))
+        .where(ps.isin(party1, party2))
         .groupBy(*keys, "ac_name")
         .agg(
-            F.count_if(is1).alias("_n1"),
-            F.count_if(is2).alias("_n2"),
-            F.max(F.when(is1, F.col("total_votes"))).alias("p1_votes"),
-            F.max(F.when(is1, F.col("vote_percent"))).alias("p1_pct"),
-            F.max(F.when(is2, F.col("total_votes"))).alias("p2_votes"),
-            F.max(F.when(is2, F.col("vote_percent"))).alias("p2_pct"),
+            F.sum(F.when(is1, F.col("entries")).otherwise(F.lit(0))).alias("_n1"),
+            F.sum(F.when(is2, F.col("entries")).otherwise(F.lit(0))).alias("_n2"),
+            F.max(F.when(is1, F.col("best_votes"))).alias("p1_votes"),
+            F.max(F.when(is1, F.col("best_pct"))).alias("p1_pct"),
+            F.max(F.when(is2, F.col("best_votes"))).alias("p2_votes"),
+            F.max(F.when(is2, F.col("best_pct"))).alias("p2_pct"),
         )
         .where((F.col("_n1") > 0) & (F.col("_n2") > 0))
     )

@@ -119,6 +119,14 @@ def _route(fn: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
     return lambda spark, sf_dir: fn(served_datasets(spark, sf_dir))
 
 
+def _opponents(d: dict[str, DataFrame], party: str) -> DataFrame:
+    return opponents(d["candidates_enriched"], d["constituency_margins"], party, parties=d["contest_parties"])
+
+
+def _head_to_head(d: dict[str, DataFrame], p1: str, p2: str) -> DataFrame:
+    return head_to_head(d["candidates_enriched"], p1, p2, parties=d["contest_parties"])
+
+
 def _flag_winners(v: _View) -> DataFrame:
     return flag_winners(v.candidates.drop("is_winner"))
 
@@ -157,12 +165,12 @@ QUERIES: dict[str, Query] = {
     "overview_parties": _route(lambda d: overview_parties(d["party_summary_enriched"])),
     "overview_alliances": _route(lambda d: overview_alliances(d["alliance_summary"])),
     "relevant_parties": _route(lambda d: relevant_parties(d["constituency_margins"], d["party_summary_enriched"])),
-    "opponents_N3": _route(lambda d: opponents(d["candidates_enriched"], d["constituency_margins"], "N3")),
-    "opponents_IND": _route(lambda d: opponents(d["candidates_enriched"], d["constituency_margins"], "IND")),
-    "opponents_NOTA": _route(lambda d: opponents(d["candidates_enriched"], d["constituency_margins"], "NOTA")),
-    "head_to_head_N3_N8": _route(lambda d: head_to_head(d["candidates_enriched"], "N3", "N8")),
-    "head_to_head_IND_NOTA": _route(lambda d: head_to_head(d["candidates_enriched"], "IND", "NOTA")),
-    "head_to_head_same_party": _route(lambda d: head_to_head(d["candidates_enriched"], "N3", "N3")),
+    "opponents_N3": _route(lambda d: _opponents(d, "N3")),
+    "opponents_IND": _route(lambda d: _opponents(d, "IND")),
+    "opponents_NOTA": _route(lambda d: _opponents(d, "NOTA")),
+    "head_to_head_N3_N8": _route(lambda d: _head_to_head(d, "N3", "N8")),
+    "head_to_head_IND_NOTA": _route(lambda d: _head_to_head(d, "IND", "NOTA")),
+    "head_to_head_same_party": _route(lambda d: _head_to_head(d, "N3", "N3")),
     "party_performance_filtered_default": _route(
         lambda d: party_performance_filtered(d["candidates_enriched"], d["ac_totals"], d["party_summary_enriched"])
     ),

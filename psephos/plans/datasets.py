@@ -4,7 +4,8 @@ entries -> candidates (+is_winner) -> party_summary -> party_summary_enriched
 party_map -> candidates_enriched -> party_performance, constituency_margins,
 independents_summary; alliance_summary; nota_by_ac -> nota_summary; and
 contest_index (distinct contest numbers and names, which search scans) and
-contest_places (places 1-4 of every contest, which the profiles read).
+contest_places (places 1-4 of every contest, which the profiles read) and
+contest_parties (one row per contest and party, which the matchups read).
 
 With ``out_dir`` the reference's tables are written as Parquet there (its
 CREATE TABLE AS) and read back, so later queries reuse them and a lost
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from psephos.operators import (
     alliance_summary,
     contest_margins,
+    contest_parties,
     contest_places,
     enrich,
     enrich_summary,
@@ -50,6 +52,7 @@ DATASET_NAMES = (
     "independents_summary",
     "contest_index",
     "contest_places",
+    "contest_parties",
 )
 
 
@@ -94,6 +97,8 @@ def build_datasets(
     index = table("contest_index", candidates.select(*keys, "ac_name").distinct())
     # places 1-4 of every contest: what the finish-position profiles read
     places = table("contest_places", contest_places(ce, keys))
+    # one row per (contest, party): what opponents and head to head read
+    parties = table("contest_parties", contest_parties(ce, keys))
     datasets = {
         "candidates": candidates,
         "ac_totals": totals,
@@ -109,6 +114,7 @@ def build_datasets(
         "independents_summary": independents_summary(ce),
         "contest_index": index,
         "contest_places": places,
+        "contest_parties": parties,
     }
     if register:
         register_views(datasets)
