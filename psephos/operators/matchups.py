@@ -46,14 +46,16 @@ def relevant_parties(margins: DataFrame, party_summary_enriched: DataFrame, scop
 
 
 def contest_parties(enriched: DataFrame, keys: Sequence[str] = CONTEST_KEY) -> DataFrame:
-    """One row per (contest, party): entries, best votes and best vote percent of that party there.
+    """One row per (contest, party): entries, winners, votes, best votes and best vote percent there.
 
-    The per-contest collapse both ``opponents`` and ``head_to_head`` start
-    from (a hash aggregate with partial aggregation).  The dataset build
+    The per-contest collapse ``opponents``, ``head_to_head`` and the filtered
+    party performance start from (a hash aggregate with partial aggregation).  The dataset build
     writes it once; the operators compute it when it is not given.
     """
     return enriched.groupBy(*keys, "ac_name", "party_short", "alliance").agg(
         F.count(F.lit(1)).alias("entries"),
+        F.count_if(F.col("is_winner")).alias("won"),
+        F.sum("total_votes").alias("votes"),
         F.max("total_votes").alias("best_votes"),
         F.max("vote_percent").alias("best_pct"),
     )

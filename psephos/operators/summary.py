@@ -109,6 +109,7 @@ def party_contest_stats(
     group_cols: Sequence[str],
     scope: Sequence[str] = PARTY_SCOPE,
     keys: Sequence[str] = CONTEST_KEY,
+    parties: DataFrame | None = None,
 ) -> DataFrame:
     """Per party group: contests contested, seats won, votes, and votes cast in those contests.
 
@@ -116,18 +117,28 @@ def party_contest_stats(
     ``totals`` are dropped (inner join).  ``total_votes_in_those_acs`` adds
     the contest total once per entry, so a party with three entries in a
     contest counts that contest's total three times (as the reference does).
+    ``parties`` may be a written ``contest_parties`` table of the same
+    entries; it is used when ``group_cols`` are among its columns.
     """
     keys = list(keys)
     ps = F.col("party_short")
-    per_contest = (
-        enriched.where(ps.isNotNull() & (ps != NOTA_SHORT))
-        .groupBy(*keys, *group_cols)
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.count_if(F.col("is_winner")).alias("_won"),
-            F.sum("total_votes").alias("_votes"),
+    eligible = ps.isNotNull() & (ps != NOTA_SHORT)
+    if parties is not None and set(group_cols) <= set(parties.columns):
+        per_contest = (
+            parties.where(eligible)
+            .groupBy(*keys, *group_cols)
+            .agg(F.sum("entries").alias("_n"), F.sum("won").alias("_won"), F.sum("votes").alias("_votes"))
+        )
+    else:
+        per_contest = (
+            enriched.where(eligible)
+            .groupBy(*keys, *group_cols)
+            .agg(
+                F.count(F.lit(1)).alias("_n"),
+                F.count_if(F.col("is_winner")).alias("_won"),
+                F.sum("total_votes").alias("_votes"),
+            )
         )
-    )
     contest_votes = totals.select(*keys, F.col("total_votes").alias("_contest_votes"))
     return (
         per_contest.join(contest_votes, keys, "inner")
@@ -186,13 +197,15 @@ def party_performance_filtered(
     min_vote_share: float = 0.0,
     scope: Sequence[str] = PARTY_SCOPE,
     keys: Sequence[str] = CONTEST_KEY,
+    parties: DataFrame | None = None,
 ) -> DataFrame:
     """Performance per (party_short, alliance), kept when seats_won >= m OR vote share >= v; biggest share first.
 
-    With the defaults (0, 0.0) every party is kept.
+    With the defaults (0, 0.0) every party is kept.  ``parties`` may be a
+    written ``contest_parties`` table of the same entries.
     """
     group_cols = ["party_short", "alliance"]
-    stats = party_contest_stats(enriched, totals, group_cols, scope, keys)
+    stats = party_contest_stats(enriched, totals, group_cols, scope, keys, parties)
     j = _with_state_share(stats, party_summary_enriched, scope)
     keep = (F.col("seats_won") >= F.lit(min_seats_won)) | (F.col("state_vote_share") >= F.lit(float(min_vote_share)))
     return (

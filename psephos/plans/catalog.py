@@ -127,6 +127,13 @@ def _head_to_head(d: dict[str, DataFrame], p1: str, p2: str) -> DataFrame:
     return head_to_head(d["candidates_enriched"], p1, p2, parties=d["contest_parties"])
 
 
+def _filtered(d: dict[str, DataFrame], min_seats: int, min_share: float) -> DataFrame:
+    return party_performance_filtered(
+        d["candidates_enriched"], d["ac_totals"], d["party_summary_enriched"], min_seats, min_share,
+        parties=d["contest_parties"],
+    )
+
+
 def _flag_winners(v: _View) -> DataFrame:
     return flag_winners(v.candidates.drop("is_winner"))
 
@@ -171,12 +178,8 @@ QUERIES: dict[str, Query] = {
     "head_to_head_N3_N8": _route(lambda d: _head_to_head(d, "N3", "N8")),
     "head_to_head_IND_NOTA": _route(lambda d: _head_to_head(d, "IND", "NOTA")),
     "head_to_head_same_party": _route(lambda d: _head_to_head(d, "N3", "N3")),
-    "party_performance_filtered_default": _route(
-        lambda d: party_performance_filtered(d["candidates_enriched"], d["ac_totals"], d["party_summary_enriched"])
-    ),
-    "party_performance_filtered_3_2": _route(
-        lambda d: party_performance_filtered(d["candidates_enriched"], d["ac_totals"], d["party_summary_enriched"], 3, 2.0)
-    ),
+    "party_performance_filtered_default": _route(lambda d: _filtered(d, 0, 0.0)),
+    "party_performance_filtered_3_2": _route(lambda d: _filtered(d, 3, 2.0)),
     "close_contests_10": _route(lambda d: close_contests(d["constituency_margins"], 2.0, 10)),
     "party_profile_N3": _route(
         lambda d: party_profile(d["candidates_enriched"], "N3", places=d["contest_places"])
