@@ -115,15 +115,17 @@ def head_to_head(
     party2: str,
     keys: Sequence[str] = CONTEST_KEY,
     parties: DataFrame | None = None,
+    winners: DataFrame | None = None,
 ) -> DataFrame:
     """Every contest where both parties stood: each one's best votes and best vote percent, and the winner.
 
     The two parties' rows of ``contest_parties`` (written, or computed here
     with the party filter pushed below the aggregate) are collapsed per
     contest in one hash aggregate; contests lacking either party drop out.
-    ``actual_winner`` comes from ``contest_winner_party`` by a left join on
-    the contest key.  ``party1 == party2`` gives the contests where that
-    party stood.
+    ``actual_winner`` comes from ``contest_winner_party`` (or a written
+    ``contest_winners`` table of the same entries) by a left join on the
+    contest key.  ``party1 == party2`` gives the contests where that party
+    stood.
     """
     keys = list(keys)
     ps = F.col("party_short")
@@ -143,7 +145,7 @@ def head_to_head(
         .where((F.col("_n1") > 0) & (F.col("_n2") > 0))
     )
     return (
-        g.join(contest_winner_party(enriched, keys), keys, "left")
+        g.join(winners if winners is not None else contest_winner_party(enriched, keys), keys, "left")
         .select(*keys, "ac_name", "p1_votes", "p1_pct", "p2_votes", "p2_pct", "actual_winner")
         .orderBy(*[F.col(k).asc_nulls_last() for k in keys], F.col("ac_name").asc_nulls_last())
     )

@@ -124,7 +124,9 @@ def _opponents(d: dict[str, DataFrame], party: str) -> DataFrame:
 
 
 def _head_to_head(d: dict[str, DataFrame], p1: str, p2: str) -> DataFrame:
-    return head_to_head(d["candidates_enriched"], p1, p2, parties=d["contest_parties"])
+    return head_to_head(
+        d["candidates_enriched"], p1, p2, parties=d["contest_parties"], winners=d["contest_winners"]
+    )
 
 
 def _filtered(d: dict[str, DataFrame], min_seats: int, min_share: float) -> DataFrame:
@@ -164,7 +166,11 @@ QUERIES: dict[str, Query] = {
     "party_summary_enriched": _q(lambda v: v.summary_enriched),
     "alliance_summary": _q(lambda v: v.alliances()),
     "alliance_summary_split": _q(lambda v: v.alliances(split=True)),
-    "party_performance": _q(lambda v: party_performance(v.enriched, v.totals, v.summary_enriched)),
+    # built like the reference's table: from the enriched entries, the totals and
+    # the party-summary view over the written party summary
+    "party_performance": _route(
+        lambda d: party_performance(d["candidates_enriched"], d["ac_totals"], d["party_summary_enriched"])
+    ),
     "contest_margins": _q(lambda v: v.margins),
     "nota_by_contest": _q(lambda v: nota_by_contest(v.candidates, VIEW_NOTA_PARTY)),
     "nota_summary": _q(lambda v: nota_summary(nota_by_contest(v.candidates, VIEW_NOTA_PARTY))),

@@ -5,7 +5,8 @@ party_map -> candidates_enriched -> party_performance, constituency_margins,
 independents_summary; alliance_summary; nota_by_ac -> nota_summary; and
 contest_index (distinct contest numbers and names, which search scans) and
 contest_places (places 1-4 of every contest, which the profiles read) and
-contest_parties (one row per contest and party, which the matchups read).
+contest_parties (one row per contest and party, which the matchups read)
+and contest_winners (the winner's party per contest, for head to head).
 
 With ``out_dir`` the reference's tables are written as Parquet there (its
 CREATE TABLE AS) and read back, so later queries reuse them and a lost
@@ -25,6 +26,7 @@ from psephos.operators import (
     contest_margins,
     contest_parties,
     contest_places,
+    contest_winner_party,
     enrich,
     enrich_summary,
     flag_winners,
@@ -53,6 +55,7 @@ DATASET_NAMES = (
     "contest_index",
     "contest_places",
     "contest_parties",
+    "contest_winners",
 )
 
 
@@ -99,6 +102,8 @@ def build_datasets(
     places = table("contest_places", contest_places(ce, keys))
     # one row per (contest, party): what opponents and head to head read
     parties = table("contest_parties", contest_parties(ce, keys))
+    # the first-placed winner's party of every contest: what head to head joins
+    winners = table("contest_winners", contest_winner_party(ce, keys))
     datasets = {
         "candidates": candidates,
         "ac_totals": totals,
@@ -115,6 +120,7 @@ def build_datasets(
         "contest_index": index,
         "contest_places": places,
         "contest_parties": parties,
+        "contest_winners": winners,
     }
     if register:
         register_views(datasets)
