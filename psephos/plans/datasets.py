@@ -18,6 +18,7 @@ over those tables.  ``out_dir`` must be a folder every executor can reach
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 
@@ -70,11 +71,14 @@ def build_datasets(
     keys: Sequence[str] = CONTEST_KEY,
     register: bool = True,
     write_base: bool = True,
+    parallel_writes: int = 4,
 ) -> dict[str, DataFrame]:
     """All named datasets as DataFrames (written under ``out_dir`` when given), registered as views.
 
     ``write_base=False`` leaves candidates, totals and party map as given
     (for inputs that are already files), writing only the derived tables.
+    With ``out_dir``, up to ``parallel_writes`` derived tables are written
+    at the same time (concurrent jobs from driver threads).
     """
 
     def table(name: str, df: DataFrame, cluster: bool = True) -> DataFrame:
@@ -92,18 +96,35 @@ def build_datasets(
     ps = table("party_summary", party_summary(candidates, party_scope))
     ce = enrich(candidates, party_map)
     pse = enrich_summary(ps, party_map, party_scope)
-    alliances = table("alliance_summary", alliance_summary(candidates, party_map, totals, alliance_scope, keys=keys))
-    performance = table("party_performance", party_performance(ce, totals, pse, party_scope, keys))
-    margins = table("constituency_margins", contest_margins(ce, totals, keys))
+    # Independent of each other once the party summary is written: submitted
+    # as concurrent jobs (each is small next to the cluster or the cores).
+    derived = {
+        "alliance_summary": lambda: alliance_summary(candidates, party_map, totals, alliance_scope, keys=keys),
+        "party_performance": lambda: party_performance(ce, totals, pse, party_scope, keys),
+        "constituency_margins": lambda: contest_margins(ce, totals, keys),
+        # distinct (contest, name) pairs: what contest search scans instead of every entry
+        "contest_index": lambda: candidates.select(*keys, "ac_name").distinct(),
+        # places 1-4 of every contest: what the finish-position profiles read
+        "contest_places": lambda: contest_places(ce, keys),
+        # one row per (contest, party): what opponents and head to head read
+        "contest_parties": lambda: contest_parties(ce, keys),
+        # the first-placed winner's party of every contest: what head to head joins
+        "contest_winners": lambda: contest_winner_party(ce, keys),
+    }
+    if out_dir and parallel_writes > 1:
+        with ThreadPoolExecutor(max_workers=parallel_writes) as pool:
+            futures = {name: pool.submit(table, name, make()) for name, make in derived.items()}
+            built = {name: f.result() for name, f in futures.items()}
+    else:
+        built = {name: table(name, make()) for name, make in derived.items()}
+    alliances, performance, margins = built["alliance_summary"], built["party_performance"], built["constituency_margins"]
+    index, places, parties, winners = (
+        built["contest_index"],
+        built["contest_places"],
+        built["contest_parties"],
+        built["contest_winners"],
+    )
     nba = nota_by_contest(candidates, nota_party, keys)
-    # distinct (contest, name) pairs: what contest search scans instead of every entry
-    index = table("contest_index", candidates.select(*keys, "ac_name").distinct())
-    # places 1-4 of every contest: what the finish-position profiles read
-    places = table("contest_places", contest_places(ce, keys))
-    # one row per (contest, party): what opponents and head to head read
-    parties = table("contest_parties", contest_parties(ce, keys))
-    # the first-placed winner's party of every contest: what head to head joins
-    winners = table("contest_winners", contest_winner_party(ce, keys))
     datasets = {
         "candidates": candidates,
         "ac_totals": totals,

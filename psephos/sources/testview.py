@@ -22,6 +22,7 @@ import hashlib
 import os
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -189,9 +190,8 @@ def contest_tables(spark: SparkSession, sf_dir: str) -> ContestTables:
         keys = list(CONTEST_KEY)
         entries = materialize(view_entries(spark, sf_dir), f"{base}/entries")
         t = _derive(spark, sf_dir, entries)
-        _BUILT[key] = ContestTables(
-            candidates=materialize(t.candidates, f"{base}/candidates", cluster_by=keys),
-            totals=materialize(t.totals, f"{base}/ac_totals", cluster_by=keys),
-            party_map=t.party_map,
-        )
+        with ThreadPoolExecutor(max_workers=2) as pool:  # two independent writes, as concurrent jobs
+            cand = pool.submit(materialize, t.candidates, f"{base}/candidates", None, keys)
+            tot = pool.submit(materialize, t.totals, f"{base}/ac_totals", None, keys)
+            _BUILT[key] = ContestTables(candidates=cand.result(), totals=tot.result(), party_map=t.party_map)
     return _BUILT[key]
