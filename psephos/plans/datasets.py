@@ -146,3 +146,37 @@ def build_datasets(
     if register:
         register_views(datasets)
     return datasets
+
+
+def load_datasets(
+    spark,
+    tables_dir: str,
+    nota_party: str = NOTA_PARTY,
+    party_scope: Sequence[str] = PARTY_SCOPE,
+    keys: Sequence[str] = CONTEST_KEY,
+    register: bool = True,
+) -> dict[str, DataFrame]:
+    """Datasets previously written by ``build_datasets(out_dir=tables_dir)``, with the views rebuilt over them."""
+    base = tables_dir.rstrip("/")
+    written = [
+        "candidates",
+        "ac_totals",
+        "party_map",
+        "party_summary",
+        "alliance_summary",
+        "party_performance",
+        "constituency_margins",
+        "contest_index",
+        "contest_places",
+        "contest_parties",
+        "contest_winners",
+    ]
+    d = {name: spark.read.parquet(f"{base}/{name}") for name in written}
+    d["candidates_enriched"] = enrich(d["candidates"], d["party_map"])
+    d["party_summary_enriched"] = enrich_summary(d["party_summary"], d["party_map"], party_scope)
+    d["nota_by_ac"] = nota_by_contest(d["candidates"], nota_party, keys)
+    d["nota_summary"] = nota_summary(d["nota_by_ac"])
+    d["independents_summary"] = independents_summary(d["candidates_enriched"])
+    if register:
+        register_views(d)
+    return d

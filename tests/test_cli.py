@@ -1,0 +1,55 @@
+"""The command line: build from CSV files, then routes and SQL over the written tables."""
+
+from __future__ import annotations
+
+import json
+import os
+
+from psephos.plans.cli import main
+from psephos.sources import DEFAULT_PARTY_MAP_ROWS, default_party_map
+from tests.helpers import PARTY_ROWS
+from tests.test_sources import ENTRIES_CSV, TOTALS_CSV, write
+
+
+def _lines(capsys) -> list[dict]:
+    return [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+
+
+def test_default_party_map(spark):
+    pm = default_party_map(spark)
+    assert pm.count() == 19
+    assert len({r[2] for r in DEFAULT_PARTY_MAP_ROWS}) == 19
+    assert {r[3] for r in DEFAULT_PARTY_MAP_ROWS} == {"NDA", "MGB", "OTHER", "IND", "NOTA"}
+
+
+def test_build_route_sql(spark, tmp_out, capsys):
+    e = write(tmp_out, "entries.csv", ENTRIES_CSV)
+    t = write(tmp_out, "totals.csv", TOTALS_CSV)
+    pm = write(tmp_out, "pm.csv", "party_name,canonical_name,short_code,alliance\n" + "\n".join(",".join(r) for r in PARTY_ROWS))
+    tables = os.path.join(tmp_out, "tables")
+    main(["build", "--entries", e, "--totals", t, "--party-map", pm, "--out", tables])
+    assert _lines(capsys) == [{"tables": tables}]
+
+    main(["route", "overview-alliances", "--tables", tables])
+    seats = {r["alliance"]: r["seats_won"] for r in _lines(capsys)}
+    assert seats == {"NDA": 2, "MGB": 1, "OTHER": 1, "IND": 0, "NOTA": 0}
+
+    main(["route", "head-to-head", "--party1", "ALP", "--party2", "GAM", "--tables", tables])
+    rows = _lines(capsys)
+    assert [(r["ac_no"], r["actual_winner"]) for r in rows] == [(2, "ALP")]
+
+    main(["route", "search", "--q", "hill", "--entries", e, "--totals", t, "--party-map", pm])
+    assert [r["ac_no"] for r in _lines(capsys)] == [10]
+
+    main(["route", "nail-biters", "--tables", tables, "--limit", "5"])
+    assert [r["ac_no"] for r in _lines(capsys)] == [2]
+
+    out = os.path.join(tmp_out, "profile")
+    main(["route", "party-analytics", "--party-short", "BET", "--tables", tables, "--out", out])
+    assert _lines(capsys) == [{"written": out}]
+    text = "".join(open(os.path.join(out, f)).read() for f in os.listdir(out) if f.startswith("part-"))
+    prof = json.loads(text.strip())
+    assert prof["pos_1"] == 1 and prof["pos_2"] == 1 and prof["total_seats_contested"] == 2
+
+    main(["sql", "SELECT COUNT(*) AS n FROM candidates WHERE is_winner", "--tables", tables])
+    assert _lines(capsys) == [{"n": 4}]
