@@ -13,6 +13,7 @@ to exist in the view.
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -100,18 +101,26 @@ def _q(fn: Callable[[_View], DataFrame]) -> Query:
 # Named datasets written once per (application, input fingerprint), as the
 # reference builds its tables once at start-up and serves its routes from them.
 _DATASETS: dict[tuple[str, str], dict[str, DataFrame]] = {}
+_DATASETS_LOCK = threading.Lock()
 
 
 def served_datasets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The named datasets of the contest view, written to the shared folder on first use."""
     fp = view_fingerprint(sf_dir)
     key = (app_id(spark), fp)
-    if key not in _DATASETS:
-        t = contest_tables(spark, sf_dir)
-        out = f"{local_shared_dir(spark).rstrip('/')}/psephos-datasets/{fp}-{uuid.uuid4().hex[:8]}"
-        _DATASETS[key] = build_datasets(
-            t.candidates, t.totals, t.party_map, out_dir=out, nota_party=VIEW_NOTA_PARTY, register=False, write_base=False
-        )
+    with _DATASETS_LOCK:  # callers on several threads share one build
+        if key not in _DATASETS:
+            t = contest_tables(spark, sf_dir)
+            out = f"{local_shared_dir(spark).rstrip('/')}/psephos-datasets/{fp}-{uuid.uuid4().hex[:8]}"
+            _DATASETS[key] = build_datasets(
+                t.candidates,
+                t.totals,
+                t.party_map,
+                out_dir=out,
+                nota_party=VIEW_NOTA_PARTY,
+                register=False,
+                write_base=False,
+            )
     return _DATASETS[key]
 
 

@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+import threading
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -144,6 +145,7 @@ def _derive(spark: SparkSession, sf_dir: str, entries: DataFrame) -> ContestTabl
 # tables once at start-up and serves every query from them; so does this.  The
 # DataFrames over the written files are kept, so their footers are read once.
 _BUILT: dict[tuple[str, str], ContestTables] = {}
+_BUILD_LOCK = threading.Lock()
 
 _VIEW_INPUTS = ("lineitem", "orders", "customer", "supplier", "nation")
 
@@ -184,14 +186,19 @@ def contest_tables(spark: SparkSession, sf_dir: str) -> ContestTables:
     ``spark.checkpoint.dir``; a local one is set only when none is (tests).
     """
     key = (app_id(spark), view_fingerprint(sf_dir))
-    if key not in _BUILT:
-        root = local_shared_dir(spark)
-        base = f"{root.rstrip('/')}/psephos-contest-view/{key[1]}-{uuid.uuid4().hex[:8]}"
-        keys = list(CONTEST_KEY)
-        entries = materialize(view_entries(spark, sf_dir), f"{base}/entries")
-        t = _derive(spark, sf_dir, entries)
-        with ThreadPoolExecutor(max_workers=2) as pool:  # two independent writes, as concurrent jobs
-            cand = pool.submit(materialize, t.candidates, f"{base}/candidates", None, keys)
-            tot = pool.submit(materialize, t.totals, f"{base}/ac_totals", None, keys)
-            _BUILT[key] = ContestTables(candidates=cand.result(), totals=tot.result(), party_map=t.party_map)
+    with _BUILD_LOCK:  # callers on several threads share one build
+        if key not in _BUILT:
+            _BUILT[key] = _build(spark, sf_dir, key[1])
     return _BUILT[key]
+
+
+def _build(spark: SparkSession, sf_dir: str, fingerprint: str) -> ContestTables:
+    root = local_shared_dir(spark)
+    base = f"{root.rstrip('/')}/psephos-contest-view/{fingerprint}-{uuid.uuid4().hex[:8]}"
+    keys = list(CONTEST_KEY)
+    entries = materialize(view_entries(spark, sf_dir), f"{base}/entries")
+    t = _derive(spark, sf_dir, entries)
+    with ThreadPoolExecutor(max_workers=2) as pool:  # two independent writes, as concurrent jobs
+        cand = pool.submit(materialize, t.candidates, f"{base}/candidates", None, keys)
+        tot = pool.submit(materialize, t.totals, f"{base}/ac_totals", None, keys)
+        return ContestTables(candidates=cand.result(), totals=tot.result(), party_map=t.party_map)
