@@ -52,7 +52,7 @@ def contest_parties(enriched: DataFrame, keys: Sequence[str] = CONTEST_KEY) -> D
     party performance start from (a hash aggregate with partial aggregation).  The dataset build
     writes it once; the operators compute it when it is not given.
     """
-    return enriched.groupBy(*keys, "ac_name", "party_short", "alliance").agg(
+    return enriched.groupBy(*keys, "ac_name", "party_short", "party_canonical", "alliance").agg(
         F.count(F.lit(1)).alias("entries"),
         F.count_if(F.col("is_winner")).alias("won"),
         F.sum("total_votes").alias("votes"),

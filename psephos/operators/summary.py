@@ -163,10 +163,14 @@ def party_performance(
     party_summary_enriched: DataFrame,
     scope: Sequence[str] = PARTY_SCOPE,
     keys: Sequence[str] = CONTEST_KEY,
+    parties: DataFrame | None = None,
 ) -> DataFrame:
-    """Strike rate, average votes per contest, share where contested, seat share and seat-vote gap."""
+    """Strike rate, average votes per contest, share where contested, seat share and seat-vote gap.
+
+    ``parties`` may be a written ``contest_parties`` table of the same entries.
+    """
     group_cols = ["party_short", "party_canonical", "alliance"]
-    stats = party_contest_stats(enriched, totals, group_cols, scope, keys)
+    stats = party_contest_stats(enriched, totals, group_cols, scope, keys, parties)
     j = _with_state_share(stats, party_summary_enriched, scope)
     j = _attach(j, seat_totals(totals, scope, keys), scope, "_total_seats")
     seat_share = pct("seats_won", "_total_seats")

@@ -175,10 +175,12 @@ QUERIES: dict[str, Query] = {
     "party_summary_enriched": _q(lambda v: v.summary_enriched),
     "alliance_summary": _q(lambda v: v.alliances()),
     "alliance_summary_split": _q(lambda v: v.alliances(split=True)),
-    # built like the reference's table: from the enriched entries, the totals and
-    # the party-summary view over the written party summary
+    # built like the reference's table, from the totals and the party-summary view
+    # over the written party summary, starting from the per-(contest, party) table
     "party_performance": _route(
-        lambda d: party_performance(d["candidates_enriched"], d["ac_totals"], d["party_summary_enriched"])
+        lambda d: party_performance(
+            d["candidates_enriched"], d["ac_totals"], d["party_summary_enriched"], parties=d["contest_parties"]
+        )
     ),
     "contest_margins": _q(lambda v: v.margins),
     "nota_by_contest": _q(lambda v: nota_by_contest(v.candidates, VIEW_NOTA_PARTY)),

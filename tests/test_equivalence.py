@@ -163,10 +163,10 @@ def test_contest_stats_equal_entry_join(case):
         assert got[k]["total_votes_in_those_acs"] == w["in_acs"]
 
 
-def test_contest_stats_from_parties_table_equal(case):
+@pytest.mark.parametrize("cols", [["party_short", "alliance"], ["party_short", "party_canonical", "alliance"]])
+def test_contest_stats_from_parties_table_equal(case, cols):
     from psephos.operators import contest_parties
 
-    cols = ["party_short", "alliance"]
     direct = party_contest_stats(case["ce"], case["totals"], cols)
     via = party_contest_stats(case["ce"], case["totals"], cols, parties=contest_parties(case["ce"]))
     order = ["state", *cols, "seats_contested", "seats_won", "total_votes_contested", "total_votes_in_those_acs"]
