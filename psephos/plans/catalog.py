@@ -95,7 +95,7 @@ class _View:
 
 
 def _q(fn: Callable[[_View], DataFrame]) -> Query:
-    return lambda spark, sf_dir: fn(_View(spark, sf_dir))
+    return lambda spark, sf_dir: fn(_View(spark, str(sf_dir)))
 
 
 # Named datasets written once per (application, input fingerprint), as the
@@ -125,7 +125,7 @@ def served_datasets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def _route(fn: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
-    return lambda spark, sf_dir: fn(served_datasets(spark, sf_dir))
+    return lambda spark, sf_dir: fn(served_datasets(spark, str(sf_dir)))
 
 
 def _opponents(d: dict[str, DataFrame], party: str) -> DataFrame:
@@ -150,12 +150,12 @@ def _flag_winners(v: _View) -> DataFrame:
 
 
 def _adhoc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register_views(served_datasets(spark, sf_dir))
+    register_views(served_datasets(spark, str(sf_dir)))
     return adhoc_query(spark, ADHOC_SQL)
 
 
 def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")
+    return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/conversations.parquet")
 
 
 def _sql_text_check(spark: SparkSession, sf_dir: str) -> DataFrame:
