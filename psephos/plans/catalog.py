@@ -125,7 +125,9 @@ def served_datasets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def _route(fn: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
-    return lambda spark, sf_dir: fn(served_datasets(spark, str(sf_dir)))
+    q = lambda spark, sf_dir: fn(served_datasets(spark, str(sf_dir)))
+    q.served = True  # reads the datasets written once per session
+    return q
 
 
 def _opponents(d: dict[str, DataFrame], party: str) -> DataFrame:
@@ -149,6 +151,11 @@ def _flag_winners(v: _View) -> DataFrame:
     return flag_winners(v.candidates.drop("is_winner"))
 
 
+def is_served(query: Query) -> bool:
+    """True for route queries, which read the datasets written once per session."""
+    return getattr(query, "served", False) or query is _adhoc
+
+
 def _adhoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     register_views(served_datasets(spark, str(sf_dir)))
     return adhoc_query(spark, ADHOC_SQL)
