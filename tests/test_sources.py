@@ -86,3 +86,20 @@ def test_build_datasets_lazy_equals_materialised(spark, tmp_out):
         a = sorted(map(tuple, lazy[name].collect()), key=repr)
         b = sorted(map(tuple, written[name].select(*lazy[name].columns).collect()), key=repr)
         assert a == b, name
+
+
+def test_load_datasets_equals_build(spark, tmp_out):
+    from psephos.plans import load_datasets
+
+    entries = read_entries(spark, write(tmp_out, "entries.csv", ENTRIES_CSV))
+    totals = read_totals(spark, write(tmp_out, "totals.csv", TOTALS_CSV))
+    pm = party_map_from_rows(spark, PARTY_ROWS)
+    out = os.path.join(tmp_out, "tables")
+    built = build_datasets(entries, totals, pm, out_dir=out, register=False)
+    loaded = load_datasets(spark, out, register=False)
+    assert set(loaded) == set(built) == set(DATASET_NAMES)
+    for name in DATASET_NAMES:
+        cols = built[name].columns
+        a = sorted(map(tuple, built[name].collect()), key=repr)
+        b = sorted(map(tuple, loaded[name].select(*cols).collect()), key=repr)
+        assert a == b, name
