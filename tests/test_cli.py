@@ -53,3 +53,10 @@ def test_build_route_sql(spark, tmp_out, capsys):
 
     main(["sql", "SELECT COUNT(*) AS n FROM candidates WHERE is_winner", "--tables", tables])
     assert _lines(capsys) == [{"n": 4}]
+
+    main(["route", "detail", "--ac-no", "1", "--tables", tables])
+    assert [r["total_votes"] for r in _lines(capsys)] == [120400, 100200, 13032]
+
+    main(["route", "nota", "--tables", tables])
+    nota = _lines(capsys)
+    assert len(nota) == 1 and nota[0]["total_nota_votes"] == 13032 and nota[0]["num_acs_over_5pct"] == 1
