@@ -5,7 +5,9 @@ Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS
 the median of BENCH_RUNS timed runs; every run consumes the full result
 through the noop sink.  The one-off build of the contest view (the
 reference's start-up table build: base tables, then the named datasets
-the routes read) is timed on its own as ``build_sec``.
+the routes read) is timed on its own as ``build_sec``.  ``route_sec`` and
+``dataset_sec`` split ``value`` into route queries (served from the written
+datasets) and the rest (operators recomputed from the candidates or raw tables).
 """
 
 from __future__ import annotations
