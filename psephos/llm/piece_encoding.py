@@ -64,6 +64,22 @@ def _fields(buf: bytes):
             raise ValueError(f"unknown wire type {kind}")
 
 
+def read_pieces(blob: bytes) -> tuple[list[str], list[float], list[int], bytes, bool]:
+    """Pieces, scores and kinds of a model file, its character map, and whether bytes stand in for unknown characters."""
+    pieces, scores, kinds, charmap, fallback = [], [], [], b"", False
+    for number, value in _fields(blob):
+        if number == 1:
+            own = dict(_fields(value))
+            pieces.append(own.get(1, b"").decode())
+            scores.append(struct.unpack("<f", own[2])[0] if 2 in own else 0.0)
+            kinds.append(own.get(3, 1))
+        elif number == 2:
+            fallback = bool(dict(_fields(value)).get(35, 0))
+        elif number == 3:
+            charmap = dict(_fields(value)).get(2, b"")
+    return pieces, scores, kinds, charmap, fallback
+
+
 class CharMap:
     """The compiled character map: longest-prefix lookups in a double array."""
 
@@ -100,33 +116,23 @@ class Model:
     """What encoding needs of a ``.model`` file."""
 
     def __init__(self, blob: bytes):
-        self.pieces: list[str] = []
-        self.kinds: list[int] = []
+        self.pieces, _, self.kinds, charmap, fallback = read_pieces(blob)
         trainer: dict[int, object] = {}
         normalizer: dict[int, object] = {}
         for number, value in _fields(blob):
-            if number == 1:
-                piece, kind = "", 1
-                for n, v in _fields(value):
-                    if n == 1:
-                        piece = v.decode()
-                    elif n == 3:
-                        kind = v
-                self.pieces.append(piece)
-                self.kinds.append(kind)
-            elif number == 2:
+            if number == 2:
                 trainer = dict(_fields(value))
             elif number == 3:
                 normalizer = dict(_fields(value))
         self.unk_surface = trainer.get(44, " ⁇ ".encode()).decode()
-        self.charmap = CharMap(normalizer.get(2, b""))
+        self.charmap = CharMap(charmap)
         self.dummy_prefix = bool(normalizer.get(3, 1))
         self.trim_blanks = bool(normalizer.get(4, 1))
         #: The bytes each id stands for in a text.
         self.surface = [bytes([int(p[3:5], 16)]) if k == 6 else p.replace(BLANK, " ").encode() for p, k in zip(self.pieces, self.kinds)]
         self.special = frozenset(i for i, k in enumerate(self.kinds) if k in (2, 3))
         plain = [p for p, k in zip(self.pieces, self.kinds) if k == 1]
-        if trainer.get(3, 1) != 2 or trainer.get(24, 0) or not normalizer.get(5, 1) or not trainer.get(35, 0):
+        if trainer.get(3, 1) != 2 or trainer.get(24, 0) or not normalizer.get(5, 1) or not fallback:
             raise ValueError("only BPE models with byte pieces that mark blanks in front of a word are handled")
         if any(k in (4, 5) for k in self.kinds) or any(BLANK in p.lstrip(BLANK) or len(p) > 255 for p in plain):
             raise ValueError("models with user-defined or unused pieces, or with pieces of several words, are not handled")
