@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +23,20 @@ HOT_ROWS = 2_000
 HOT_KEYS = 20_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's sources to the executors' Python workers, once for each application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_psephos_sent", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    sources = Path(tempfile.mkdtemp(prefix="psephos-")) / "psephos_sources.zip"
+    with zipfile.ZipFile(sources, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, str(f.relative_to(top.parent)))
+    sc.addPyFile(str(sources))
+    sc._psephos_sent = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
 

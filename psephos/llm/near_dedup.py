@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from psephos.llm.common import WORD, attach, hot_limit, written
+from psephos.llm.common import WORD, attach, hot_limit, ship, written
 
 ROWS, NO_BAND, MOST_BANDS = 3, 1e-9, 64
 VERIFY, BATCH, MISS = 64, 16, 1e-7
@@ -214,6 +214,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row for each id: id, n_shingles, component_id (the smallest id it is joined with), kept (its own)."""
+    ship(docs.sparkSession)
     texts = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).where(F.col("id").isNotNull())
     made = written(texts.select("id", _features(F.col("text"), size, bands_for(percent)).alias("f")).select("id", "f.*"), "near-features")
     rows = made.count()

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from psephos.llm.common import WORD, attach, hot_limit, written
+from psephos.llm.common import WORD, attach, hot_limit, ship, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT, SUPPORT, GENERALISE, REMOVE = 8, 2, 0.9, 0.98
@@ -160,6 +160,7 @@ def find_personal_data(docs: DataFrame, text: str = "text", out: str = "personal
     ``action`` is null for base kinds, ``generalise`` or ``remove`` for terms.
     A column named ``out`` is replaced.
     """
+    ship(docs.sparkSession)
     kept = [c for c in docs.columns if c not in (text, out)]
     scanned = _scan_column(F.col(f"`{text}`"))
     found = written(

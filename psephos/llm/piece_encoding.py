@@ -25,6 +25,8 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from psephos.llm.common import ship
+
 BLANK = "▁"
 #: Characters that the library segments at once, or up to the next blank mark.
 CHUNK = 500_000
@@ -359,11 +361,13 @@ def _digest(encoder: Encoder, text: str | None) -> dict:
 
 def encode_pieces(docs: DataFrame, model: bytes, text: str = "text", out: str = "pieces") -> DataFrame:
     """``docs`` with ``out``: id, start byte and end byte of every piece (a column of that name is replaced)."""
+    ship(docs.sparkSession)
     return docs.withColumn(out, _with_encoder(model, _pieces, PIECES)(F.col(f"`{text}`")))
 
 
 def encode_digest(docs: DataFrame, model: bytes, text: str = "text", out: str = "encoded") -> DataFrame:
     """``docs`` with ``out``: number of ids, and digests of ids, decoded text and spans."""
+    ship(docs.sparkSession)
     return docs.withColumn(out, _with_encoder(model, _digest, DIGEST)(F.col(f"`{text}`")))
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from psephos.llm.common import labelled_sample
+from psephos.llm.common import labelled_sample, ship
 
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 BITS = 18
@@ -85,6 +85,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, id: str = "doc_id", text
     in one task, which trains and returns the 2**bits weights.
     """
 
+    ship(docs.sparkSession)
+
     @F.arrow_udf("struct<f:array<int>,x:array<double>>")
     def made(texts: pa.Array) -> pa.Array:
         both = [features(t.as_py(), bits) for t in texts]

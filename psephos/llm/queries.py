@@ -19,7 +19,7 @@ from psephos.llm import (
     toxicity,
     url_filter,
 )
-from psephos.llm.common import count_kind, crc32_mod, spans_sha256, spans_text, table
+from psephos.llm.common import count_kind, crc32_mod, ship, spans_sha256, spans_text, table
 
 TOXIC_FROM, GOOD_FROM = 0.7, 0.3
 TOXIC_FOLDS, QUALITY_FOLDS = 3, 5
@@ -98,6 +98,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     vocabulary, byte_fallback = token_counts.rank_vocabulary(piece_encoding.load_model(model_path()))
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", token_counts.count_tokens(F.col("text"), vocabulary, byte_fallback).alias("n_tokens"))
@@ -148,7 +149,7 @@ WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 f AS (
   SELECT doc_id, source, text,
     regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
-    list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM t),
 g AS (SELECT *, len(w) AS n, row_number() OVER () AS r FROM f),
 win AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT r, w, unnest(range(1, n - 1)) AS i FROM g WHERE n >= 3)),
@@ -180,7 +181,7 @@ p AS (
   SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^#?]*[?]([^#]*)', 1) AS query FROM u),
 c AS (
-  SELECT *, list_sort(list_filter(string_split(query, '&'), x -> x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)='))) AS kept FROM p),
+  SELECT *, list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)='))) AS kept FROM p),
 k AS (
   SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)[.]', '') || regexp_replace(path, '/+$', '')
     || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS canonical FROM c),

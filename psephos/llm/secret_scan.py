@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from psephos.llm.common import ship
+
 KINDS = ("assign", "access", "hex", "entropy")
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 
@@ -144,6 +146,7 @@ def secret_spans(text: Column, classes=CLASSES, allow=ALLOW, allow_texts=()) ->
 
 def find_secrets(docs: DataFrame, text: str = "text", out: str = "secret_spans", **options) -> DataFrame:
     """``docs`` with the spans in column ``out`` (a column of that name is replaced)."""
+    ship(docs.sparkSession)
     return docs.withColumn(out, secret_spans(F.col(f"`{text}`"), **options))
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from psephos.llm.common import labelled_sample, written
+from psephos.llm.common import labelled_sample, ship, written
 
 TERM = re.compile(r"[^\W\d_]+")
 #: Labelled rows that are learnt from, and terms that are kept, at most.
@@ -174,6 +174,8 @@ def make_index(ids, texts_counts, labels, vocabulary: list[str], texts_with: lis
 def fit(docs: DataFrame, labels: DataFrame, label: str, id: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED, max_terms: int = MAX_TERMS) -> Index:
     """An index learnt from at most ``max_labelled`` rows of ``labels`` (id, label)."""
 
+    ship(docs.sparkSession)
+
     @F.arrow_udf("array<string>")
     def distinct_terms(texts: pa.Array) -> pa.Array:
         return pa.array([sorted(set(terms(t.as_py()))) for t in texts], type=pa.list_(pa.string()))

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from psephos.llm.common import ship
+
 #: (verdict, host, path prefix); the longest host and path that fits decides.
 RULES = (
     ("allow", "com", "/"),
@@ -120,6 +122,7 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", rules: Sequence
     is the rule's where one fits, else block for listed URLs and allow for the others.
     """
     spark = pages.sparkSession
+    ship(spark)
     own = ("host", "path", "rule", "canonical", "may_be_listed", "listed", "verdict", "_rule_verdict")
     listed = listed.select("canonical").where(F.col("canonical").isNotNull()).distinct()
     bloom = build_filter(listed, most_blocks=most_blocks)
