@@ -29,6 +29,11 @@ def python_strip(c: ColumnOrName) -> Column:
     return F.btrim(col_or(c), F.lit(PY_WHITESPACE))
 
 
+# The read-only rule as one pattern over a stripped, lower-cased statement; the
+# column form and the check of a single statement both use it.
+READ_ONLY_PATTERN = rf"(?s)\A(?:{'|'.join(SAFE_SQL_STARTS)})(?!.*(?:{'|'.join(UNSAFE_SQL_WORDS)}))"
+
+
 def sql_is_read_only(c: ColumnOrName) -> Column:
     """True when the text is a single read-only query by the reference's word rule.
 
@@ -36,16 +41,7 @@ def sql_is_read_only(c: ColumnOrName) -> Column:
     contain none of the unsafe words anywhere (as substrings, so ``created``
     is refused too).  Null text gives null.
     """
-    low = F.lower(python_strip(c))
-    starts = None
-    for s in SAFE_SQL_STARTS:
-        t = low.startswith(s)
-        starts = t if starts is None else (starts | t)
-    unsafe = None
-    for w in UNSAFE_SQL_WORDS:
-        t = F.instr(low, w) > 0
-        unsafe = t if unsafe is None else (unsafe | t)
-    return starts & ~unsafe
+    return F.lower(python_strip(c)).rlike(READ_ONLY_PATTERN)
 
 
 def strip_code_fences(c: ColumnOrName) -> Column:

@@ -1,20 +1,17 @@
 """Per-group aggregates attached to every row, safe when one group is huge.
 
 This is what ``agg(...).over(Window.partitionBy(keys))`` computes, but a
-window puts a whole group into one task.  Here the aggregates are a grouped
-aggregate (partially aggregated before its shuffle) joined back on the keys.
-A join alone would still send all rows of a hot key to one task, and AQE's
-skew-join split does not apply when one join side is an aggregate on its
-own shuffle, so hot keys are salted explicitly:
-
-* a key is hot when it holds at least ``1 / hot_share`` of all rows (and
-  more than one slice of rows), so there are at most ``hot_share`` hot keys;
-  that list is broadcast (a bound proven by construction, not an estimate);
-* a hot key with n rows is cut into ``ceil(n / salt_rows)`` slices: its rows
-  get a salt from a hash of the row (deterministic, so a recomputed task
-  after an executor loss assigns the same salt), and its one aggregate row
-  is repeated once per slice;
-* all other keys keep salt 0, and the join is on keys + salt.
+window puts a whole group into one task.  Here the aggregates are one grouped
+aggregate (partially aggregated before its shuffle, used for the hot groups
+and for the others alike), and the rows are read once more to take them:
+
+* a group with more than ``salt_rows`` rows is hot, whatever its share of all
+  rows.  Of N rows at most N / salt_rows groups can be hot, so at the default
+  a table of 10**12 rows has at most 250,000 of them; they travel to the rows
+  in a broadcast, values included, and their rows join nothing else;
+* the other groups are joined on their keys.  Rows of hot groups, and rows
+  whose key has a null part, carry a spread number instead of 0 in that join,
+  so they meet no group and do not gather in one task.
 """
 
 from __future__ import annotations
@@ -24,9 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed tuning values (parameters of the functions below).
-HOT_SHARE = 1024  # hot key: at least 1/1024 of all rows -> at most 1024 hot keys
-SALT_ROWS = 4_000_000  # rows per slice of a hot key
+SALT_ROWS = 4_000_000  # rows beyond which a group is hot
 
 
 def attach_group_aggregates(
@@ -34,29 +29,26 @@ def attach_group_aggregates(
     keys: Sequence[str],
     aggs: Sequence[Column],
     salt_rows: int = SALT_ROWS,
-    hot_share: int = HOT_SHARE,
 ) -> DataFrame:
     """``df`` with the aliased aggregates ``aggs`` over its ``keys`` group appended to every row.
 
     Rows whose key has a null part find no group and get null aggregates.
     """
     keys = list(keys)
-    total_rows = df.select(F.count(F.lit(1))).scalar()
     stats = df.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("_grp_rows"))
-    agg_names = [c for c in stats.columns if c not in keys and c != "_grp_rows"]
-    n = F.col("_grp_rows")
-    is_hot = (n * F.lit(hot_share) >= total_rows) & (n > F.lit(salt_rows))
-    stats = stats.withColumn("_slices", F.when(is_hot, F.ceil(n / F.lit(salt_rows))).otherwise(F.lit(1)).cast("int"))
-    # at most hot_share keys pass is_hot, so this broadcast has a proven bound
-    hot = F.broadcast(stats.where(F.col("_slices") > 1).select(*keys, "_slices"))
-    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    rows = (
-        df.join(hot, keys, "left")
-        .withColumn("_salt", F.when(F.col("_slices") > 1, F.pmod(row_hash, F.col("_slices"))).otherwise(F.lit(0)).cast("int"))
-        .drop("_slices")
+    names = [c for c in stats.columns if c not in keys and c != "_grp_rows"]
+    is_hot = F.col("_grp_rows") > F.lit(salt_rows)
+    # at most (rows of df) / salt_rows groups: see the module's text
+    hot = F.broadcast(stats.where(is_hot).select(*keys, *[F.col(c).alias(f"_hot_{c}") for c in names], F.lit(True).alias("_hot")))
+    no_group = F.lit(False)
+    for k in keys:
+        no_group = no_group | F.col(k).isNull()
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(1 << 30)).cast("int") + F.lit(1)
+    rows = df.join(hot, keys, "left").withColumn(
+        "_spread", F.when(F.col("_hot").isNotNull() | no_group, spread).otherwise(F.lit(0))
     )
-    slices = F.when(F.col("_slices") > 1, F.sequence(F.lit(0), F.col("_slices") - 1)).otherwise(F.array(F.lit(0)))
-    groups = stats.withColumn("_salt", F.explode(slices)).drop("_grp_rows", "_slices")
-    return rows.join(groups, [*keys, "_salt"], "left").select(
-        *[F.col(f"`{c}`") for c in df.columns], *agg_names
+    cold = stats.where(~is_hot).drop("_grp_rows").withColumn("_spread", F.lit(0))
+    return rows.join(cold, [*keys, "_spread"], "left").select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        *[F.coalesce(F.col(f"_hot_{c}"), F.col(c)).alias(c) for c in names],
     )

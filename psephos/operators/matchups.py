@@ -65,12 +65,13 @@ def opponents(
     enriched: DataFrame,
     margins: DataFrame,
     party: str,
-    scope: Sequence[str] = PARTY_SCOPE,
     keys: Sequence[str] = CONTEST_KEY,
     parties: DataFrame | None = None,
 ) -> DataFrame:
     """Relevant, non-independent parties met by ``party`` and how often.
 
+    The counts are national, and so is relevance: a party that won or came
+    second in any contest counts wherever it is met.
     ``contests`` counts entry pairs: a contest where the subject has two
     entries and the opponent three adds 6 (the reference's pair count).
     ``parties`` may be a written ``contest_parties`` table of the same entries.
@@ -82,7 +83,7 @@ def opponents(
     )
     subject = per.where(ps == party).groupBy(*keys).agg(F.sum("_n").alias("_n_subject"))
     others = per.where((ps != party) & (ps != IND_SHORT)).join(
-        finishers(margins, scope), [*scope, "party_short"], "left_semi"
+        finishers(margins, []), ["party_short"], "left_semi"
     )
     return (
         others.join(subject, keys, "inner")

@@ -3,22 +3,22 @@
 Scope.  Vote shares and seat totals are taken within a scope: a list of
 columns that are part of the contest key (default ``["state"]`` for parties,
 ``[]`` = national for alliances).  Every join between summaries is on scope
-plus party, so several states never multiply rows.  With an empty scope the
-total is an uncorrelated scalar subquery (computed once, no join at all).
+plus party, so several states never multiply rows.  Totals over a scope are
+windows over the summary's own rows.
 
 Aggregates.  Everything is a grouped aggregate with partial aggregation
 before the shuffle.  Party performance first collapses entries to one row
 per (contest, party): several entries of one party in a contest (as
-independents have) become one row, so "contests contested" is a plain count
-rather than a distinct count, and the join to the contest totals moves at
-most one row per party and contest.
+independents have) become one row, and totals to one row per contest, so "contests
+contested" counts each contest once and the join moves at most one row per
+party and contest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from psephos.functions.columns import pct, ratio
@@ -26,11 +26,9 @@ from psephos.schema import ALLIANCE_SCOPE, CONTEST_KEY, IND_SHORT, NOTA_SHORT, O
 
 
 def _scope_total(df: DataFrame, scope: Sequence[str], agg: Column, name: str) -> DataFrame:
-    """Attach one per-scope aggregate of ``df`` as column ``name``."""
-    if scope:
-        tot = df.groupBy(*scope).agg(agg.alias(name))
-        return df.join(tot, list(scope), "left").select(*[F.col(f"`{c}`") for c in df.columns], name)
-    return df.withColumn(name, df.select(agg).scalar())
+    """Attach one per-scope aggregate of ``df``, which is an aggregate already (a row for each
+    party or alliance), as column ``name``: a window over these few rows, so the entries are read once."""
+    return df.withColumn(name, agg.over(Window.partitionBy(*[F.col(c) for c in scope])))
 
 
 def _attach(df: DataFrame, other: DataFrame, scope: Sequence[str], name: str) -> DataFrame:
@@ -117,6 +115,8 @@ def party_contest_stats(
     ``totals`` are dropped (inner join).  ``total_votes_in_those_acs`` adds
     the contest total once per entry, so a party with three entries in a
     contest counts that contest's total three times (as the reference does).
+    A contest with several rows in ``totals`` is one contest contested; its
+    votes and wins count once per totals row, as a join on the contest gives.
     ``parties`` may be a written ``contest_parties`` table of the same
     entries; it is used when ``group_cols`` are among its columns.
     """
@@ -139,14 +139,16 @@ def party_contest_stats(
                 F.sum("total_votes").alias("_votes"),
             )
         )
-    contest_votes = totals.select(*keys, F.col("total_votes").alias("_contest_votes"))
+    contest_votes = totals.groupBy(*keys).agg(
+        F.sum("total_votes").alias("_contest_votes"), F.count(F.lit(1)).alias("_totals_rows")
+    )
     return (
         per_contest.join(contest_votes, keys, "inner")
         .groupBy(*scope, *group_cols)
         .agg(
             F.count(F.lit(1)).alias("seats_contested"),
-            F.sum("_won").alias("seats_won"),
-            F.sum("_votes").alias("total_votes_contested"),
+            F.sum(F.col("_won") * F.col("_totals_rows")).alias("seats_won"),
+            F.sum(F.col("_votes") * F.col("_totals_rows")).alias("total_votes_contested"),
             F.sum(F.col("_n") * F.col("_contest_votes")).alias("total_votes_in_those_acs"),
         )
     )

@@ -1,19 +1,26 @@
 """Ad-hoc read-only SQL over the named datasets (S-9).
 
-The statement is checked by the reference's word rule before it reaches
-Spark: after stripping and lower-casing it must start with ``select`` or
-``with`` and hold none of the unsafe words.  Spark's parser additionally
-refuses a second statement.  The result is a lazy DataFrame; nothing is
-collected here.
+A statement must pass the word rule (``READ_ONLY_PATTERN``), and what Spark
+makes of it must stay within the named views: every relation of its analysed
+plan, subqueries included, has to lie under a view, and functions that call
+into the JVM are refused.  Spark's parser refuses a second statement.  The
+result is a lazy DataFrame; nothing is collected here.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from psephos.functions.text import SAFE_SQL_STARTS, UNSAFE_SQL_WORDS
+from psephos.functions.text import READ_ONLY_PATTERN
+
+# Functions that reach outside the data.
+JVM_CALLS = re.compile(r"\b(reflect|java_method|try_reflect)\b\s*`?\s*\(")
+# A line of a plan's tree: its depth, and the name of the node.
+_NODE = re.compile(r"^([\s:+|-]*)'?(\w+)")
+_LEAVES = ("Relation", "RelationV2", "LogicalRDD", "LocalRelation", "Range", "UnresolvedRelation", "HiveTableRelation", "DataSourceV2Relation")
 
 
 class UnsafeQueryError(ValueError):
@@ -21,15 +28,33 @@ class UnsafeQueryError(ValueError):
 
 
 def is_read_only_sql(sql: str) -> bool:
-    """The reference's check on one statement (same rule as ``sql_is_read_only`` for a column)."""
-    lowered = sql.strip().lower()
-    if not lowered.startswith(SAFE_SQL_STARTS):
-        return False
-    return not any(w in lowered for w in UNSAFE_SQL_WORDS)
+    """The read-only rule on one statement."""
+    return re.search(READ_ONLY_PATTERN, sql.strip().lower()) is not None
+
+
+def relations_outside_views(df: DataFrame) -> list[str]:
+    """Relations of the analysed plan that no view holds (inline VALUES and one-row relations aside)."""
+    found, above = [], []  # the path of (depth, node) down to a line
+    for line in df._jdf.queryExecution().analyzed().toString().splitlines():
+        m = _NODE.match(line)
+        if not m:
+            continue
+        depth, node = len(m[1]), m[2]
+        while above and above[-1][0] >= depth:
+            above.pop()
+        if node in _LEAVES and node not in ("LocalRelation", "Range") and not any(n == "View" for _, n in above):
+            found.append(line.strip(" :+-|")[:80])
+        above.append((depth, node))
+    return found
 
 
 def adhoc_query(spark: SparkSession, sql: str, args: Mapping[str, object] | None = None) -> DataFrame:
     """Run a read-only query over the registered views; raises ``UnsafeQueryError`` otherwise."""
     if not is_read_only_sql(sql):
         raise UnsafeQueryError("only a single read-only SELECT / WITH query is allowed")
-    return spark.sql(sql, args=dict(args) if args else None)
+    if JVM_CALLS.search(sql.lower()):
+        raise UnsafeQueryError("functions that call into the JVM are not allowed")
+    df = spark.sql(sql, args=dict(args) if args else None)
+    if outside := relations_outside_views(df):
+        raise UnsafeQueryError(f"only the named datasets can be read, not {outside[0]}")
+    return df

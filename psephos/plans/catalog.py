@@ -4,9 +4,10 @@ Every query reads the whole test tables through the contest view
 (``psephos.sources.testview``) and runs one operator, or a dataset built
 from several, over all of it.  Dataset queries (party summary, margins,
 ...) run their operator from the candidates each time.  Route queries
-(overviews, matchups, profiles, search, detail, ad-hoc SQL) read the named
-datasets written once per session, as the reference's routes read the
-tables it builds at start-up.  Parameters (party codes, thresholds, search
+(party performance, overviews, matchups, profiles, search, detail, ad-hoc SQL)
+read the named datasets written once per session, as the reference's routes
+read the tables it builds at start-up; ``*_from_entries`` queries run the same
+operators without those tables.  Parameters (party codes, thresholds, search
 text) are the ones the reference's routes take; the values here are chosen
 to exist in the view.
 """
@@ -48,7 +49,8 @@ from psephos.plans.adhoc import adhoc_query
 from psephos.plans.datasets import build_datasets
 from psephos.sources.store import register_views
 from psephos.session import app_id
-from psephos.sources.testview import VIEW_NOTA_PARTY, contest_tables, local_shared_dir, view_fingerprint
+from psephos.sources.sinks import json_rows
+from psephos.sources.testview import VIEW_NOTA_PARTY, contest_tables, delete_on_exit, local_shared_dir, view_fingerprint
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +69,10 @@ GROUP BY pse.alliance
 """
 
 
+# Words put into statements by the "statement_check" query: those of the read-only rule, and harmless ones.
+STATEMENT_WORDS = ("Insert", "upDate", "deleted", "drop", "ALTER", "created", "truncate", "value")
+
+
 class _View:
     """The contest view's derived inputs for one query (lazy DataFrames)."""
 
@@ -106,12 +112,13 @@ _DATASETS_LOCK = threading.Lock()
 
 def served_datasets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The named datasets of the contest view, written to the shared folder on first use."""
-    fp = view_fingerprint(sf_dir)
+    fp = view_fingerprint(spark, sf_dir)
     key = (app_id(spark), fp)
     with _DATASETS_LOCK:  # callers on several threads share one build
         if key not in _DATASETS:
             t = contest_tables(spark, sf_dir)
             out = f"{local_shared_dir(spark).rstrip('/')}/psephos-datasets/{fp}-{uuid.uuid4().hex[:8]}"
+            delete_on_exit(spark, out)
             _DATASETS[key] = build_datasets(
                 t.candidates,
                 t.totals,
@@ -165,6 +172,33 @@ def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/conversations.parquet")
 
 
+def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation texts dressed up as statements: by turn they start like a query or not, by length
+    they hold one of the words of the read-only rule or none, and fences surround every third."""
+    c = _conversations(spark, sf_dir)
+    kind = F.pmod(F.length("text") + F.col("turn"), F.lit(24))
+    word = F.get(F.array(*[F.lit(w) for w in STATEMENT_WORDS]), F.pmod(kind, F.lit(len(STATEMENT_WORDS))))
+    start = F.when(kind % 3 == 0, " Select ").when(kind % 3 == 1, "\n WITH ").otherwise("EXPLAIN ")
+    fence = F.when(kind % 4 == 0, "```sql").when(kind % 4 == 1, "```").when(kind % 4 == 2, "```sql```").otherwise("")
+    return c.select("conv_id", "turn", F.concat(F.lit(" "), fence, start, word, F.lit(" "), "text", F.when(kind % 4 < 3, "```").otherwise(""), F.lit("\n")).alias("text"))
+
+
+def _statement_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _statements(spark, sf_dir)
+    return s.select("conv_id", "turn", sql_is_read_only(strip_code_fences(F.col("text"))).alias("is_read_only"), strip_code_fences(F.col("text")).alias("sql_text"))
+
+
+def _json_round_trip(d: dict[str, DataFrame]) -> DataFrame:
+    """Margins as JSON rows, with a NaN where the margin is over 50 %, read back into columns."""
+    m = d["constituency_margins"].select("state", "ac_no", "winner_candidate", F.when(F.col("margin_percent") > 50, F.lit(float("nan"))).otherwise(F.col("margin_percent")).alias("margin_percent"))
+    return json_rows(m).select(F.from_json("json", m.schema).alias("r")).select("r.*")
+
+
+def _placed(d: dict[str, DataFrame]) -> DataFrame:
+    """Margins of a few contests: some parties finish first or second in none of them."""
+    return d["constituency_margins"].where((F.col("ac_no") % 100 == 1) & (F.col("state") == "F"))
+
+
 def _sql_text_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _conversations(spark, sf_dir)
     return c.select("conv_id", "turn", sql_is_read_only(F.col("text")).alias("is_read_only"))
@@ -195,6 +229,18 @@ QUERIES: dict[str, Query] = {
     "independents_summary": _q(lambda v: independents_summary(v.enriched)),
     "overview_parties": _route(lambda d: overview_parties(d["party_summary_enriched"])),
     "overview_alliances": _route(lambda d: overview_alliances(d["alliance_summary"])),
+    "overview_alliances_split": _route(lambda d: overview_alliances(d["alliance_summary_split"])),
+    "relevant_parties_few": _route(lambda d: relevant_parties(_placed(d), d["party_summary_enriched"])),
+    "opponents_N3_few": _route(
+        lambda d: opponents(d["candidates_enriched"], _placed(d), "N3", parties=d["contest_parties"])
+    ),
+    "opponents_N3_from_entries": _q(lambda v: opponents(v.enriched, v.margins, "N3")),
+    "head_to_head_N3_N8_from_entries": _q(lambda v: head_to_head(v.enriched, "N3", "N8")),
+    "party_profiles_from_entries": _q(lambda v: party_profiles(v.enriched)),
+    "party_performance_from_entries": _q(lambda v: party_performance(v.enriched, v.totals, v.summary_enriched)),
+    "party_performance_filtered_half": _route(lambda d: _filtered(d, 10**9, 4.0)),
+    "json_round_trip": _route(_json_round_trip),
+    "statement_check": _statement_check,
     "relevant_parties": _route(lambda d: relevant_parties(d["constituency_margins"], d["party_summary_enriched"])),
     "opponents_N3": _route(lambda d: _opponents(d, "N3")),
     "opponents_IND": _route(lambda d: _opponents(d, "IND")),

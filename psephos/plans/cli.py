@@ -4,9 +4,10 @@
     python -m psephos route opponents --party JDU (--tables DIR | --entries E.csv --totals T.csv) [--out DIR]
     python -m psephos sql "SELECT ..." (--tables DIR | --entries E.csv --totals T.csv)
 
-Without ``--party-map`` the reference's map is used.  Routes print at most
-``--show`` rows (JSON, one per line); ``--out`` writes the whole result as
-JSON text files from the executors instead of through the driver.
+Without ``--party-map`` the reference's map is used.  Routes print every row
+(JSON, one per line, streamed a partition at a time); ``--show N`` prints N and
+fails, naming the total, if there are more; ``--out`` writes the whole result
+as JSON text files from the executors instead of through the driver.
 """
 
 from __future__ import annotations
@@ -44,7 +45,9 @@ ROUTES = {
         d["candidates_enriched"], a.party1, a.party2, parties=d["contest_parties"], winners=d["contest_winners"]
     ),
     "overview-parties": lambda d, a: overview_parties(d["party_summary_enriched"]),
-    "overview-alliances": lambda d, a: overview_alliances(d["alliance_summary"]),
+    "overview-alliances": lambda d, a: overview_alliances(
+        d["alliance_summary_split" if a.split_alliances else "alliance_summary"]
+    ),
     "party-performance": lambda d, a: party_performance_filtered(
         d["candidates_enriched"],
         d["ac_totals"],
@@ -56,10 +59,19 @@ ROUTES = {
     "nota": lambda d, a: d["nota_summary"],
     "nail-biters": lambda d, a: close_contests(d["constituency_margins"], 2.0, a.limit),
     "party-analytics": lambda d, a: party_profile(d["candidates_enriched"], a.party_short, places=d["contest_places"]),
-    "search": lambda d, a: search_contests(d["contest_index"], a.q),
+    "search": lambda d, a: search_contests(d["contest_index"], a.q, a.limit),
     "detail": lambda d, a: contest_detail(d["candidates_enriched"], a.ac_no, a.state),
 }
 
+# Parameters without which a route has nothing to answer.
+REQUIRED = {
+    "opponents": ("party",),
+    "head-to-head": ("party1", "party2"),
+    "party-analytics": ("party_short",),
+    "search": ("q",),
+    "detail": ("ac_no",),
+}
+
 
 def _inputs(p: argparse.ArgumentParser) -> None:
     p.add_argument("--entries", help="entries CSV/Parquet (one row per candidate)")
@@ -84,8 +96,15 @@ def _emit(df: DataFrame, a) -> None:
         rows.write.mode("overwrite").text(a.out)
         print(json.dumps({"written": a.out}))
         return
-    for r in rows.limit(a.show).collect():
+    if a.show is None:
+        for r in rows.toLocalIterator():
+            print(r[0])
+        return
+    first = rows.limit(a.show + 1).collect()
+    for r in first[: a.show]:
         print(r[0])
+    if len(first) > a.show:
+        raise SystemExit(f"{a.show} of {df.count()} rows shown; leave out --show, or write all of them with --out")
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -104,17 +123,22 @@ def main(argv: list[str] | None = None) -> None:
     r.add_argument("--min-seats-won", type=int, default=0)
     r.add_argument("--min-vote-share", type=float, default=0.0)
     r.add_argument("--limit", type=int, default=10)
-    r.add_argument("--q", default="")
+    r.add_argument("--q")
+    r.add_argument("--split-alliances", action="store_true", help="parties outside the map as an OTHER row of their own")
     r.add_argument("--ac-no", type=int)
     r.add_argument("--state")
     r.add_argument("--out")
-    r.add_argument("--show", type=int, default=1000)
+    r.add_argument("--show", type=int)
     q = sub.add_parser("sql", help="run one read-only query over the named datasets")
     q.add_argument("statement")
     _inputs(q)
     q.add_argument("--out")
-    q.add_argument("--show", type=int, default=1000)
+    q.add_argument("--show", type=int)
     a = ap.parse_args(argv)
+    if a.cmd == "route":
+        missing = [p for p in REQUIRED.get(a.name, ()) if getattr(a, p) is None]
+        if missing:
+            ap.error(f"{a.name} needs " + ", ".join("--" + p.replace("_", "-") for p in missing))
 
     spark = build_session(a.master, None, app_name="psephos-cli")
     if a.cmd == "build":

@@ -48,6 +48,7 @@ DATASET_NAMES = (
     "candidates_enriched",
     "party_summary_enriched",
     "alliance_summary",
+    "alliance_summary_split",
     "party_performance",
     "constituency_margins",
     "nota_by_ac",
@@ -100,6 +101,10 @@ def build_datasets(
     # as concurrent jobs (each is small next to the cluster or the cores).
     derived = {
         "alliance_summary": lambda: alliance_summary(candidates, party_map, totals, alliance_scope, keys=keys),
+        # the map's own groups: parties outside the map are an OTHER row of their own
+        "alliance_summary_split": lambda: alliance_summary(
+            candidates, party_map, totals, alliance_scope, split_unmapped=True, keys=keys
+        ),
         "party_performance": lambda: party_performance(ce, totals, pse, party_scope, keys),
         "constituency_margins": lambda: contest_margins(ce, totals, keys),
         # distinct (contest, name) pairs: what contest search scans instead of every entry
@@ -133,6 +138,7 @@ def build_datasets(
         "candidates_enriched": ce,
         "party_summary_enriched": pse,
         "alliance_summary": alliances,
+        "alliance_summary_split": built["alliance_summary_split"],
         "party_performance": performance,
         "constituency_margins": margins,
         "nota_by_ac": nba,
@@ -164,6 +170,7 @@ def load_datasets(
         "party_map",
         "party_summary",
         "alliance_summary",
+        "alliance_summary_split",
         "party_performance",
         "constituency_margins",
         "contest_index",

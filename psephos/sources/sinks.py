@@ -8,6 +8,8 @@ pulled through the driver.  Only the bounded helpers (``preview``,
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,13 +38,24 @@ def preview(df: DataFrame, threshold: int = PREVIEW_THRESHOLD, sample: int = PRE
 
     At most ``threshold`` rows reach the driver.
     """
-    n = df.count()
-    take = n if n <= threshold else sample
-    rows = json_rows(df).limit(take).collect() if take else []
-    return n, [r[0] for r in rows]
+    rows = [r[0] for r in json_rows(df).limit(threshold + 1).collect()]
+    if len(rows) <= threshold:  # the usual case: one run
+        return len(rows), rows
+    return df.count(), rows[:sample]
+
+
+@dataclass(frozen=True)
+class Answer:
+    """Rows passed on to the answer text: their JSON array, the number of all rows, and a note if some are left out."""
+
+    rows: str
+    total: int
+    note: str | None
 
 
-def answer_rows(df: DataFrame, max_rows: int = ANSWER_MAX_ROWS) -> str:
-    """JSON array text of at most ``max_rows`` rows."""
-    rows = json_rows(df).limit(max_rows).collect()
-    return "[" + ",".join(r[0] for r in rows) + "]"
+def answer_rows(df: DataFrame, max_rows: int = ANSWER_MAX_ROWS) -> Answer:
+    """At most ``max_rows`` rows as JSON, with the total and a note that says what is missing."""
+    rows = [r[0] for r in json_rows(df).limit(max_rows + 1).collect()]
+    total = len(rows) if len(rows) <= max_rows else df.count()
+    note = f"first {max_rows} of {total} rows" if total > max_rows else None
+    return Answer("[" + ",".join(rows[:max_rows]) + "]", total, note)

@@ -19,7 +19,7 @@ over several join tasks instead of landing in one).
 from __future__ import annotations
 
 import hashlib
-import os
+import re
 import tempfile
 import threading
 import uuid
@@ -36,10 +36,9 @@ from psephos.schema import CONTEST_KEY
 from psephos.session import app_id, shared_dir
 from psephos.sources.store import materialize
 
-# Fixed values of the mapping: raw party names (nation names) that play
-# none-of-the-above and the independents.
+# Fixed value of the mapping: the raw party name (a nation name) that plays
+# none-of-the-above.
 VIEW_NOTA_PARTY = "NATION_24"
-VIEW_IND_PARTY = "NATION_21"
 
 
 @dataclass(frozen=True)
@@ -116,11 +115,6 @@ def view_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def contest_tables_lazy(spark: SparkSession, sf_dir: str) -> ContestTables:
-    """Candidates (with vote_percent, is_winner), contest totals and party map as one lazy plan."""
-    return _derive(spark, sf_dir, view_entries(spark, sf_dir))
-
-
 def _derive(spark: SparkSession, sf_dir: str, entries: DataFrame) -> ContestTables:
     keys = list(CONTEST_KEY)
     totals = entries.groupBy(*keys, "ac_name").agg(
@@ -150,15 +144,16 @@ _BUILD_LOCK = threading.Lock()
 _VIEW_INPUTS = ("lineitem", "orders", "customer", "supplier", "nation")
 
 
-def view_fingerprint(sf_dir: str) -> str:
-    h = hashlib.sha1(os.path.realpath(sf_dir).encode())
+def view_fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Names, sizes and times of all input files, part files included, on any file system Spark reads."""
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    h = hashlib.sha1()
     for name in _VIEW_INPUTS:
-        path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-        try:
-            st = os.stat(path)
-            h.update(f"{name}:{st.st_size}:{st.st_mtime_ns}".encode())
-        except OSError:  # not a local path (object store): the path alone keys it
-            h.update(name.encode())
+        path = path_of(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        fs = path.getFileSystem(conf)
+        files = fs.listStatus(path)  # a file lists itself, a directory its part files
+        h.update("".join(sorted(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()};" for f in files)).encode())
     return h.hexdigest()[:16]
 
 
@@ -166,16 +161,25 @@ _LOCAL_FALLBACK: dict[str, str] = {}
 
 
 def local_shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a local one (one per application) only when the session names none."""
+    """The session's shared folder.  Only with a ``local`` master, where all executors are
+    this process, may it be a temporary folder; elsewhere a session without one is an error."""
     try:
         return shared_dir(spark)
     except RuntimeError:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise
         app = app_id(spark)
         if app not in _LOCAL_FALLBACK:
             _LOCAL_FALLBACK[app] = tempfile.mkdtemp(prefix="psephos-shared-", dir="/tmp")
         return shared_dir(spark, _LOCAL_FALLBACK[app])
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Delete a written folder when the application's file system closes."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def contest_tables(spark: SparkSession, sf_dir: str) -> ContestTables:
     """Candidates, contest totals and party map, built once per session and written to the shared folder.
 
@@ -185,7 +189,7 @@ def contest_tables(spark: SparkSession, sf_dir: str) -> ContestTables:
     written too, like the reference's tables.  The folder is the session's
     ``spark.checkpoint.dir``; a local one is set only when none is (tests).
     """
-    key = (app_id(spark), view_fingerprint(sf_dir))
+    key = (app_id(spark), view_fingerprint(spark, sf_dir))
     with _BUILD_LOCK:  # callers on several threads share one build
         if key not in _BUILT:
             _BUILT[key] = _build(spark, sf_dir, key[1])
@@ -196,9 +200,14 @@ def _build(spark: SparkSession, sf_dir: str, fingerprint: str) -> ContestTables:
     root = local_shared_dir(spark)
     base = f"{root.rstrip('/')}/psephos-contest-view/{fingerprint}-{uuid.uuid4().hex[:8]}"
     keys = list(CONTEST_KEY)
+    delete_on_exit(spark, base)
     entries = materialize(view_entries(spark, sf_dir), f"{base}/entries")
     t = _derive(spark, sf_dir, entries)
     with ThreadPoolExecutor(max_workers=2) as pool:  # two independent writes, as concurrent jobs
         cand = pool.submit(materialize, t.candidates, f"{base}/candidates", None, keys)
         tot = pool.submit(materialize, t.totals, f"{base}/ac_totals", None, keys)
-        return ContestTables(candidates=cand.result(), totals=tot.result(), party_map=t.party_map)
+        built = ContestTables(candidates=cand.result(), totals=tot.result(), party_map=t.party_map)
+    # Nothing reads the entries any more; the rest lasts as long as the application.
+    used = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/entries")
+    used.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(used, True)
+    return built

@@ -55,8 +55,46 @@ def test_build_route_sql(spark, tmp_out, capsys):
     assert _lines(capsys) == [{"n": 4}]
 
     main(["route", "detail", "--ac-no", "1", "--tables", tables])
-    assert [r["total_votes"] for r in _lines(capsys)] == [120400, 100200, 13032]
+    assert [r["total_votes"] for r in _lines(capsys)] == [120400, 98180, 13060]
 
     main(["route", "nota", "--tables", tables])
     nota = _lines(capsys)
-    assert len(nota) == 1 and nota[0]["total_nota_votes"] == 13032 and nota[0]["num_acs_over_5pct"] == 1
+    assert len(nota) == 1 and nota[0]["total_nota_votes"] == 13060 and nota[0]["num_acs_over_5pct"] == 1
+
+
+def test_every_row_or_an_error(spark, tmp_out, capsys):
+    """1,200 contests: all rows by default; --show says what it leaves out and fails."""
+    import pytest
+
+    entries = ENTRIES_CSV.splitlines()[0] + "\n" + "".join(
+        f"Northland,{n},PLACE {n},{sn},Cand {n}-{sn},{party},{votes},0,{votes},50.0\n"
+        for n in range(1, 1201)
+        for sn, party, votes in ((1, "Party Alpha", 50 + n), (2, "Party Beta", 40 + n))
+    )
+    totals = TOTALS_CSV.splitlines()[0] + "\n" + "".join(f"Northland,{n},PLACE {n},{90 + 2 * n},0,{90 + 2 * n}\n" for n in range(1, 1201))
+    e, t = write(tmp_out, "entries.csv", entries), write(tmp_out, "totals.csv", totals)
+    pm = write(tmp_out, "pm.csv", "party_name,canonical_name,short_code,alliance\n" + "\n".join(",".join(r) for r in PARTY_ROWS))
+    inputs = ["--entries", e, "--totals", t, "--party-map", pm]
+    h2h = ["route", "head-to-head", "--party1", "ALP", "--party2", "BET", *inputs]
+    main(h2h)
+    assert len(_lines(capsys)) == 1200
+    with pytest.raises(SystemExit, match="10 of 1200 rows.*--out"):
+        main([*h2h, "--show", "10"])
+    assert len(_lines(capsys)) == 10
+    main(["route", "search", "--q", "place", "--limit", "25", *inputs])
+    assert len(_lines(capsys)) == 25
+    for missing in (["opponents"], ["head-to-head", "--party1", "ALP"], ["party-analytics"], ["search"], ["detail"]):
+        with pytest.raises(SystemExit):
+            main(["route", *missing, *inputs])
+    capsys.readouterr()
+
+
+def test_split_alliances(spark, tmp_out, capsys):
+    e = write(tmp_out, "entries.csv", ENTRIES_CSV.replace("Cand F,Party Gamma", "Cand F,Party Nowhere"))
+    t = write(tmp_out, "totals.csv", TOTALS_CSV)
+    pm = write(tmp_out, "pm.csv", "party_name,canonical_name,short_code,alliance\n" + "\n".join(",".join(r) for r in [*PARTY_ROWS, ("Party Small", "Small", "SML", "OTHER")]))
+    e2 = write(tmp_out, "entries2.csv", open(e).read().replace("Cand B,Party Beta", "Cand B,Party Small"))
+    main(["route", "overview-alliances", "--entries", e2, "--totals", t, "--party-map", pm])
+    assert [r["alliance"] for r in _lines(capsys)].count("OTHER") == 1
+    main(["route", "overview-alliances", "--split-alliances", "--entries", e2, "--totals", t, "--party-map", pm])
+    assert [r["alliance"] for r in _lines(capsys)].count("OTHER") == 2

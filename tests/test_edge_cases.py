@@ -283,8 +283,8 @@ def test_preview_rule(spark):
     big = spark.range(26).withColumnRenamed("id", "n")
     n, rows = preview(big.orderBy("n"))
     assert n == 26 and len(rows) == 5
-    text = answer_rows(spark.range(500).orderBy("id"))
-    assert len(json.loads(text)) == 120
+    answer = answer_rows(spark.range(500).orderBy("id"))
+    assert len(json.loads(answer.rows)) == 120 and answer.total == 500
 
 
 def test_head_to_head_same_party(spark):
@@ -316,3 +316,31 @@ def test_empty_input_global_aggregates(spark):
     c = candidates_df(spark, rows).where(F.lit(False))
     s = as_dicts(nota_summary(nota_by_contest(c)))[0]
     assert s["num_acs_over_2pct"] == 0 and s["total_votes"] is None
+
+
+def test_repeated_totals_rows_are_one_contest(spark):
+    """Two totals rows for a contest (its name spelt in two ways): one contest contested, votes and wins per row."""
+    rows = [entry("S", 1, 1, "Party Alpha", 60), entry("S", 1, 2, "Party Beta", 50), entry("S", 2, 1, "Party Beta", 40)]
+    totals = totals_from(spark, rows)
+    again = totals.unionByName(totals.where("ac_no = 1").withColumn("ac_name", F.lit("other spelling")))
+    ce = enrich(candidates_df(spark, rows), party_map_df(spark))
+    pse = enrich_summary(party_summary(candidates_df(spark, rows)), party_map_df(spark))
+    perf = {r["party_short"]: r for r in as_dicts(party_performance(ce, again, pse))}
+    assert perf["ALP"]["seats_contested"] == 1 and perf["ALP"]["seats_won"] == 2
+    assert perf["ALP"]["strike_rate"] == 200.0 and perf["ALP"]["avg_votes_per_seat"] == 120.0
+    assert perf["BET"]["seats_contested"] == 2 and perf["BET"]["seats_won"] == 1
+    assert perf["BET"]["avg_votes_per_seat"] == (50 * 2 + 40) / 2
+    assert perf["BET"]["vote_pct_contested"] == 140 * 100.0 / (110 * 2 + 40)
+    short = {r["party_short"]: r for r in as_dicts(party_performance_filtered(ce, again, pse))}
+    assert short["BET"]["seats_contested"] == 2 and short["ALP"]["strike_rate"] == 200.0
+
+
+def test_opponents_are_relevant_nationally(spark):
+    """Gamma wins in T only, and meets Alpha in S, where it comes third."""
+    rows = [
+        entry("S", 1, 1, "Party Alpha", 60), entry("S", 1, 2, "Party Beta", 50), entry("S", 1, 3, "Party Gamma", 10),
+        entry("T", 1, 1, "Party Gamma", 9),
+    ]
+    ce = enrich(candidates_df(spark, rows), party_map_df(spark))
+    m = contest_margins(ce, totals_from(spark, rows))
+    assert {r["party_short"]: r["contests"] for r in as_dicts(opponents(ce, m, "ALP"))} == {"BET": 1, "GAM": 1}

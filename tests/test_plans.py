@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import pytest
 
-import __spark_entry__ as entry_mod
 from psephos.operators import contest_margins, enrich, head_to_head, opponents, party_profile
+from psephos.plans.catalog import QUERIES
 from psephos.sources.testview import contest_tables
 from tests.conftest import SMOKE
 
@@ -33,16 +33,16 @@ def test_party_map_join_is_broadcast(spark, view):
     assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
 
 
-@pytest.mark.parametrize("name", sorted(entry_mod.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cartesian_or_nested_loop(spark, name):
-    p = plan_text(entry_mod.queries()[name](spark, SMOKE))
+    p = plan_text(QUERIES[name](spark, SMOKE))
     assert "CartesianProduct" not in p
     assert "BroadcastNestedLoopJoin" not in p
 
 
-@pytest.mark.parametrize("name", sorted(entry_mod.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_udf(spark, name):
-    p = plan_text(entry_mod.queries()[name](spark, SMOKE))
+    p = plan_text(QUERIES[name](spark, SMOKE))
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p and "FlatMapGroupsInPandas" not in p
 
 
@@ -52,9 +52,9 @@ def test_head_to_head_hash_aggregates_only(spark, view):
     assert "WindowGroupLimit" in p  # winner: top-1 over winner-flagged rows
 
 
-@pytest.mark.parametrize("name", sorted(entry_mod.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_sort_aggregate(spark, name):
-    p = plan_text(entry_mod.queries()[name](spark, SMOKE))
+    p = plan_text(QUERIES[name](spark, SMOKE))
     assert "SortAggregate" not in p
 
 
@@ -80,3 +80,28 @@ def test_detail_filter_pushed_to_scan(spark, view):
 
     p = plan_text(contest_detail(enrich(view.candidates, view.party_map), 1))
     assert "PushedFilters: [IsNotNull(ac_no), EqualTo(ac_no,1)]" in p
+
+
+def scans(df) -> int:
+    """Scans of the candidates (the view's written table) in the plan, reused exchanges not counted."""
+    return plan_text(df).count("FileScan parquet") - plan_text(df).count("nation.parquet")
+
+
+def test_summaries_read_the_candidates_once(spark, view):
+    from psephos.operators import alliance_summary, party_summary
+
+    assert scans(party_summary(view.candidates)) == 1
+    for split in (False, True):
+        a = alliance_summary(view.candidates, view.party_map, view.totals, split_unmapped=split)
+        assert plan_text(a).count("/candidates") == 1
+
+
+def test_winner_flag_reads_the_candidates_twice(spark, view):
+    """Once for the rows and once for the groups: hot and cold groups share one aggregate."""
+    from psephos.operators import flag_winners
+
+    df = flag_winners(view.candidates.drop("is_winner"))
+    rows = df.collect()
+    p = plan_text(df)
+    final = p[p.find("== Final Plan ==") : p.find("== Initial Plan ==")] or p
+    assert rows and final.count("FileScan parquet") <= 2 and "ReusedExchange" in final

@@ -102,10 +102,10 @@ def test_hot_contest_join_is_split(spark, skewed):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
-    assert "SortMergeJoin" in plan and "Generate explode" in plan
-    # 3,000 rows in slices of 500 -> 6 salts, hashed over 8 partitions (some may share one)
-    assert len(parts) >= 2
-    assert max(r["count"] for r in parts) <= 2000
+    assert "SortMergeJoin" in plan
+    # the hot contest's 3,000 rows spread over the 8 partitions
+    assert len(parts) >= 6
+    assert max(r["count"] for r in parts) <= 1000
     best = {}
     for r in rows:
         best[(r[0], r[1])] = max(best.get((r[0], r[1]), -1), r[8])
@@ -138,3 +138,35 @@ def test_attach_group_aggregates_null_keys(spark):
     df = spark.createDataFrame([("a", 1, 5), ("a", 1, 7), (None, 1, 9), (None, 1, 11)], "k string, j int, v int")
     out = {(r["k"], r["v"]): r["m"] for r in attach_group_aggregates(df, ["k", "j"], [F.max("v").alias("m")]).collect()}
     assert out == {("a", 5): 7, ("a", 7): 7, (None, 9): None, (None, 11): None}
+
+
+def test_hot_by_rows_whatever_the_share(spark):
+    """A group far under a thousandth of all rows, yet over ``salt_rows``, and null keys: both spread over tasks."""
+    from pyspark.sql import functions as F
+
+    from psephos.operators.grouped import attach_group_aggregates
+
+    n = 400_000
+    k = F.when(F.col("id") < 300, F.lit(-1)).when(F.col("id") < 1300, F.lit(None)).otherwise(F.col("id") % 50_000)
+    df = spark.range(n).repartition(8).select(k.cast("bigint").alias("k"), F.col("id").alias("v"))
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {c: spark.conf.get(c, None) for c in conf}
+    try:
+        for c, v in conf.items():
+            spark.conf.set(c, v)
+        out = attach_group_aggregates(df, ["k"], [F.max("v").alias("m")], salt_rows=100)
+        hot = out.where((F.col("k") == -1) | F.col("k").isNull())
+        parts = {(r["k"], r["p"]): r["count"] for r in hot.groupBy("k", F.spark_partition_id().alias("p")).count().collect()}
+        right = out.where(F.col("k") == -1).agg(F.count("v"), F.min("m"), F.max("m")).first()
+        nulls = out.where(F.col("k").isNull()).agg(F.count("v"), F.count("m")).first()
+        rows = out.count()
+    finally:
+        for c, v in old.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+    assert rows == n and tuple(right) == (300, 299, 299) and tuple(nulls) == (1000, 0)
+    assert max(v for (k, _), v in parts.items() if k == -1) <= 120
+    assert max(v for (k, _), v in parts.items() if k is None) <= 400

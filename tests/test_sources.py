@@ -11,17 +11,17 @@ from psephos.sources import party_map_from_rows, read_entries, read_party_map, r
 from tests.helpers import PARTY_ROWS, as_dicts
 
 TOTALS_CSV = """state,ac_no,ac_name,total_evm_votes,total_postal_votes,total_votes
-Northland,1,LAKE VIEW,232960,672,233632
-Northland,10,HILLCREST,214599,849,215448
+Northland,1,LAKE VIEW,231000,640,231640
+Northland,10,HILLCREST,212000,800,212800
 Northland,2,RIVERSIDE,210000,500,210500
 """
 
 ENTRIES_CSV = """state,ac_no,ac_name,sn,candidate,party,evm_votes,postal_votes,total_votes,vote_percent
-Northland,1,LAKE VIEW,1,Cand A,Party Alpha,120000,400,120400,51.53
-Northland,1,LAKE VIEW,2,Cand B,Party Beta,100000,200,100200,42.89
-Northland,1,LAKE VIEW,3,NOTA,None of the Above,12960,72,13032,5.58
-Northland,10,HILLCREST,1,Cand C,Party Beta,110000,500,110500,51.29
-Northland,10,HILLCREST,2,Cand D,Independent,104599,349,104948,48.71
+Northland,1,LAKE VIEW,1,Cand A,Party Alpha,120000,400,120400,51.98
+Northland,1,LAKE VIEW,2,Cand B,Party Beta,98000,180,98180,42.39
+Northland,1,LAKE VIEW,3,NOTA,None of the Above,13000,60,13060,5.64
+Northland,10,HILLCREST,1,Cand C,Party Beta,109000,450,109450,51.43
+Northland,10,HILLCREST,2,Cand D,Independent,103000,350,103350,48.57
 Northland,2,RIVERSIDE,1,Cand E,Party Alpha,105000,250,105250,50.0
 Northland,2,RIVERSIDE,2,Cand F,Party Gamma,105000,250,105250,50.0
 """
@@ -66,7 +66,7 @@ def test_build_datasets_materialised(spark, tmp_out):
     assert m[2]["winner_party_short"] == "ALP" and m[2]["margin_votes"] == 0
     assert m[10]["runner_party_short"] == "IND"
     nota = as_dicts(ds["nota_summary"])[0]
-    assert nota["total_nota_votes"] == 13032 and nota["num_acs_over_5pct"] == 1
+    assert nota["total_nota_votes"] == 13060 and nota["num_acs_over_5pct"] == 1
     # views are registered under the reference's names
     rows = as_dicts(adhoc_query(spark, "SELECT alliance, seats_won FROM alliance_summary ORDER BY seats_won DESC, alliance"))
     seats = {r["alliance"]: r["seats_won"] for r in rows}
@@ -103,3 +103,69 @@ def test_load_datasets_equals_build(spark, tmp_out):
         a = sorted(map(tuple, built[name].collect()), key=repr)
         b = sorted(map(tuple, loaded[name].select(*cols).collect()), key=repr)
         assert a == b, name
+
+
+def test_csv_columns_go_by_name(spark, tmp_out):
+    import pytest
+
+    rows = [line.split(",") for line in TOTALS_CSV.strip().split("\n")]
+    plain = [tuple(r) for r in read_totals(spark, write(tmp_out, "a.csv", TOTALS_CSV)).collect()]
+    turned = "\n".join(",".join([*reversed(r), "more" if i else "extra"]) for i, r in enumerate(rows))
+    assert [tuple(r) for r in read_totals(spark, write(tmp_out, "b.csv", turned)).collect()] == plain
+    fewer = "\n".join(",".join(r[:-1]) for r in rows)
+    with pytest.raises(ValueError, match="total_votes"):
+        read_totals(spark, write(tmp_out, "c.csv", fewer))
+    for reader, text in ((read_entries, ENTRIES_CSV), (read_party_map, "party_name,canonical_name,short_code,alliance\na,b,c,d\n")):
+        rows = [line.split(",") for line in text.strip().split("\n")]
+        one = [tuple(r) for r in reader(spark, write(tmp_out, "d.csv", text)).collect()]
+        turned = "\n".join(",".join(["z", *reversed(r)]) for r in rows)
+        assert [tuple(r) for r in reader(spark, write(tmp_out, "e.csv", turned)).collect()] == one
+        with pytest.raises(ValueError, match=rows[0][0]):
+            reader(spark, write(tmp_out, "f.csv", "\n".join(",".join(r[1:]) for r in rows)))
+    wrong = TOTALS_CSV.replace("231640", "many")
+    with pytest.raises(Exception, match="total_votes"):
+        read_totals(spark, write(tmp_out, "g.csv", wrong)).collect()
+
+
+def test_answer_rows_says_what_is_left_out(spark):
+    from psephos.sources import answer_rows, preview
+
+    some = answer_rows(spark.range(130))
+    assert some.total == 130 and some.note == "first 120 of 130 rows" and some.rows.count("{") == 120
+    few = answer_rows(spark.range(120))
+    assert few.total == 120 and few.note is None
+    n, rows = preview(spark.range(26))
+    assert n == 26 and len(rows) == 5
+    n, rows = preview(spark.range(25))
+    assert n == 25 and len(rows) == 25
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    import pytest
+
+    from psephos.sources import testview
+
+    class Session:
+        class sparkContext:
+            master = "spark://host:7077"
+
+    def none(spark):
+        raise RuntimeError("no shared folder")
+
+    monkeypatch.setattr(testview, "shared_dir", none)
+    with pytest.raises(RuntimeError):
+        testview.local_shared_dir(Session())
+
+
+def test_fingerprint_sees_part_files(spark, tmp_out):
+    import shutil
+
+    from psephos.sources.testview import _VIEW_INPUTS, view_fingerprint
+
+    for name in _VIEW_INPUTS:
+        spark.range(4).repartition(2).write.parquet(f"{tmp_out}/{name}.parquet")
+    before = view_fingerprint(spark, tmp_out)
+    assert before == view_fingerprint(spark, tmp_out)
+    part = next(f for f in os.listdir(f"{tmp_out}/nation.parquet") if f.startswith("part-"))
+    shutil.copy(f"{tmp_out}/nation.parquet/{part}", f"{tmp_out}/nation.parquet/part-more.parquet")
+    assert view_fingerprint(spark, tmp_out) != before
