@@ -11,17 +11,17 @@ sets is at least ``percent`` / 100.
    verification.  Classes that share a band's key are in one bucket; there are
    so many bands that a pair at the threshold shares none with a chance of at
    most ``NO_BAND``.
-3. In every bucket the first ``leaders`` members are paired with the others
+3. In every bucket the first members, its leaders, are paired with the others
    that are not yet in their component; the leaders are then done with and
    leave the bucket.  A round's pairs are verified, the links it finds are
-   contracted to components, and the next round takes four times as many
-   leaders.  A bucket whose members are in one component is done; the rounds
+   contracted to components, and the next round takes ``GROWTH`` times as
+   many leaders.  A bucket whose members are in one component is done; the rounds
    end when all are.  So no pair is skipped but those whose ends a chain of
    links already joins, and a bucket of n copies costs about n pairs.
 4. A pair's signatures are compared in batches; after each, it is given up if
    the posterior chance (uniform prior) that its similarity reaches the
    threshold is under ``MISS``.  Survivors are confirmed on full sets.
-5. Components are found by alternating large-star and small-star joins.
+5. Components are found by passing on the least id, with shortcuts.
 
 Null texts count as empty.  Rows of one id are one document, linked if any of
 them is, with the largest n_shingles.  Null ids are left out of the result.
@@ -40,7 +40,7 @@ from psephos.llm.common import WORD, attach, hot_limit, ship, written
 
 ROWS, NO_BAND, MOST_BANDS = 3, 1e-9, 64
 VERIFY, BATCH, MISS = 64, 16, 1e-7
-GROWTH = 4
+LEADERS, GROWTH = 4, 8
 _rng = np.random.Generator(np.random.PCG64(20))
 _A = _rng.integers(1, 1 << 63, VERIFY + MOST_BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, VERIFY + MOST_BANDS * ROWS, np.uint64)
@@ -179,37 +179,22 @@ def _confirmed(a: Column, b: Column, percent: int) -> Column:
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every end of ``links`` (a, b): the smallest id it is joined with.
 
-    Large-star links each vertex's greater neighbours to its smallest, small-star
-    its smaller ones; they alternate until nothing changes.
+    Every vertex takes the least of its label, its neighbours' labels and its
+    label's label, until nothing changes; a label's label halves the way to
+    go each time.  Both joins are plain, so a vertex with many neighbours and
+    a label of many vertices are split when skewed.
     """
-
-    def star(edges: DataFrame, large: bool) -> DataFrame:
-        if large:
-            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        else:
-            both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        lowest = both.groupBy("a").agg(F.min("b").alias("m"), F.count("b").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        met = attach(both, lowest, "a", "n", limit)
-        new = met.where(F.col("b") > F.col("a")) if large else met
-        new = new.select(F.col("b").alias("a"), F.col("m").alias("b"))
-        if not large:
-            new = new.unionByName(lowest.select("a", F.col("m").alias("b")))
-        return new.where(F.col("a") != F.col("b")).distinct()
-
-    edges = links.select("a", "b").where(F.col("a") != F.col("b")).distinct()
-    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    limit = hot_limit(edges.count())
-    sign = lambda e: tuple(e.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    before = sign(edges)
-    while before[0]:
-        edges = written(star(written(star(edges, True), "links"), False), "links")
-        after = sign(edges)
-        if after == before:
-            break
-        before = after
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
-        edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-    )
+    there = links.select("a", "b").where(F.col("a") != F.col("b"))
+    edges = written(there.unionByName(there.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = written(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("c")), "labels")
+    while True:
+        near = edges.join(labels.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
+        own = labels.join(near, "id")
+        of_label = labels.select(F.col("id").alias("c"), F.col("c").alias("l"))
+        new = written(own.join(of_label, "c").select("id", F.least("c", "m", "l").alias("now"), "c"), "labels")
+        labels = new.select("id", F.col("now").alias("c"))
+        if new.where(F.col("now") != F.col("c")).isEmpty():
+            return labels.withColumnRenamed("c", "component")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -229,15 +214,16 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     signatures = made.where(F.col("n") > 0).select("id", "signature")
     known = None
     links = None
-    leaders = 1
+    leaders = LEADERS
     while True:
         state = _round(buckets, known, leaders, limit)
-        links_now = _links(state, signatures, texts, size, percent)
-        buckets = state.where(F.col("id") > F.element_at("leaders", -1)["id"]).select("key", "id", "n")
-        if links_now is None:  # no pair was left in any bucket
+        if state.isEmpty():
             break
-        links = links_now if links is None else links.unionByName(links_now)
-        known = components(links)
+        found = _links(state, signatures, texts, size, percent)
+        buckets = state.where(F.col("id") > F.element_at("leaders", -1)["id"]).select("key", "id", "n")
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            known = components(links)
         leaders *= GROWTH
     joined = attach(made.select("id", "n", "digest"), written(classes, "near-classes"), "digest", "rows", limit)
     joined = joined.select("id", "n", F.coalesce("rep", "id").alias("rep"))
@@ -263,19 +249,17 @@ def _round(buckets: DataFrame, known: DataFrame | None, leaders: int, limit: int
     return written(attach(state, chosen, "key", "size", limit).where(F.col("leaders").isNotNull()), "near-state")
 
 
-def _links(state: DataFrame, signatures: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
-    """The confirmed links (a, b) between leaders and members of other components; None if there is no pair to compare."""
+def _links(state: DataFrame, signatures: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The confirmed links (a, b) between leaders and members of other components."""
     pairs = state.select("id", "n", "c", F.explode("leaders").alias("l")).where((F.col("l.id") < F.col("id")) & (F.col("l.c") != F.col("c")))
     # Sets of too different sizes cannot be that similar.
     pairs = pairs.where(100 * F.least("n", "l.n") >= percent * F.greatest("n", "l.n"))
-    pairs = written(pairs.select(F.col("l.id").alias("a"), F.col("id").alias("b")).distinct(), "near-pairs")
-    if pairs.isEmpty():
-        return None if state.isEmpty() else pairs
+    pairs = pairs.select(F.col("l.id").alias("a"), F.col("id").alias("b")).distinct()
     left = signatures.select(F.col("id").alias("a"), F.col("signature").alias("x"))
     right = signatures.select(F.col("id").alias("b"), F.col("signature").alias("y"))
     alive = pairs.join(left, "a").join(right, "b").where(_promising(F.col("x"), F.col("y"), percent)).select("a", "b").distinct()
     alive = written(alive, "near-alive")
-    ends = alive.select(F.col("a").alias("id")).unionByName(alive.select(F.col("b").alias("id"))).distinct()
+    ends = alive.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = written(texts.join(ends, "id", "left_semi").select("id", _sets(F.col("text"), size).alias("s")), "near-sets")
     full = alive.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
     return written(full.where(_confirmed(F.col("x"), F.col("y"), percent)).select("a", "b").distinct(), "near-links")
