@@ -1,0 +1,302 @@
+"""The operators' Spark-free helpers against the libraries' results and plain brute force."""
+
+from __future__ import annotations
+
+import math
+import os
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+import sentencepiece
+from sentencepiece import sentencepiece_model_pb2 as model_pb
+
+from psephos.llm import decontamination, near_dedup, personal_data, piece_encoding, quality_classifier, secret_scan, token_counts, toxicity
+from psephos.llm.queries import model_path
+
+LETTERS = "ab ▁ é\t\n\x00ßü漢🙂 the  iń.　①ﬁ"
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def random_texts(n: int, alphabet: str = LETTERS, most: int = 60, seed: int = 1) -> list[str]:
+    rng = random.Random(seed)
+    return ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, most))) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def blob() -> bytes:
+    return piece_encoding.load_model(model_path())
+
+
+# -- sentencepiece ----------------------------------------------------------
+
+
+@pytest.mark.parametrize("charmap", ["", "nmt_nfkc", "nfkc_cf"])
+@pytest.mark.parametrize("trim", [False, True])
+def test_encoding_equals_the_library(blob, charmap, trim):
+    m = model_pb.ModelProto()
+    m.ParseFromString(blob)
+    if charmap:
+        folder = os.path.join(os.path.dirname(sentencepiece.__file__), "package_data")
+        m.normalizer_spec.precompiled_charsmap = open(f"{folder}/{charmap}.bin", "rb").read()
+    m.normalizer_spec.remove_extra_whitespaces = trim
+    library = sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
+    encoder = piece_encoding.Encoder(m.SerializeToString())
+    long = [" " * 5000, "x" * 3000, "a" * 100_000]
+    for text in random_texts(400) + long:
+        ids, starts, ends = encoder.encode(text)
+        want = library.encode(text)
+        assert ids == want, text
+        assert encoder.decode(ids) == library.decode(want), text
+        size = len(text.encode())
+        assert all(0 <= a <= b <= size for a, b in zip(starts, ends))
+        assert starts == sorted(starts)
+
+
+def test_spans_rebuild_the_text(blob):
+    """Without a character map the pieces' spans tile the text, byte pieces included."""
+    encoder = piece_encoding.Encoder(blob)
+    for text in random_texts(300, seed=2) + ["", "a", "漢字\x00 é🙂"]:
+        raw = text.encode()
+        _, starts, ends = encoder.encode(text)
+        assert b"".join(raw[a:b] for a, b in zip(starts, ends)) == raw
+    assert encoder.encode(None) == ([], [], [])
+
+
+def test_chunks_change_nothing(blob, monkeypatch):
+    encoder = piece_encoding.Encoder(blob)
+    texts = random_texts(60, most=300, seed=3)
+    whole = [encoder.encode(t) for t in texts]
+    monkeypatch.setattr(piece_encoding, "CHUNK", 7)
+    assert [encoder.encode(t) for t in texts] == whole
+
+
+def test_decoding_any_ids(blob):
+    library = sentencepiece.SentencePieceProcessor(model_proto=blob)
+    encoder = piece_encoding.Encoder(blob)
+    rng = random.Random(4)
+    for _ in range(500):
+        ids = [rng.choice([3 + rng.randrange(256), rng.randrange(32000)]) for _ in range(rng.randint(0, 12))]
+        assert encoder.decode(ids) == library.decode(ids)
+
+
+# -- token counts -----------------------------------------------------------
+
+
+@pytest.mark.parametrize("fallback", [True, False])
+def test_counts_equal_the_library(blob, fallback):
+    m = model_pb.ModelProto()
+    m.ParseFromString(blob)
+    m.trainer_spec.model_type = 1
+    m.trainer_spec.byte_fallback = fallback
+    for i, p in enumerate(m.pieces):
+        p.score = -i
+        if not fallback and p.type == 6:
+            p.type, p.piece = 1, "«" + p.piece
+    library = sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
+    counter = token_counts.Counter(*token_counts.rank_vocabulary(m.SerializeToString()))
+    for text in random_texts(1000, most=40, seed=5):
+        assert counter.count(text) == len(library.encode(text)), text
+    assert counter.count(None) == counter.count("") == 0
+
+
+def test_count_ties_keep_the_longest_last_piece():
+    counter = token_counts.Counter([("▁", -1.0), ("a", -1.0), ("aa", -2.0), ("▁a", -2.0), ("▁aa", -3.0)], False)
+    assert counter.count("aa") == 1  # ▁aa, not ▁ and aa, nor ▁, a and a, all of score -3
+
+
+# -- secrets ----------------------------------------------------------------
+
+
+def test_window_entropies_are_the_plain_ones():
+    rng = random.Random(6)
+    for _ in range(50):
+        run = "".join(rng.choice("abcd0123") for _ in range(rng.randint(8, 60)))
+        got = secret_scan.window_entropies(run, 8)
+        want = [-sum(k / 8 * math.log2(k / 8) for k in Counter(run[i : i + 8]).values()) for i in range(len(run) - 7)]
+        assert got == pytest.approx(want)
+
+
+def spans(text):
+    return [(s["kind"], text[s["start"] : s["end"]]) for s in secret_scan.Scanner().scan(text)]
+
+
+def test_secret_forms():
+    assert spans('x Password = "abc123=" y') == [("assign", 'Password = "abc123=')]
+    assert spans("API_KEY:abcdef apikey=abcde tokſen=abcdef") == [("assign", "API_KEY:abcdef")]
+    assert spans("AKIA" + "B" * 16 + " AKIA" + "B" * 15) == [("access", "AKIA" + "B" * 16)]
+    assert spans("f" * 24 + "g" + "f" * 23) == [("hex", "f" * 24)]
+    key = "q7Zk1XvT9mPb3LdR8sWy"
+    assert spans(f"é {key}!") == [("entropy", key)]
+    assert spans("123e4567-e89b-12d3-a456-426614174000") == []  # allow-listed
+    assert spans("thelongestwordwithoutanydigits") == []
+    assert spans("") == [] and secret_scan.Scanner().scan(None) == []
+    assert secret_scan.Scanner(allow_texts=[key]).scan(key) == []
+
+
+def test_base_forms_equal_plain_patterns():
+    pattern = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    pieces = ["password", "TOKEN", "api_key", "apikey", "=", ":", " ", '"', "abcdef", "AKIA", "0123456789abcdef" * 2, "ſ", "é", "Z" * 18]
+    rng = random.Random(7)
+    for _ in range(500):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 14)))
+        want = [(m.start(), 0, m.end()) for m in pattern.finditer(text) if len(m[2]) >= 6]
+        want += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+        assert sorted(secret_scan.Scanner().base(text)) == sorted(want), text
+
+
+# -- personal data ----------------------------------------------------------
+
+
+def plain_base(text):
+    """The patterns as they stand."""
+    out = [(0, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append((1, m.start(), m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()][::-1]
+        if 16 <= len(d) <= 19 and sum(d[0::2] + [x * 2 - 9 * (x > 4) for x in d[1::2]]) % 10 == 0:
+            out.append((2, m.start(), m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 8 <= sum(c.isdigit() for c in m[0]) <= 15:
+            out.append((3, m.start(), m.end()))
+    return out
+
+
+def test_personal_forms_equal_plain_patterns():
+    pieces = ["a.b", "@", "x-1", ".", "com", "12", "255", "256", "4111 1111 1111 1111", "+1 (555) 123-4567", " ", "-", "é", "0", "%", "\n"]
+    rng = random.Random(8)
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 12)))
+        assert personal_data.base_spans(text) == plain_base(text), text
+    assert personal_data.base_spans(None) == personal_data.base_spans("") == []
+    assert personal_data.base_spans("9" * 200_000 + "a" * 200_000) == []  # in linear time
+
+
+def test_sanitise():
+    text = "Mail a@b.co about Zebra and zebu now"
+    marks = [{"kind": "email", "start": 5, "end": 11, "action": None}, {"kind": "term", "start": 18, "end": 23, "action": "generalise"}, {"kind": "term", "start": 28, "end": 32, "action": "remove"}]
+    assert personal_data.sanitise(text, marks) == "Mail [EMAIL] about [NAME] and  now"
+
+
+# -- decontamination --------------------------------------------------------
+
+
+def test_windows_find_what_brute_force_finds():
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([3, 12, 20, 33])))) for k in range(12)] + [(99, ""), (98, None)]
+    index = decontamination.make_items(items)
+    texts = []
+    for _ in range(120):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(0, 90))]
+        if rng.random() < 0.7:
+            passage = rng.choice(items[:12])[1].upper().split()
+            for _ in range(rng.choice([0, 0, 1])):
+                passage[rng.randrange(len(passage))] = "changed"
+            at = rng.randint(0, len(words))
+            words[at:at] = passage
+        texts.append(" \n".join(words))
+    found_any = False
+    lengths = {int(k): size for size, (members, _, _) in index.by_length.items() for k in members}
+    for text in texts + ["", None]:
+        words = decontamination.word_hashes(decontamination.lower_words(text))
+        want = {}
+        for k, size in lengths.items():
+            best = 0.0
+            for a in range(max(len(words) - size + 1, 1) if len(words) else 0):
+                best = max(best, index.similarity(k, decontamination.shingles(words[a : a + size])))
+            if best >= 0.8:
+                want[k] = best
+        got = {k: s for k, s, _, _ in decontamination.find(index, text)}
+        assert got == pytest.approx(want)
+        found_any = found_any or bool(want)
+    assert found_any
+
+
+def test_blocks_guarantee_the_radius():
+    rng = np.random.default_rng(10)
+    fp = rng.integers(0, 1 << 63, 200, np.uint64)
+    near = fp.copy()
+    for i in range(200):
+        for bit in rng.choice(64, int(rng.integers(0, 26)), replace=False):
+            near[i] ^= np.uint64(1) << np.uint64(bit)
+    blocks = [(fp >> np.uint64(b * 16)).astype(np.uint16) for b in range(4)]
+    away = decontamination.near_blocks(blocks, near)
+    for i in range(200):
+        for j in range(200):
+            d = bin(int(near[i] ^ fp[j])).count("1")
+            assert away[i, j] == (d if d <= decontamination.RADIUS else 255)
+
+
+# -- toxicity ---------------------------------------------------------------
+
+
+def test_nearest_are_exact():
+    rng = random.Random(11)
+    vocabulary = [f"t{i}" for i in range(30)]
+    examples = [{t: rng.randint(1, 4) for t in rng.sample(range(30), rng.randint(1, 6))} for _ in range(500)]
+    labels = [rng.randint(0, 1) for _ in examples]
+    index = toxicity.make_index(list(range(0, 1000, 2)), examples, labels, vocabulary, [rng.randint(5, 200) for _ in range(30)], 900, 0.1)
+    dense = np.zeros((500, 30))
+    for e, c in enumerate(examples):
+        t, w = index.vector(c)
+        dense[e, t] = w
+    for _ in range(100):
+        counts = {t: rng.randint(1, 3) for t in rng.sample(range(30), rng.randint(1, 5))}
+        t, w = index.vector(counts)
+        cos = np.round(dense[:, t] @ w, 12)
+        want = sorted(((float(c), e) for e, c in enumerate(cos) if c > 0), key=lambda x: (-x[0], x[1]))[:16]
+        got = index.nearest(counts)
+        assert [e for _, e in got] == [e for _, e in want]
+        assert [c for c, _ in got] == pytest.approx([c for c, _ in want])
+        assert 0 <= index.score(" ".join(vocabulary[k] for k in counts))[0] <= 1
+    assert index.score(None) == index.score("") == (0.1, [])
+
+
+def test_isotonic():
+    x, y = toxicity.isotonic(np.array([1.0, 2, 3, 4, 4]), np.array([0.0, 1, 0, 1, 1]))
+    assert list(np.interp([1, 2, 3, 4], x, y)) == [0, 0.5, 0.5, 1]
+
+
+# -- quality ----------------------------------------------------------------
+
+
+def test_ftrl_learns_and_features_have_unit_norm():
+    rng = random.Random(12)
+    texts = [(" ".join(rng.choice(["good", "fine", "tree"]) for _ in range(20)), 1) for _ in range(100)]
+    texts += [(" ".join(rng.choice(["good", "$$$", "tree"]) for _ in range(20)), 0) for _ in range(100)]
+    rng.shuffle(texts)
+    w = quality_classifier.train([(*quality_classifier.features(t), y) for t, y in texts])
+    right = 0
+    for t, y in texts:
+        f, x = quality_classifier.features(t)
+        assert x @ x == pytest.approx(1) and f[0] == 0 and len(set(f)) == len(f)
+        right += (w[f] @ x > 0) == y
+    assert right >= 198
+    assert quality_classifier.features(None)[0].tolist() == quality_classifier.features("")[0].tolist() == [0]
+
+
+# -- near duplicates --------------------------------------------------------
+
+
+def test_signatures_estimate_similarity_and_bounds_hold():
+    rng = random.Random(13)
+    words = [str(rng.randrange(10**6)) for _ in range(400)]
+    changed = list(words)
+    for i in range(0, 400, 40):
+        changed[i] = "x" + str(i)
+    a, b = (near_dedup.shingle_set(" ".join(w), 3) for w in (words, changed))
+    both = len(np.intersect1d(a, b))
+    exact = both / (len(a) + len(b) - both)
+    same = (near_dedup.signature(a, 250) == near_dedup.signature(b, 250)).mean()
+    assert abs(same - exact) < 0.1
+    for n in (16, 32, 48, 64):
+        least = near_dedup.least_matches(85, n)
+        tail = sum(math.comb(n, k) * 0.85**k * 0.15 ** (n - k) for k in range(least))
+        assert tail < 1e-5  # pairs at the threshold are hardly ever given up
+    assert (1 - 0.8**near_dedup.ROWS) ** near_dedup.bands_for(80) <= near_dedup.NO_BAND
