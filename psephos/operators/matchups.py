@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from psephos.functions.columns import rank_window
+from psephos.operators.positions import vote_band_counts
 from psephos.schema import CONTEST_KEY, IND_SHORT, PARTY_SCOPE
 
 
@@ -46,7 +47,7 @@ def relevant_parties(margins: DataFrame, party_summary_enriched: DataFrame, scop
 
 
 def contest_parties(enriched: DataFrame, keys: Sequence[str] = CONTEST_KEY) -> DataFrame:
-    """One row per (contest, party): entries, winners, votes, best votes and best vote percent there.
+    """One row per (contest, party): entries, winners, votes, best votes and best vote percent there, entries by vote band.
 
     The per-contest collapse ``opponents``, ``head_to_head`` and the filtered
     party performance start from (a hash aggregate with partial aggregation).  The dataset build
@@ -58,6 +59,7 @@ def contest_parties(enriched: DataFrame, keys: Sequence[str] = CONTEST_KEY) -> D
         F.sum("total_votes").alias("votes"),
         F.max("total_votes").alias("best_votes"),
         F.max("vote_percent").alias("best_pct"),
+        *vote_band_counts(),
     )
 
 

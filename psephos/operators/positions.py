@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from psephos.functions.columns import rank_window
@@ -53,37 +53,41 @@ def contest_places(enriched: DataFrame, keys: Sequence[str] = CONTEST_KEY) -> Da
     )
 
 
-def _profile_input(enriched: DataFrame, keys: Sequence[str], places: DataFrame | None = None) -> DataFrame:
-    """Entries (place null) unioned with top-4 places (vote percent null)."""
-    entries = enriched.select(
-        "party_short",
-        F.lit(None).cast("int").alias("_place"),
-        "vote_percent",
-        F.lit(True).alias("_entry"),
-    )
+def vote_band_counts() -> list[Column]:
+    """For each vote band the number of entries in it, named like the band."""
+    out = []
+    for name, lo, hi in VOTE_BANDS:
+        vp = F.col("vote_percent")
+        at_least = F.lit(True) if lo is None else vp >= F.lit(lo)
+        under = F.lit(True) if hi is None else vp < F.lit(hi)
+        out.append(F.count_if(at_least & under & vp.isNotNull()).alias(name))
+    return out
+
+
+def _profile_rows(
+    enriched: DataFrame, keys: Sequence[str], places: DataFrame | None = None, parties: DataFrame | None = None
+) -> DataFrame:
+    """Band counts by contest and party (place null), and the top places of every contest (counts 0)."""
+    bands = [b[0] for b in VOTE_BANDS]
+    if parties is None:
+        parties = enriched.groupBy(*keys, "party_short").agg(F.count(F.lit(1)).alias("entries"), *vote_band_counts())
+    entries = parties.select("party_short", F.lit(None).cast("int").alias("_place"), "entries", *bands)
+    zero = F.lit(0).cast("bigint")
     top = (places if places is not None else contest_places(enriched, keys)).select(
-        "party_short",
-        "_place",
-        F.lit(None).cast("double").alias("vote_percent"),
-        F.lit(False).alias("_entry"),
+        "party_short", "_place", zero.alias("entries"), *[zero.alias(b) for b in bands]
     )
     return entries.unionByName(top)
 
 
 def _profile_aggs() -> list:
-    place, vp, entry = F.col("_place"), F.col("vote_percent"), F.col("_entry")
-    aggs = [F.count_if(place == i).alias(f"_p{i}") for i in range(1, TOP_PLACES + 1)]
-    aggs.append(F.count(place).alias("_top"))
-    for name, lo, hi in VOTE_BANDS:
-        cond = None
-        if lo is not None:
-            cond = vp >= F.lit(lo)
-        if hi is not None:
-            c = vp < F.lit(hi)
-            cond = c if cond is None else (cond & c)
-        aggs.append(F.count_if(cond).alias(name))
-    aggs.append(F.count_if(entry).alias("total_seats_contested"))
-    return aggs
+    place = F.col("_place")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("bigint"))
+    return [
+        *[F.count_if(place == i).alias(f"_p{i}") for i in range(1, TOP_PLACES + 1)],
+        F.count(place).alias("_top"),
+        *[total(b[0]).alias(b[0]) for b in VOTE_BANDS],
+        total("entries").alias("total_seats_contested"),
+    ]
 
 
 def _profile_select(group: Sequence[str]) -> list:
@@ -97,23 +101,31 @@ def _profile_select(group: Sequence[str]) -> list:
 
 
 def party_profile(
-    enriched: DataFrame, party: str, keys: Sequence[str] = CONTEST_KEY, places: DataFrame | None = None
+    enriched: DataFrame,
+    party: str,
+    keys: Sequence[str] = CONTEST_KEY,
+    places: DataFrame | None = None,
+    parties: DataFrame | None = None,
 ) -> DataFrame:
     """One row for ``party``: finishes 1, 2, 3, 4, 5+; entries per vote band; entries in all (zeros if absent).
 
-    ``places`` may be a written ``contest_places`` table of the same entries;
-    otherwise the places are ranked here.
+    ``places`` and ``parties`` may be written ``contest_places`` and
+    ``contest_parties`` tables of the same entries, which then are not read;
+    otherwise places and band counts are made here.
     """
-    rows = _profile_input(enriched, keys, places).where(F.col("party_short") == party)
+    rows = _profile_rows(enriched, keys, places, parties).where(F.col("party_short") == party)
     return rows.agg(*_profile_aggs()).select(*_profile_select([]))
 
 
 def party_profiles(
-    enriched: DataFrame, keys: Sequence[str] = CONTEST_KEY, places: DataFrame | None = None
+    enriched: DataFrame,
+    keys: Sequence[str] = CONTEST_KEY,
+    places: DataFrame | None = None,
+    parties: DataFrame | None = None,
 ) -> DataFrame:
     """The profile of every party in one job, one row per party_short."""
     return (
-        _profile_input(enriched, keys, places)
+        _profile_rows(enriched, keys, places, parties)
         .groupBy("party_short")
         .agg(*_profile_aggs())
         .select(*_profile_select(["party_short"]))

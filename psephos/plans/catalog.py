@@ -252,15 +252,15 @@ QUERIES: dict[str, Query] = {
     "party_performance_filtered_3_2": _route(lambda d: _filtered(d, 3, 2.0)),
     "close_contests_10": _route(lambda d: close_contests(d["constituency_margins"], 2.0, 10)),
     "party_profile_N3": _route(
-        lambda d: party_profile(d["candidates_enriched"], "N3", places=d["contest_places"])
+        lambda d: party_profile(d["candidates_enriched"], "N3", places=d["contest_places"], parties=d["contest_parties"])
     ),
     "party_profile_NOTA": _route(
-        lambda d: party_profile(d["candidates_enriched"], "NOTA", places=d["contest_places"])
+        lambda d: party_profile(d["candidates_enriched"], "NOTA", places=d["contest_places"], parties=d["contest_parties"])
     ),
     "party_profile_missing": _route(
-        lambda d: party_profile(d["candidates_enriched"], "NO_SUCH_PARTY", places=d["contest_places"])
+        lambda d: party_profile(d["candidates_enriched"], "NO_SUCH_PARTY", places=d["contest_places"], parties=d["contest_parties"])
     ),
-    "party_profiles": _route(lambda d: party_profiles(d["candidates_enriched"], places=d["contest_places"])),
+    "party_profiles": _route(lambda d: party_profiles(d["candidates_enriched"], places=d["contest_places"], parties=d["contest_parties"])),
     "contest_search_text": _route(lambda d: search_contests(d["contest_index"], "er#0000001")),
     "contest_search_number": _route(lambda d: search_contests(d["contest_index"], "12")),
     "contest_search_wildcard": _route(lambda d: search_contests(d["contest_index"], " customer#00000_12' ")),

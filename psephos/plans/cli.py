@@ -58,7 +58,7 @@ ROUTES = {
     ),
     "nota": lambda d, a: d["nota_summary"],
     "nail-biters": lambda d, a: close_contests(d["constituency_margins"], 2.0, a.limit),
-    "party-analytics": lambda d, a: party_profile(d["candidates_enriched"], a.party_short, places=d["contest_places"]),
+    "party-analytics": lambda d, a: party_profile(d["candidates_enriched"], a.party_short, places=d["contest_places"], parties=d["contest_parties"]),
     "search": lambda d, a: search_contests(d["contest_index"], a.q, a.limit),
     "detail": lambda d, a: contest_detail(d["candidates_enriched"], a.ac_no, a.state),
 }

@@ -82,11 +82,13 @@ def build_datasets(
     at the same time (concurrent jobs from driver threads).
     """
 
-    def table(name: str, df: DataFrame, cluster: bool = True) -> DataFrame:
+    def table(name: str, df: DataFrame) -> DataFrame:
         if not out_dir:
             return df
-        cluster_by = [k for k in keys if k in df.columns] if cluster else None
-        return materialize(df, f"{out_dir.rstrip('/')}/{name}", cluster_by=cluster_by or None)
+        cluster_by = [k for k in keys if k in df.columns]
+        # contest detail looks contests up by number: the candidates lie in files by ranges of it
+        range_by = [*reversed(list(keys)), "sn"] if name == "candidates" else None
+        return materialize(df, f"{out_dir.rstrip('/')}/{name}", cluster_by=cluster_by or None, range_by=range_by)
 
     if "is_winner" not in candidates.columns:
         candidates = flag_winners(candidates, keys)

@@ -18,6 +18,7 @@ def materialize(
     path: str,
     partition_by: list[str] | None = None,
     cluster_by: list[str] | None = None,
+    range_by: list[str] | None = None,
 ) -> DataFrame:
     """Write ``df`` as Parquet at ``path`` and return a DataFrame reading it.
 
@@ -25,7 +26,12 @@ def materialize(
     (no shuffle, so a hot key cannot overload one task): every file then has
     narrow min/max statistics per row group on them, and a point filter on
     the key reads only the row groups that can hold it.
+    ``range_by`` deals the rows out by ranges of those columns first, so a
+    point filter on the first of them reads few of the files; the last one
+    should tell rows of one key apart, so that a hot key spans several files.
     """
+    if range_by:
+        df = df.repartitionByRange(*range_by)
     if cluster_by:
         df = df.sortWithinPartitions(*cluster_by)
     writer = df.write.mode("overwrite")

@@ -204,7 +204,7 @@ def _build(spark: SparkSession, sf_dir: str, fingerprint: str) -> ContestTables:
     entries = materialize(view_entries(spark, sf_dir), f"{base}/entries")
     t = _derive(spark, sf_dir, entries)
     with ThreadPoolExecutor(max_workers=2) as pool:  # two independent writes, as concurrent jobs
-        cand = pool.submit(materialize, t.candidates, f"{base}/candidates", None, keys)
+        cand = pool.submit(materialize, t.candidates, f"{base}/candidates", None, ["ac_no", "state"], ["ac_no", "state", "sn"])
         tot = pool.submit(materialize, t.totals, f"{base}/ac_totals", None, keys)
         built = ContestTables(candidates=cand.result(), totals=tot.result(), party_map=t.party_map)
     # Nothing reads the entries any more; the rest lasts as long as the application.
