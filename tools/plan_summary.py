@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from psephos.session import build_session  # noqa: E402
 
-import __spark_entry__ as entry_mod  # noqa: E402
+from psephos.plans.catalog import QUERIES  # noqa: E402
 
 BAD = ("CartesianProduct", "BroadcastNestedLoopJoin", "SortAggregate", "BatchEvalPython", "ArrowEvalPython")
 
@@ -33,7 +33,7 @@ def main() -> None:
     print("sort-merge join into a broadcast join at run time from measured sizes).  Generated by `tools/plan_summary.py`.\n")
     print("| query | shuffles | broadcast joins | sort-merge joins | semi joins | hash aggregates | windows | group limits (partial) | scalar subqueries | scans | flags |")
     print("| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |")
-    for name, q in entry_mod.queries().items():
+    for name, q in QUERIES.items():
         p = q(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         flags = [b for b in BAD if b in p]
         print(
