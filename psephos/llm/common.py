@@ -21,10 +21,19 @@ WORD_SQL = r"[^\x20\x09-\x0D]+"
 #: A key with more rows than this (or than 1/20,000 of all rows, if that is more) is hot.
 HOT_ROWS = 2_000
 HOT_KEYS = 20_000
+#: Rows of an Arrow batch (see ``ship``).
+BATCH_ROWS = 1_000
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's sources to the executors' Python workers, once for each application."""
+    """Send this package's sources to the executors' Python workers, once for each application.
+
+    Where the session leaves Spark's default, Arrow batches are limited to
+    ``BATCH_ROWS`` rows: texts are long, and a batch is held several times over
+    by the executor and its worker.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_psephos_sent", False):
         return

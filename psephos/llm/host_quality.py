@@ -99,12 +99,13 @@ def host_verdicts(figures: DataFrame, host: str) -> DataFrame:
     # Strength of the prior by the method of moments, between 1 and 1,000 documents.
     spread = F.col("m") * (1 - F.col("m"))
     prior = prior.select("m", F.greatest(F.lit(1.0), F.least(F.lit(1000.0), F.when(F.col("v") > 0, spread / F.col("v") - 1).otherwise(1000.0))).alias("k"))
-    m, k = prior.select("m").scalar(), prior.select("k").scalar()
-    a = m * k + F.col("n_failed")
-    b = (1 - m) * k + F.col("n_docs") - F.col("n_failed")
+    two = prior.first()  # two numbers, of all hosts
+    m, k = (0.5, 1.0) if two["m"] is None else (two["m"], two["k"])
+    a = F.lit(m * k) + F.col("n_failed")
+    b = F.lit((1 - m) * k) + F.col("n_docs") - F.col("n_failed")
     rate = a / (a + b)
     low = rate - Z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    verdict = F.when(low > REJECT_RATE, "reject").when(low > F.least(SUSPECT_TIMES * m, F.lit(REJECT_RATE)), "suspect").otherwise("accept")
+    verdict = F.when(low > REJECT_RATE, "reject").when(low > F.lit(min(SUSPECT_TIMES * m, REJECT_RATE)), "suspect").otherwise("accept")
     return by_host.select(host, "n_docs", "n_failed", rate.alias("rate"), low.alias("rate_low"), verdict.alias("host_verdict"))
 
 

@@ -53,7 +53,7 @@ class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

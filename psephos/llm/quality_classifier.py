@@ -28,7 +28,7 @@ TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 BITS = 18
 MAX_EXAMPLES = 6_000
 #: Tokens kept in a worker's cache of hashes before it is emptied.
-CACHE = 200_000
+CACHE = 100_000
 ALPHA, BETA, L1, L2, EPOCHS = 5.0, 1.0, 0.02, 0.0, 4
 
 

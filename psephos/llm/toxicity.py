@@ -40,7 +40,7 @@ LEAST_SHARE = 0.5
 MAX_CALIBRATION = 2_000
 NEIGHBOURS, BLOCK, SHRINK = 16, 64, 1.0
 #: Answers kept in a worker before they are dropped.
-CACHE = 50_000
+CACHE = 4_000
 
 
 def terms(text: str | None) -> list[str]:
