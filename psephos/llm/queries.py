@@ -81,7 +81,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_index(docs: DataFrame, labels: DataFrame) -> toxicity.Index:
-    return toxicity.fit(docs, labels.where(crc32_mod(F.col("doc_id"), TOXIC_FOLDS) != 1).select("doc_id", "toxic"), "toxic")
+    return toxicity.fit(docs, labels.where(crc32_mod(F.col("doc_id"), TOXIC_FOLDS) != 1).select("doc_id", "toxic"), "toxic", max_terms=None)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,20 @@
 """Toxicity: votes of the nearest labelled texts by exact TF-IDF cosine.
 
-A bounded sample of labelled texts (``max_labelled``; repeated texts count
-once) gives the vocabulary, the terms that the log-likelihood ratio ties to
-the label, and the examples, the sampled texts that hold such terms.  Their
-TF-IDF vectors form an inverted index whose postings are grouped in blocks of
-64 examples, each with the greatest weight in it.  For a text, a bound on the
-cosine of every block follows from these; blocks are evaluated from the
-highest bound down until the bound is under the k-th best cosine, so the k
-nearest are exact (equal cosines: the smaller id).  Their votes, weighted by
-cosine and shrunk to the sample's rate, are mapped to probabilities by an
-isotonic fit on leave-one-out votes.
+The examples are a sample of at most ``max_labelled`` labelled texts, clean
+ones included (repeated texts count once).  With ``max_terms=None``, as the
+queries have it, the cosine is taken over all terms of the texts: those of a
+text that no example holds count in its length.  With a number, vectors hold
+only that many terms, those that the log-likelihood ratio ties to the label,
+and only texts with such terms are examples: a lexicon, not the whole texts.
+
+The vectors form an inverted index whose postings are grouped in blocks of 64
+examples, alike in frequent terms and length, each with the greatest weight of
+every term in it.  For a text, a bound on the cosine of every block follows
+from these; blocks are evaluated from the highest bound down, in rounds, until
+the bound is under the k-th best cosine, so the k nearest are exact (equal
+cosines: the smaller id).  Their votes, weighted by cosine and shrunk to the
+sample's rate, are mapped to probabilities by an isotonic fit on leave-one-out
+votes.
 
 Null and empty texts, and texts without any of the terms, get the rate of
 label 1 among the sampled texts without such terms, and no evidence.
@@ -17,6 +22,7 @@ label 1 among the sampled texts without such terms, and no evidence.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -24,6 +30,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +46,10 @@ LEAST_SHARE = 0.5
 #: Examples whose leave-one-out votes are fitted, at most (evenly spaced).
 MAX_CALIBRATION = 2_000
 NEIGHBOURS, BLOCK, SHRINK = 16, 64, 1.0
+#: Blocks of the first round, and how many times more each further round has.
+FIRST_BLOCKS, MORE_BLOCKS = 4, 8
+#: Examples are put in blocks by groups, found from their most frequent terms in a few passes.
+GROUPS, FREQUENT_TERMS, PASSES = 16, 512, 3
 #: Answers kept in a worker before they are dropped.
 CACHE = 4_000
 
@@ -78,6 +89,12 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return xs[knots], np.array([value[k] for k in knots])
 
 
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 @dataclass
 class Index:
     """Examples (in the order of their ids) by term; see the module's text."""
@@ -88,54 +105,87 @@ class Index:
     ids: np.ndarray
     base: float  # label 1 among sampled texts without terms
     rate: float  # and among the examples
-    postings: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # by term: example numbers, weights
-    starts: np.ndarray | None = None  # by term and block: the first posting
-    tops: np.ndarray | None = None  # by term and block: the greatest weight
+    unseen: float = 0.0  # idf of a term without examples; 0: such terms do not count
+    examples: np.ndarray | None = None  # example number by place
+    entries: np.ndarray | None = None  # by term: its first entry; an entry is a term in a block
+    blocks: np.ndarray | None = None  # by entry: the block
+    tops: np.ndarray | None = None  # by entry: the greatest weight
+    firsts: np.ndarray | None = None  # by entry: its first posting
+    places: np.ndarray | None = None  # by posting: the example's place
+    weights: np.ndarray | None = None  # by posting
     knots: tuple[np.ndarray, np.ndarray] | None = None
     cache: dict = field(default_factory=dict)
 
-    def vector(self, counts: dict[int, int]) -> tuple[list[int], np.ndarray]:
-        """Terms, ascending, and unit-length weights (1 + log of the count, by idf)."""
+    def vector(self, counts: dict[int, int], rest: float = 0.0) -> tuple[list[int], np.ndarray]:
+        """Terms, ascending, and weights (1 + log of the count, by idf) of unit length with ``rest``, a sum of squares."""
         found = sorted(counts)
-        w = np.array([(1 + math.log(counts[t])) * self.idf[t] for t in found])
-        return found, w / np.sqrt(w @ w)
-
-    def counts(self, text: str | None) -> Counter:
-        known = self.vocabulary
-        return Counter([known[w] for w in terms(text) if w in known])
-
-    def build(self, examples: list[dict[int, int]]) -> None:
-        rows: list[list[tuple[int, float]]] = [[] for _ in self.vocabulary]
-        for e, counts in enumerate(examples):
-            for t, w in zip(*self.vector(counts)):
-                rows[t].append((e, w))
-        blocks = -(-len(examples) // BLOCK)
-        self.postings = [(np.array([e for e, _ in r], np.int64), np.array([w for _, w in r])) for r in rows]
-        edges = np.arange(blocks + 1) * BLOCK
-        self.starts = np.array([np.searchsorted(e, edges) for e, _ in self.postings]).reshape(-1, blocks + 1)
-        self.tops = np.zeros((len(rows), blocks))
-        for t, (e, w) in enumerate(self.postings):
-            np.maximum.at(self.tops[t], e // BLOCK, w)
-
-    def nearest(self, counts: dict[int, int], k: int = NEIGHBOURS, leave: int = -1) -> list[tuple[float, int]]:
+        w = (1 + np.log([counts[t] for t in found])) * self.idf[found]
+        return found, w / np.sqrt(w @ w + rest)
+
+    def counts(self, text: str | None) -> tuple[dict[int, int], float]:
+        """Counts of the terms, and the sum of squared weights of those without examples."""
+        known, counts, rest = self.vocabulary, {}, 0.0
+        for w, n in Counter(terms(text)).items():
+            t = known.get(w)
+            if t is not None:
+                counts[t] = n
+            elif self.unseen:
+                rest += ((1 + math.log(n)) * self.unseen) ** 2
+        return counts, rest
+
+    def build(self, rows: np.ndarray, cols: np.ndarray, counts: np.ndarray) -> None:
+        """Postings of the terms ``cols`` of the examples ``rows``, ascending."""
+        n, size = len(self.labels), len(self.idf)
+        w = (1 + np.log(counts)) * self.idf[cols]
+        w /= np.sqrt(np.bincount(rows, weights=w * w, minlength=n))[rows]
+        self.examples = arrange(rows, cols, w, n, size)
+        place = np.empty(n, np.int32)
+        place[self.examples] = np.arange(n, dtype=np.int32)
+        at = place[rows]
+        order = np.lexsort((at, cols))
+        self.places, self.weights, by = at[order], w[order], cols[order]
+        del at, w, order  # the driver holds one copy of the postings
+        block = self.places // BLOCK
+        fresh = np.ones(len(by), bool)
+        fresh[1:] = (by[1:] != by[:-1]) | (block[1:] != block[:-1])
+        firsts = np.flatnonzero(fresh)
+        self.blocks = block[firsts]
+        self.tops = np.maximum.reduceat(self.weights, firsts) if len(firsts) else np.zeros(0)
+        self.entries = np.searchsorted(by[firsts], np.arange(size + 1)).astype(np.int32)
+        self.firsts = np.append(firsts, len(by)).astype(np.int32 if len(by) < 1 << 31 else np.int64)
+
+    def nearest(self, counts: dict[int, int], k: int = NEIGHBOURS, leave: int = -1, rest: float = 0.0) -> list[tuple[float, int]]:
         """The k nearest examples with a cosine over 0: (cosine, example number), best first."""
-        found, q = self.vector(counts)
-        bound = q @ self.tops[found]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == k and bound[b] + 1e-12 < best[-1][0]):
+        found, q = self.vector(counts, rest)
+        t = np.array(found)
+        sizes = self.entries[t + 1] - self.entries[t]
+        entry = ranges(self.entries[t], sizes)
+        weight, block = np.repeat(q, sizes), self.blocks[entry]
+        bound = np.bincount(block, weights=weight * self.tops[entry], minlength=-(-len(self.labels) // BLOCK))
+        order = np.argsort(-bound, kind="stable")
+        cosines, numbers = np.zeros(0), np.zeros(0, np.int64)  # the best so far
+        done, take = 0, FIRST_BLOCKS
+        while done < len(order):
+            full = len(cosines) == k
+            chosen = order[done : done + take]
+            chosen = chosen[(bound[chosen] > 0) & (bound[chosen] + 1e-12 >= (cosines[-1] if full else 0))]
+            if not len(chosen):
                 break
-            cos = np.zeros(BLOCK)
-            for t, w in zip(found, q):
-                s = slice(self.starts[t, b], self.starts[t, b + 1])
-                e, x = self.postings[t]
-                cos[e[s] - b * BLOCK] += w * x[s]
-            if 0 <= leave - b * BLOCK < BLOCK:
-                cos[leave - b * BLOCK] = 0
-            hit = np.flatnonzero(cos > (best[-1][0] - 1e-9 if len(best) == k else 0))
-            if len(hit):
-                best = sorted([*best, *((round(float(cos[h]), 12), int(b * BLOCK + h)) for h in hit)], key=lambda x: (-x[0], x[1]))[:k]
-        return best
+            in_round = np.zeros(len(bound), bool)
+            in_round[chosen] = True
+            use = in_round[block]
+            e = entry[use]
+            n = self.firsts[e + 1] - self.firsts[e]
+            posting = ranges(self.firsts[e], n)
+            cos = np.bincount(self.places[posting], weights=np.repeat(weight[use], n) * self.weights[posting], minlength=len(self.labels))
+            hit = np.flatnonzero(cos > (cosines[-1] - 1e-9 if full else 0))
+            number = self.examples[hit]
+            hit, number = hit[number != leave], number[number != leave]
+            cosines, numbers = np.append(cosines, np.round(cos[hit], 12)), np.append(numbers, number)
+            best = np.lexsort((numbers, -cosines))[:k]
+            cosines, numbers = cosines[best], numbers[best]
+            done, take = done + take, take * MORE_BLOCKS
+        return [(float(c), int(e)) for c, e in zip(cosines, numbers)]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         cos = np.array([c for c, _ in near])
@@ -144,35 +194,91 @@ class Index:
 
     def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
         """Probability of label 1, and the nearest examples (cosine, id)."""
-        counts = self.counts(text)
-        if not counts:
-            return self.base, []
-        key = tuple(sorted(counts.items()))
+        key = hashlib.blake2b((text or "").encode(), digest_size=16).digest()
         hit = self.cache.get(key)
         if hit is None:
+            counts, rest = self.counts(text)
+            if not counts:
+                return self.base, []
             if len(self.cache) >= CACHE:
                 self.cache.clear()
-            near = self.nearest(counts)
+            near = self.nearest(counts, rest=rest)
             hit = self.cache[key] = float(np.interp(self.vote(near), *self.knots)), [(c, int(self.ids[e])) for c, e in near]
         return hit
 
 
+def arrange(rows: np.ndarray, cols: np.ndarray, weights: np.ndarray, n: int, size: int) -> np.ndarray:
+    """An order of the n examples that puts like ones side by side: by groups (k-means over frequent terms), then by the number of terms."""
+    if not n:
+        return np.zeros(0, np.int64)
+    top = np.argsort(-np.bincount(cols, minlength=size), kind="stable")[:FREQUENT_TERMS]
+    column = np.full(size, -1)
+    column[top] = np.arange(len(top))
+    x = np.zeros((n, len(top)), np.float32)
+    held = column[cols] >= 0
+    x[rows[held], column[cols[held]]] = weights[held]
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    centres = x[np.linspace(0, n - 1, GROUPS).astype(int)]
+    for _ in range(PASSES):
+        group = np.argmax(x @ centres.T, axis=1)
+        centres = np.array([x[group == g].sum(axis=0) for g in range(GROUPS)])
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+    return np.lexsort((np.bincount(rows, minlength=n), group))
+
+
 def make_index(ids, texts_counts, labels, vocabulary: list[str], texts_with: list[int], sampled: int, base: float) -> Index:
     """An index of the examples given as ids, {term: count} and labels, in ascending order of ids."""
+    rows = np.repeat(np.arange(len(texts_counts)), [len(c) for c in texts_counts])
+    cols = np.array([t for c in texts_counts for t in c], np.int64)
+    counts = np.array([k for c in texts_counts for k in c.values()], np.int64)
+    return index_of(ids, rows, cols, counts, labels, vocabulary, texts_with, sampled, base)
+
+
+def index_of(ids, rows: np.ndarray, cols: np.ndarray, counts: np.ndarray, labels, vocabulary: list[str], texts_with, sampled: int, base: float, whole: bool = False) -> Index:
+    """The same from the examples' terms as flat arrays, by example; ``whole``: terms outside the vocabulary count in the length."""
     idf = np.log((1 + sampled) / (1 + np.array(texts_with, float))) + 1
     y = np.array(labels, float)
     out = Index({t: i for i, t in enumerate(vocabulary)}, idf, y, np.array(ids, np.int64), base, float(y.mean()) if len(y) else base)
-    out.build(texts_counts)
+    out.unseen = math.log(1 + sampled) + 1 if whole else 0.0
+    out.build(rows, cols, counts)
     if len(y):
         some = range(0, len(y), -(-len(y) // MAX_CALIBRATION))
-        out.knots = isotonic(np.array([out.vote(out.nearest(texts_counts[e], leave=e)) for e in some]), y[some])
+        edges = np.searchsorted(rows, np.arange(len(y) + 1))
+        of = lambda e: dict(zip(cols[edges[e] : edges[e + 1]].tolist(), counts[edges[e] : edges[e + 1]].tolist()))
+        out.knots = isotonic(np.array([out.vote(out.nearest(of(e), leave=e)) for e in some]), y[some])
     else:
         out.knots = np.array([0.0, 1.0]), np.array([base, base])
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, id: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED, max_terms: int = MAX_TERMS) -> Index:
-    """An index learnt from at most ``max_labelled`` rows of ``labels`` (id, label)."""
+def fit_whole(sample: DataFrame) -> Index:
+    """An index of all rows of ``sample`` (id, y, text) over all their terms."""
+
+    @F.arrow_udf("struct<terms:array<string>,counts:array<int>>")
+    def counted(texts: pa.Array) -> pa.Array:
+        found = [Counter(terms(t.as_py())) for t in texts]
+        kinds = [pa.list_(pa.string()), pa.list_(pa.int32())]
+        return pa.StructArray.from_arrays([pa.array([list(c) for c in found], kinds[0]), pa.array([list(c.values()) for c in found], kinds[1])], ["terms", "counts"])
+
+    got = sample.select("id", "y", counted("text").alias("c")).select("id", "y", "c.terms", "c.counts").toArrow().sort_by("id")  # at most max_labelled rows
+    ids, y = got["id"].to_numpy(), got["y"].to_numpy()
+    sizes = np.array(pc.list_value_length(got["terms"]), np.int64)
+    counts = pc.list_flatten(got["counts"]).to_numpy()
+    words = pc.list_flatten(got["terms"]).combine_chunks().dictionary_encode()
+    del got
+    words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+    cols, vocabulary = words.indices.to_numpy(), words.dictionary.to_pylist()
+    del words
+    pa.default_memory_pool().release_unused()
+    held = sizes > 0
+    rows = np.repeat(np.arange(int(held.sum()), dtype=np.int32), sizes[held])
+    n, n1, rest, rest1 = len(y), int(y.sum()), int((~held).sum()), int(y[~held].sum())
+    base = (rest1 + 0.5 * (n1 / n if n else 0.5)) / (rest + 0.5)
+    return index_of(ids[held], rows, cols, counts, y[held], vocabulary, np.bincount(cols, minlength=len(vocabulary)), n, base, whole=True)
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str, id: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED, max_terms: int | None = MAX_TERMS) -> Index:
+    """An index learnt from at most ``max_labelled`` rows of ``labels`` (id, label); over all terms if ``max_terms`` is None."""
 
     ship(docs.sparkSession)
 
@@ -183,6 +289,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, id: str = "doc_id", text
     sample = labelled_sample(docs, labels, label, max_labelled, id, text)
     # Copies of a text are one example, with the label most of them have.
     copies = sample.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.min(id).alias("id"), F.round(F.avg("y")).cast("int").alias("y"))
+    if max_terms is None:
+        return fit_whole(copies)
     sample = written(copies.select("id", "y", "text", distinct_terms("text").alias("terms")), "toxicity-sample")
     n1, n = sample.agg(F.sum("y"), F.count("y")).first()
     n1, n = int(n1 or 0), int(n)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import binascii
 import hashlib
 import random
 import re
@@ -242,6 +243,28 @@ def test_toxicity_and_quality_learn(spark, none, odd):
     assert not quality_classifier.fit(none, labels.where("doc_id < 0"), "quality").any()
 
 
+def test_toxicity_looks_at_whole_texts(spark):
+    """Clean examples are neighbours, and one bad word does not make a long clean text equal to bad ones."""
+    clean = " ".join("river stone meadow cloud harbour lantern orchard violin copper sparrow".split() * 3)
+    rows = [(i, f"vile foul insult number{chr(97 + i % 26)}" if i % 4 == 0 else f"{clean} page{chr(97 + i % 26)}{chr(97 + i // 26)}", "", "", 0) for i in range(200)]
+    rows += [(900, clean + " vile", "", "", 0), (901, "vile foul insult", "", "", 0), (902, "zzz qqq", "", "", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id int, toxic int")
+    index = queries.toxicity_index(docs, labels)
+    known, _ = index.counts(clean)
+    assert len(known) == 10 and len(index.labels) == len(set(r[1] for r in rows[:200] if queries_learn(r[0])))
+    sent = spark.sparkContext.broadcast(index)
+    got = rows_of(docs.select("doc_id", toxicity.score_texts(F.col("text"), sent, evidence=True).alias("s")))
+    assert got[900]["s"]["score"] < 0.3 and all(n["id"] % 4 and n["cosine"] < 1 for n in got[900]["s"]["nearest"])
+    assert got[901]["s"]["score"] > 0.7 and all(n["id"] % 4 == 0 for n in got[901]["s"]["nearest"])
+    assert got[902]["s"]["nearest"] == []
+    assert all(len(got[i]["s"]["nearest"]) == 16 for i in range(200) if i % 4)
+
+
+def queries_learn(i):
+    return binascii.crc32(str(i).encode()) % queries.TOXIC_FOLDS != 1
+
+
 def plain_components(texts, size, percent):
     """Every pair compared."""
     sets = {}

@@ -258,6 +258,31 @@ def test_nearest_are_exact():
     assert index.score(None) == index.score("") == (0.1, [])
 
 
+def test_blocks_of_whole_texts_lose_no_neighbour():
+    """Groups, several rounds, and terms without examples, which count in a text's length."""
+    rng = random.Random(14)
+    examples = [{t: rng.randint(1, 3) for t in [rng.randrange(g * 50, g * 50 + 80) for _ in range(rng.randint(1, 40))]} for g in [rng.randrange(8) for _ in range(3000)]]
+    rows = np.repeat(np.arange(3000), [len(c) for c in examples])
+    cols = np.array([t for c in examples for t in c])
+    counts = np.array([k for c in examples for k in c.values()])
+    names = ["t" + "".join(chr(97 + int(d)) for d in str(i)) for i in range(430)]
+    index = toxicity.index_of(range(3000), rows, cols, counts, [e % 2 for e in range(3000)], names, np.bincount(cols, minlength=430), 3000, 0.5, whole=True)
+    dense = np.zeros((3000, 430))
+    for e, c in enumerate(examples):
+        t, w = index.vector(c)
+        dense[e, t] = w
+    for e in range(0, 3000, 100):
+        text = " ".join([names[t] for t in examples[e]] + ["never", "seen"])
+        known, rest = index.counts(text)
+        t, w = index.vector(known, rest)
+        assert w @ w < 1 and set(known) == set(examples[e])
+        cos = np.round(dense[:, t] @ w, 12)
+        want = np.lexsort((np.arange(3000), -cos))[:16]
+        got = index.nearest(known, rest=rest)
+        assert [c for c, _ in got] == pytest.approx(cos[want].tolist())
+        assert all(cos[x] == pytest.approx(c) for c, x in got)
+
+
 def test_isotonic():
     x, y = toxicity.isotonic(np.array([1.0, 2, 3, 4, 4]), np.array([0.0, 1, 0, 1, 1]))
     assert list(np.interp([1, 2, 3, 4], x, y)) == [0, 0.5, 0.5, 1]
