@@ -6,7 +6,8 @@ character class (base64 letters, hexadecimal letters) are candidates; a window
 of fixed length slides over each, and its Shannon entropy is kept up to date
 from the counts of the letter that enters and the one that leaves.  Windows at
 or over the class's threshold that mix letters and digits are merged into
-spans.  A candidate whose text meets the allow-list gives no span.
+spans.  A match of the allow-list leaves out the windows that overlap it, and
+no others: what is glued to a known form is still looked at.
 
 Nulls and empty texts have no span.  Offsets are code points, ends exclusive.
 """
@@ -45,11 +46,11 @@ class CharClass:
 
 
 CLASSES = (CharClass("base64", "A-Za-z0-9+/=_-", 20, 3.9), CharClass("hexadecimal", "0-9A-Fa-f", 24, 3.0))
-#: Candidates that match one of these are known forms without a secret.
+#: The parts of candidates that match one of these are known forms without a secret.
 ALLOW = (
     r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
     r"(?i)example|sample|dummy|placeholder|changeme",
-    r"^sha(256|384|512)-",
+    r"^(sha256-[A-Za-z0-9+/]{43}=|sha384-[A-Za-z0-9+/]{64}|sha512-[A-Za-z0-9+/]{86}==)",
     r"^[A-Za-z]+$",
     r"^[0-9=+/_-]+$",
 )
@@ -84,6 +85,20 @@ def _mixed(run: str, window: int) -> list[bool]:
     return [letters[i + window] > letters[i] and digits[i + window] > digits[i] for i in range(len(run) - window + 1)]
 
 
+def _known(run: str, allow: list[re.Pattern]) -> list[int]:
+    """For every place up to the end: the letters before it that lie in a match of the allow-list."""
+    edges = [0] * (len(run) + 1)
+    for a in allow:
+        for m in a.finditer(run):
+            edges[m.start()] += 1
+            edges[m.end()] -= 1
+    out, depth = [0], 0
+    for e in edges[:-1]:
+        depth += e
+        out.append(out[-1] + (depth > 0))
+    return out
+
+
 class Scanner:
     """Finds the spans of one text; ``classes`` and ``allow`` as above."""
 
@@ -110,11 +125,14 @@ class Scanner:
         for cls, runs in self.classes:
             for m in runs.finditer(text):
                 run = m[0]
-                if run in self.allow_texts or any(a.search(run) for a in self.allow):
+                if run in self.allow_texts:
+                    continue
+                known = _known(run, self.allow)
+                if known[-1] == len(run):
                     continue
                 mixed = _mixed(run, cls.window)
                 for i, h in enumerate(window_entropies(run, cls.window)):
-                    if h >= cls.bits and mixed[i]:
+                    if h >= cls.bits and mixed[i] and known[i] == known[i + cls.window]:
                         found.append((m.start() + i, m.start() + i + cls.window))
         merged: list[list[int]] = []
         for a, b in sorted(found):

@@ -136,6 +136,20 @@ def test_secret_forms():
     assert secret_scan.Scanner(allow_texts=[key]).scan(key) == []
 
 
+def test_secrets_glued_to_known_forms():
+    """The allow-list leaves out its match, not the secret beside it."""
+    key, uuid = "Zx8kQ2mP9vL4tR7wB1nY", "123e4567-e89b-12d3-a456-426614174000"
+    for text in (f"example-key={key}", f"{uuid}/{key}", f"/samples/{key}", f"{key}-dummy"):
+        at = text.index(key)
+        found = [s for s in secret_scan.Scanner().scan(text) if s["kind"] == "entropy"]
+        assert len(found) == 1 and found[0]["start"] <= at and found[0]["end"] >= at + len(key), text
+    both = f"{key}/{uuid}/{key}"
+    assert [t for _, t in spans(both)] == [f"{key}/", f"/{key}"]
+    digest = "sha256-" + (key * 3)[:43] + "="
+    assert spans(digest) == [] and spans(uuid) == [] and spans("an-example-of-a1b2c3d4e5") == []
+    assert [t for _, t in spans(f"{digest}/{key}")] == [f"/{key}"]
+
+
 def test_base_forms_equal_plain_patterns():
     pattern = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     pieces = ["password", "TOKEN", "api_key", "apikey", "=", ":", " ", '"', "abcdef", "AKIA", "0123456789abcdef" * 2, "ſ", "é", "Z" * 18]
