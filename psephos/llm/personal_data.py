@@ -2,17 +2,17 @@
 
 Base kinds (``email``, ``ip``, ``card``, ``phone``) are leftmost,
 non-overlapping matches.  Their values are the protected entities.  The terms
-within ``CONTEXT`` words of a mention are tested against the corpus: with n(e)
-texts that mention the entity, n(t) texts that hold the term anywhere, n(e,t)
-texts with the term near the entity and N texts, a term discloses
+(letters and digits, three at least) of a text that mentions an entity are
+tested against the corpus: with n(e) texts that mention the entity, n(t) texts
+that hold the term, n(e,t) texts with both and N texts, a term discloses
 
     PMI(e,t) = log2(n(e,t) N / (n(e) n(t)))   of the   IC(e) = log2(N / n(e))
 
 bits that name the entity.  From ``GENERALISE`` of that information on, a term
 is generalised to its shape, from ``REMOVE`` on it is removed; either is a span
 of kind ``term``.  A term needs ``SUPPORT`` texts with the entity as evidence.
-Terms are only treated where they stand near the entity; texts without
-personal data are left alone.
+A disclosing term is treated wherever it stands outside base spans, also in
+texts without the entity; where it discloses several, the stricter holds.
 
 All counts run over all rows (repeated rows count each).  Null and empty texts
 have no span.  Offsets are code points, ends exclusive.
@@ -21,6 +21,7 @@ have no span.  Offsets are code points, ends exclusive.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,19 +30,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from psephos.llm.common import WORD, attach, hot_limit, ship, written
+from psephos.llm.common import attach, hot_limit, ship, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
-CONTEXT, SUPPORT, GENERALISE, REMOVE = 8, 2, 0.9, 0.98
+SUPPORT, GENERALISE, REMOVE = 2, 0.9, 0.98
 #: Terms whose counts a task keeps before it hands them on.
 TERMS_HELD = 300_000
+#: Bits of the filter of disclosing terms: so many a term, and at least and at most (32 MB).
+BITS_PER_TERM, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TERM = re.compile(r"[^\W\d_]{3,}")
+TERM = re.compile(r"[^\W_]{3,}")
 
 
 def luhn(digits: str) -> bool:
@@ -102,35 +105,84 @@ def entity(kind: int, value: str) -> str:
     return f"{KINDS[kind]}:{value.lower() if kind < 2 else _only_digits(value)}"
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]], width: int = CONTEXT) -> set[tuple[int, int, int, int]]:
-    """(entity, term, start, end) of the terms within ``width`` words of each mention."""
-    words = [m.span() for m in WORD.finditer(text)]
-    starts = np.array([a for a, _ in words])
-    out = set()
-    for kind, a, b in spans:
-        first = max(int(np.searchsorted(starts, a, "right")) - 1, 0)
-        last = int(np.searchsorted(starts, b, "left"))
-        for x, y in words[max(first - width, 0) : last + width]:
-            for m in TERM.finditer(text, x, y):
-                if not any(m.start() < e and s < m.end() for _, s, e in spans):
-                    out.add((_hash(entity(kind, text[a:b])), _hash(m[0].lower()), m.start(), m.end()))
+def term_places(text: str, spans: list[tuple[int, int, int]], wanted=None) -> dict[int, list[tuple[int, int]]]:
+    """(start, end) of every term outside ``spans``, by hash; ``wanted`` tells of a list of hashes which to look for."""
+    words = list(set(TERM.findall(text)))
+    if not words:
+        return {}
+    hashes = [_hash(w.lower()) for w in words]
+    known = {w: h for w, h, k in zip(words, hashes, wanted(hashes) if wanted else [True] * len(words)) if k}
+    if not known:
+        return {}
+    starts, ends = [], []  # of the spans by start, with the greatest end up to there
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
+        starts.append(a)
+        ends.append(max(b, ends[-1]) if ends else b)
+    out: dict[int, list[tuple[int, int]]] = {}
+    for m in TERM.finditer(text):
+        h = known.get(m[0])
+        if h is not None:
+            before = bisect_left(starts, m.end())
+            if not before or ends[before - 1] <= m.start():
+                out.setdefault(h, []).append(m.span())
     return out
 
 
+def _mentions(column: Column) -> Column:
+    """Entities of a text and, if it has any, its terms."""
+
+    @F.arrow_udf("struct<es:array<bigint>,ts:array<bigint>>")
+    def mentions(texts: pa.Array) -> pa.Array:
+        es, ts = [], []
+        for t in texts:
+            text = t.as_py()
+            found = base_spans(text)
+            es.append(sorted({_hash(entity(k, text[a:b])) for k, a, b in found}))
+            ts.append(sorted(term_places(text, found)) if found else [])
+        kind = pa.list_(pa.int64())
+        return pa.StructArray.from_arrays([pa.array(es, kind), pa.array(ts, kind)], ["es", "ts"])
+
+    return mentions(column)
+
+
+PLACES = "array<struct<start:int,end:int>>"
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-NEAR = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
-BOTH = "struct<spans:array<struct<kind:string,start:int,end:int>>,near:array<struct<e:bigint,t:bigint,start:int,end:int>>>"
+NEAR = pa.list_(pa.struct([("t", pa.int64()), ("places", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]))
+BOTH = f"struct<spans:array<struct<kind:string,start:int,end:int>>,near:array<struct<t:bigint,places:{PLACES}>>>"
+
+
+def _term_filter(telling: DataFrame) -> np.ndarray:
+    """Bits (64 a word) of the hashes in ``t``, ``MOST_BITS`` at most: what misses it is no such term."""
+    n, bits = telling.count(), LEAST_BITS
+    while bits < min(n * BITS_PER_TERM, MOST_BITS):
+        bits *= 2
+    at = F.col("t").bitwiseAND(F.lit(bits - 1))
+    words = telling.select(at.alias("at")).select(F.expr("cast(at div 64 as int)").alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("mask"))
+    got = words.groupBy("word").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[got["word"].to_numpy()] = got["mask"].to_numpy().astype(np.uint64)
+    return out
 
 
-def _scan_column(column: Column) -> Column:
+def _scan_column(column: Column, sent) -> Column:
+    """Base spans, and the places of the terms that pass the filter (``sent`` is a broadcast of it)."""
+
     @F.arrow_udf(BOTH)
     def scan(texts: pa.Array) -> pa.Array:
+        words = sent.value
+        last = len(words) * 64 - 1
+
+        def wanted(hashes: list[int]) -> list[bool]:
+            at = np.array(hashes, np.int64) & last
+            return ((words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0).tolist()
+
         spans, near = [], []
         for t in texts:
             text = t.as_py()
             found = base_spans(text)
             spans.append([{"kind": KINDS[k], "start": a, "end": b} for k, a, b in found])
-            near.append([dict(zip(("e", "t", "start", "end"), c)) for c in sorted(contexts(text, found))] if found else [])
+            places = term_places(text, found, wanted) if text else {}
+            near.append([{"t": h, "places": [{"start": a, "end": b} for a, b in p]} for h, p in sorted(places.items())])
         return pa.StructArray.from_arrays([pa.array(spans, SPANS), pa.array(near, NEAR)], ["spans", "near"])
 
     return scan(column)
@@ -147,7 +199,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in b.column(0):
             text = t.as_py()
             if text:
-                held.update(set(TERM.findall(text.lower())))
+                held.update({w.lower() for w in set(TERM.findall(text))})
             if len(held) > TERMS_HELD:
                 yield out(held)
                 held = Counter()
@@ -162,28 +214,37 @@ def find_personal_data(docs: DataFrame, text: str = "text", out: str = "personal
     """
     ship(docs.sparkSession)
     kept = [c for c in docs.columns if c not in (text, out)]
-    scanned = _scan_column(F.col(f"`{text}`"))
-    found = written(
-        docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("own") if kept else F.lit(None).alias("own"), F.monotonically_increasing_id().alias("row"), scanned.alias("s"))
-        .select("own", "row", "s.spans", "s.near"),
-        "personal-data",
+    column = F.col(f"`{text}`")
+    # Texts with entities only: few hold any.
+    mentions = written(
+        docs.select(_mentions(column).alias("m")).select("m.*").where(F.size("es") > 0).select(F.monotonically_increasing_id().alias("row"), "es", "ts"),
+        "mentions",
     )
-    near = found.where(F.size("near") > 0).select("row", F.explode("near").alias("c")).select("row", "c.*")
-    rows = found.count()
-    n_e = near.select("row", "e").distinct().groupBy("e").agg(F.count("row").alias("n_e"))
-    pairs = near.select("row", "e", "t").distinct().groupBy("e", "t").agg(F.count("row").alias("n_et")).where(F.col("n_et") >= SUPPORT)
-    n_t = docs.select(F.col(f"`{text}`")).mapInArrow(_count_terms, "t long, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
+    rows = docs.count()
+    by_e = mentions.select("row", F.explode("es").alias("e"))
+    # No term can have SUPPORT texts with an entity that has fewer.
+    n_e = by_e.groupBy("e").agg(F.count("row").alias("n_e")).where(F.col("n_e") >= SUPPORT)
+    often = attach(mentions.select(F.explode("es").alias("e"), "ts"), n_e.withColumn("size", F.col("n_e")), "e", "size", hot_limit(rows)).where(F.col("n_e").isNotNull())
+    pairs = often.select("e", "n_e", F.explode("ts").alias("t")).groupBy("e", "t").agg(F.count("t").alias("n_et"), F.first("n_e").alias("n_e")).where(F.col("n_et") >= SUPPORT)
+    n_t = docs.select(column).mapInArrow(_count_terms, "t long, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
     information = F.log2(F.lit(float(rows)) / F.col("n_e"))
     disclosed = F.log2(F.col("n_et") * F.lit(float(rows)) / (F.col("n_e") * F.col("n_t")))
     share = F.when(information > 0, disclosed / information).otherwise(0.0)
-    key = F.xxhash64("e", "t").alias("et")
-    telling = (
-        pairs.join(n_e, "e").join(n_t, "t").withColumn("share", share).where(F.col("share") >= GENERALISE)
-        .select(key, F.col("e").alias("e2"), F.col("t").alias("t2"), "n_et", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("action"))
+    action = F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise")
+    telling = written(
+        pairs.join(n_t, "t").withColumn("share", share).where(F.col("share") >= GENERALISE).groupBy("t").agg(F.max(action).alias("action"), F.max("n_t").alias("n_t")),
+        "telling-terms",
     )
-    told = attach(near.select("*", key), written(telling, "telling-terms"), "et", "n_et", hot_limit(rows)).where((F.col("e") == F.col("e2")) & (F.col("t") == F.col("t2")))
-    terms = told.groupBy("row", "start", "end").agg(F.max("action").alias("action"))
-    terms = terms.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
+    sent = docs.sparkSession.sparkContext.broadcast(_term_filter(telling))
+    found = written(
+        docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("own") if kept else F.lit(None).alias("own"), F.monotonically_increasing_id().alias("row"), _scan_column(column, sent).alias("s"))
+        .select("own", "row", "s.spans", "s.near"),
+        "personal-data",
+    )
+    near = found.where(F.size("near") > 0).select("row", F.explode("near").alias("c")).select("row", "c.*")
+    told = attach(near, telling, "t", "n_t", hot_limit(rows)).where(F.col("action").isNotNull())
+    terms = told.select("row", F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.col("action").alias("action"))).alias("terms"))
+    terms = terms.groupBy("row").agg(F.sort_array(F.flatten(F.collect_list("terms"))).alias("terms"))
     base = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(None).cast("string").alias("action")))
     extra = F.transform("terms", lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["action"].alias("action")))
     spans = F.when(F.col("terms").isNull(), base).otherwise(F.concat(base, extra))

@@ -189,6 +189,20 @@ def test_personal_data(spark, odd, none):
     assert personal_data.find_personal_data(none).count() == 0
 
 
+def test_personal_data_in_whole_texts(spark):
+    """Terms far from a mention disclose it, letters and digits alike, and are treated in texts without it too."""
+    far = " ".join(["the club wrote about other things again"] * 20)
+    rows = [(i, f"jo@x.org {far} Zanzibar about zanzibar77", "", "", 0) for i in range(12)]
+    rows += [(20, f"{far} ZANZIBAR", "", "", 0)] + [(30 + i, far, "", "", 0) for i in range(200)]
+    got = rows_of(personal_data.find_personal_data(spark.createDataFrame(rows, SCHEMA)))
+    texts = {r[0]: r[1] for r in rows}
+    marks = {i: [(s["kind"], texts[i][s["start"] : s["end"]], s["action"]) for s in got[i]["personal_spans"]] for i in texts}
+    for i in range(12):  # 12 of the 13 texts with the name mention the address
+        assert marks[i] == [("email", "jo@x.org", None), ("term", "Zanzibar", "generalise"), ("term", "zanzibar77", "remove")]
+    assert marks[20] == [("term", "ZANZIBAR", "generalise")]
+    assert all(marks[30 + i] == [] for i in range(200))
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "HTTP://Example.COM/en/x", "http://www.example.com/en/x", "http://a.www.example.com/en/", "x://notexample.com/en/x", "x://example.com?/en/", "x://a.net/es/1", "x://a.net/esx", "x://b.org/p/?utm_source=1&b=2&a=1#f", "y://www.b.org/p?a=1&b=2", "y://c.org/p", "x://b.org/p/?utm_source=1&b=2&a=1#f"]
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id int, url string, canonical string")
