@@ -8,18 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from psephos.llm import (
+    conversation_repair,
     decontamination,
     host_quality,
     near_dedup,
     personal_data,
     piece_encoding,
+    prefix_trie,
     quality_classifier,
     secret_scan,
     token_counts,
     toxicity,
     url_filter,
 )
-from psephos.llm.common import count_kind, crc32_mod, ship, spans_sha256, spans_text, table
+from psephos.llm.common import count_kind, crc32_mod, ship, spans_sha256, spans_text, table, written
 
 TOXIC_FROM, GOOD_FROM = 0.7, 0.3
 TOXIC_FOLDS, QUALITY_FOLDS = 3, 5
@@ -126,6 +128,42 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
 
 
+def rebuilt_conversations(turns: DataFrame) -> DataFrame:
+    """(conv_id, turns): conversations begun with the first turns of the conversation at the next lower multiple of 5."""
+    own = written(prefix_trie.sequences(turns), "conversations")
+    c = F.col("conv_id")
+    h = F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(9)).cast("int")
+    first = own.select(F.col("conv_id").alias("base"), F.slice("turns", 1, 8).alias("lead"))
+    both = own.withColumn("base", c - c % 5).join(first, "base", "left")
+    lead = F.coalesce(F.slice("lead", F.lit(1), h), F.slice("turns", 1, 0))
+    rest = F.slice("turns", h + 1, F.greatest(F.size("turns"), F.lit(0)))
+    return both.select("conv_id", F.concat(lead, rest).alias("turns"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(rebuilt_conversations(table(spark, sf_dir, "conversations")))
+
+
+def damaged_conversations(turns: DataFrame) -> DataFrame:
+    """Rows dropped (column ``dropped``), emptied, without sentence ends, repeated, or turned to the user's."""
+    or_space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.pmod(F.crc32(F.concat(or_space("conv_id"), F.lit(":"), or_space("turn")).cast("binary")), F.lit(20))
+    text = or_space("text")
+    return turns.select(
+        "conv_id",
+        "turn",
+        F.when(kind == 4, F.lit("user")).otherwise(or_space("role")).alias("role"),
+        F.when(kind == 1, F.lit("")).when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        (kind == 0).alias("dropped"),
+        F.explode(F.array_repeat(F.lit(0), F.when(kind == 3, 2).otherwise(1))).alias("copy"),
+    )
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = damaged_conversations(table(spark, sf_dir, "conversations"))
+    return conversation_repair.report(damaged, gone=F.col("dropped"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -139,6 +177,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sentencepiece,
         op9_minhash_dedup,
         op10_quality_classifier,
+        op12_prefix_trie,
+        op13_structure_repair,
     )
 }
 
