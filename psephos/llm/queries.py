@@ -11,6 +11,7 @@ from psephos.llm import (
     conversation_repair,
     decontamination,
     host_quality,
+    license_scan,
     near_dedup,
     personal_data,
     piece_encoding,
@@ -21,6 +22,7 @@ from psephos.llm import (
     toxicity,
     url_filter,
 )
+from psephos.llm.license_rules import rules
 from psephos.llm.common import count_kind, crc32_mod, ship, spans_sha256, spans_text, table, written
 
 TOXIC_FROM, GOOD_FROM = 0.7, 0.3
@@ -128,6 +130,23 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = license_scan.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found, base = F.col("licenses"), F.col("base")
+    docs = docs.select("doc_id", "n_words", "licenses", license_scan.base(found).alias("base"))
+    starts = F.transform(base, lambda x: x["start"].cast("long"))
+    return docs.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        license_scan.labels(base).alias("base_labels"),
+        license_scan.labels(found).alias("labels"),
+        license_scan.confidence(found).alias("score"),
+    )
+
+
 def rebuilt_conversations(turns: DataFrame) -> DataFrame:
     """(conv_id, turns): conversations begun with the first turns of the conversation at the next lower multiple of 5."""
     own = written(prefix_trie.sequences(turns), "conversations")
@@ -177,11 +196,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sentencepiece,
         op9_minhash_dedup,
         op10_quality_classifier,
+        op11_license_scan,
         op12_prefix_trie,
         op13_structure_repair,
     )
 }
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_RULES = ", ".join(f"({r.number}, '{r.label}', {r.level}, [{', '.join(map(_quoted, r.words))}], {_quoted(r.pattern)})" for r in rules())
 _SPAM = "'^((www|m|blog)[.])?(casino-win|free-bets|cheap-pills|ads-track)[.]'"
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": r"""
@@ -237,4 +262,29 @@ SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
     WHEN canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END AS verdict
 FROM r""",
+    "op11_license_scan": rf"""
+WITH rules(number, label, level, need, pattern) AS (VALUES {_RULES}),
+d AS (SELECT row_number() OVER () AS r, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+j AS (SELECT r, doc_id, w, ' ' || array_to_string(w, '  ') || ' ' AS t FROM d),
+hit AS (SELECT r, number, label, level, regexp_replace(t, pattern, chr(1), 'g') AS cut, regexp_extract_all(t, pattern) AS found
+  FROM j, rules WHERE list_has_all(w, need) AND regexp_matches(t, pattern)),
+place AS (
+  SELECT r, number, label, level, unnest(list_transform(range(1, len(found) + 1), lambda i: {{
+    'at': CAST(list_sum(list_transform(string_split(cut, chr(1))[1:i], lambda x: length(x) - length(replace(x, ' ', '')))) / 2
+      + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x) - length(replace(x, ' ', '')))) / 2, 0) AS BIGINT),
+    'n': CAST((length(found[i]) - length(replace(found[i], ' ', ''))) / 2 AS BIGINT)}})) AS m FROM hit),
+span AS (SELECT r, number, label, level, m['at'] AS s, m['at'] + m['n'] AS e FROM place),
+kept AS (
+  SELECT * FROM span x WHERE NOT EXISTS (
+    SELECT 1 FROM span y WHERE y.r = x.r AND y.s <= x.s AND y.e >= x.e AND y.level >= x.level
+      AND (y.s < x.s OR y.e > x.e OR y.level > x.level OR y.number < x.number))),
+per AS (
+  SELECT r, count(*) FILTER (WHERE level = 4) AS n_base, min(s) FILTER (WHERE level = 4) AS first_word, max(s) FILTER (WHERE level = 4) AS last_word,
+    array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE level = 4)), ',') AS base_labels,
+    array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(level) AS level FROM kept GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CAST(CASE level WHEN 4 THEN 1.0 WHEN 3 THEN 0.95 WHEN 2 THEN 0.8 WHEN 1 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS score
+FROM j LEFT JOIN per USING (r)""",
 }
