@@ -44,7 +44,8 @@ bsd-1 | bsd 1 clause | (?:bsd 1 clause|1 clause bsd)(?: licen[cs]e)? | bsd 1 cla
 bsd-2 | bsd 2 clause | (?:bsd 2 clause|2 clause bsd)(?: licen[cs]e)? | bsd 2 clause
 bsd-3 | bsd 3 clause | (?:bsd 3 clause|3 clause bsd)(?: licen[cs]e)? | bsd 3 clause
 bsd-4 | bsd 4 clause | (?:bsd 4 clause|4 clause bsd)(?: licen[cs]e)? | bsd 4 clause
-bsd-0 | bsd | (?:0bsd|zero clause bsd|bsd zero clause)(?: licen[cs]e)? | 0bsd
+bsd-0 | zero clause bsd | (?:zero clause bsd|bsd zero clause)(?: licen[cs]e)? | 0bsd
+bsd-0 | 0bsd | 0bsd licen[cs]e | 0bsd
 bsd-2 | simplified bsd | simplified bsd licen[cs]e | bsd 2 clause
 bsd-2 | freebsd | freebsd licen[cs]e | bsd 2 clause
 bsd-3 | revised bsd | revised bsd licen[cs]e | bsd 3 clause
@@ -65,10 +66,10 @@ agpl-1 | affero general public | affero general public licen[cs]e (?:version )?v
 agpl-3 | affero general public | (?:gnu )?affero general public licen[cs]e(?: (?:version )?v?3(?: 0)?)? | agpl 3 0(?: (?:only|or later))?
 agpl-3 | agplv3 | (?:gnu )?agplv3 | agplv3
 gfdl-1.3 | gnu free documentation | gnu free documentation licen[cs]e(?: (?:version )?v?1 [123])? | gfdl 1 [123](?: (?:only|or later))?
-mpl-1 | mozilla public 1 | mozilla public licen[cs]e (?:version )?v?1(?: [01])? | mpl 1 [01]
-mpl-2 | mozilla public 2 | mozilla public licen[cs]e (?:version )?v?2(?: 0)? | mpl 2 0
-epl-1 | eclipse public 1 | eclipse public licen[cs]e (?:version )?v?1(?: 0)? | epl 1 0
-epl-2 | eclipse public 2 | eclipse public licen[cs]e (?:version )?v?2(?: 0)? | epl 2 0
+mpl-1 | mozilla public | mozilla public licen[cs]e (?:version )?v?1(?: [01])? | mpl 1 [01]
+mpl-2 | mozilla public | mozilla public licen[cs]e (?:version )?v?2(?: 0)? | mpl 2 0
+epl-1 | eclipse public | eclipse public licen[cs]e (?:version )?v?1(?: 0)? | epl 1 0
+epl-2 | eclipse public | eclipse public licen[cs]e (?:version )?v?2(?: 0)? | epl 2 0
 edl-1 | eclipse distribution | eclipse distribution licen[cs]e(?: (?:version )?v?1(?: 0)?)? | bsd 3 clause
 cddl-1 | common development and distribution | common development and distribution licen[cs]e(?: (?:version )?v?1(?: [01])?)? | cddl 1 [01]
 cpl-1 | common public | common public licen[cs]e(?: (?:version )?v?1(?: 0)?)? | cpl 1 0
@@ -79,10 +80,10 @@ libpng | libpng | (?:the )?libpng licen[cs]e | libpng(?: 2 0)?
 boost-1 | boost | boost software licen[cs]e(?: (?:version )?v?1(?: 0)?)? | bsl 1 0
 unlicense | unlicense | the unlicense | unlicense
 wtfpl | do what the want | do what the f[^ ]* you want to public licen[cs]e | wtfpl
-artistic-1 | artistic 1 | artistic licen[cs]e (?:version )?v?1(?: 0)? | artistic 1 0
-artistic-2 | artistic 2 | artistic licen[cs]e (?:version )?v?2(?: 0)? | artistic 2 0
+artistic-1 | artistic | artistic licen[cs]e (?:version )?v?1(?: 0)? | artistic 1 0
+artistic-2 | artistic | artistic licen[cs]e (?:version )?v?2(?: 0)? | artistic 2 0
 psf-2 | python software foundation | python software foundation licen[cs]e(?: (?:version )?v?2(?: 0)?)? | psf 2 0
-python-2 | python 2 | python licen[cs]e (?:version )?v?2(?: 0)? | python 2 0(?: 1)?
+python-2 | python | python licen[cs]e (?:version )?v?2(?: 0)? | python 2 0(?: 1)?
 postgresql | postgresql | postgresql licen[cs]e | postgresql
 ruby | ruby | ruby licen[cs]e | ruby
 php-3 | php | php licen[cs]e (?:version )?v?3(?: 0[01]?)? | php 3 0[01]?
@@ -128,14 +129,14 @@ bsd-4 | advertising materials mentioning features | all advertising materials me
 bsd-2 | freebsd views conclusions | the views and conclusions contained in the software ~10 freebsd project
 apache-2 | file except compliance | you may not use this file except in compliance with the license
 apache-2 | unless required applicable writing | unless required by applicable law or agreed to in writing software distributed under the license
-apache-2 | perpetual worldwide reproduce sublicense | a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce
+apache-2 | perpetual worldwide irrevocable reproduce | a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce
 apache-1 | developed apache foundation | this product includes software developed by the apache software foundation
 gpl-2 | either version 2 later | either version 2 of the license or at your option any later version
 gpl-3 | either version 3 later | either version 3 of the license or at your option any later version
 gpl | redistribute modify gnu general | you can redistribute it and or modify it under the terms of the gnu general public license
 lgpl | redistribute modify gnu lesser | you can redistribute it and or modify it under the terms of the gnu lesser general public license
 agpl-3 | redistribute modify gnu affero | you can redistribute it and or modify it under the terms of the gnu affero general public license
-gpl | hope useful merchantability | this program is distributed in the hope that it will be useful but without any warranty
+gpl | program hope useful warranty | this program is distributed in the hope that it will be useful but without any warranty
 lgpl | library hope useful | this library is distributed in the hope that it will be useful but without any warranty
 gfdl-1.3 | copy distribute modify gnu documentation | permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license
 mpl-2 | source form subject mozilla | this source code form is subject to the terms of the mozilla public license
@@ -153,11 +154,11 @@ beerware | retain notice whatever stuff | as long as you retain this notice you
 artistic-2 | package distributed artistic | this package is ~6 distributed under the artistic license
 perl | same terms perl itself | (?:under|on) the same terms as perl itself
 ruby | same terms ruby itself | (?:under|on) the same terms as ruby itself
-psf-2 | psf nonexclusive royalty python | psf is making python available to licensee
+psf-2 | psf making python licensee | psf is making python available to licensee
 openssl | developed openssl toolkit | this product includes software developed by the openssl project for use in the openssl toolkit
 ofl-1.1 | font software licensed sil | this font software is licensed under the sil open font license
 eupl-1 | licensed eupl | licensed under the eupl
-ms-pl | reproduction preparation derivative contributor | each contributor grants you a non exclusive worldwide royalty free copyright license to reproduce its contribution
+ms-pl | contributor grants worldwide reproduce | each contributor grants you a non exclusive worldwide royalty free copyright license to reproduce its contribution
 elastic-2 | provide hosted managed service | you may not provide the software to third parties as a hosted or managed service
 bsl-1.1 | licensor copy modify production | the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use
 sspl-1 | functionality third parties service | if you make the functionality of the program or a modified version available to third parties as a service
@@ -168,7 +169,7 @@ proprietary | proprietary confidential | (?:proprietary and confidential|confide
 proprietary | unauthorized copying prohibited | unauthorized copying of this file ~8 is strictly prohibited
 non-commercial | non commercial use only | for (?:personal |research )?(?:and )?non commercial use only
 non-commercial | noncommercial use only | for (?:personal |research )?(?:and )?noncommercial use only
-public-domain | in public domain | (?:is|are|placed|released) in(?:to)? the public domain
+public-domain | public domain | (?:is|are|placed|released) in(?:to)? the public domain
 """
 
 #: label | words | web address, as words.
