@@ -9,9 +9,12 @@ and for the others alike), and the rows are read once more to take them:
   rows.  Of N rows at most N / salt_rows groups can be hot, so at the default
   a table of 10**12 rows has at most 250,000 of them; they travel to the rows
   in a broadcast, values included, and their rows join nothing else;
-* the other groups are joined on their keys.  Rows of hot groups, and rows
-  whose key has a null part, carry a spread number instead of 0 in that join,
-  so they meet no group and do not gather in one task.
+* the other groups are joined on their keys and a spread number.  Rows of cold
+  groups carry 0 there and cold groups too; rows of hot groups, and rows whose
+  key has a null part, carry a number from 1 on, made of the row, and hot groups
+  -1: they meet no group, and the exchange deals them to all tasks.  Both
+  numbers depend on data (a constant on one side would be taken out of the
+  join's keys by the optimiser, and the exchange would be by the key alone).
 """
 
 from __future__ import annotations
@@ -47,7 +50,7 @@ def attach_group_aggregates(
     rows = df.join(hot, keys, "left").withColumn(
         "_spread", F.when(F.col("_hot").isNotNull() | no_group, spread).otherwise(F.lit(0))
     )
-    cold = stats.where(~is_hot).drop("_grp_rows").withColumn("_spread", F.lit(0))
+    cold = stats.withColumn("_spread", F.when(is_hot, F.lit(-1)).otherwise(F.lit(0))).drop("_grp_rows")
     return rows.join(cold, [*keys, "_spread"], "left").select(
         *[F.col(f"`{c}`") for c in df.columns],
         *[F.coalesce(F.col(f"_hot_{c}"), F.col(c)).alias(c) for c in names],

@@ -1,15 +1,18 @@
 """One contest and one party each hold about a third of all entries.
 
 Results must stay exact, the top-k windows must keep their map-side limit,
-and with sort-merge joins forced, AQE must split the hot contest's join
-partition instead of leaving it to one task.
+and with sort-merge joins forced, the hot contest's rows must be dealt evenly to
+the join's tasks, measured on the written result.
 """
 
 from __future__ import annotations
 
 import random
+import re
+from contextlib import contextmanager
 
 import pytest
+from pyspark.sql import functions as F
 
 from psephos.operators import contest_margins, enrich, flag_winners, head_to_head, party_profiles
 from tests.helpers import as_dicts, entries_df, entry, party_map_df, totals_from
@@ -72,40 +75,51 @@ def test_hot_contest_results_exact(spark, skewed):
     )
 
 
-def test_hot_contest_join_is_split(spark, skewed):
-    """With sort-merge joins forced, the hot contest's rows spread over several join tasks."""
-    from pyspark.sql import functions as F
+SORT_MERGE = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.adaptive.skewJoin.enabled": "false",  # the operator's own split is tested, not the engine's
+}
 
-    rows, e = skewed
-    conf = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.coalescePartitions.enabled": "false",
-    }
+
+@contextmanager
+def settings(spark, conf):
     old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
-        for k, v in conf.items():
-            spark.conf.set(k, v)
-        flagged = flag_winners(e, salt_rows=500)
-        parts = (
-            flagged.where("ac_no = 1")
-            .select(F.spark_partition_id().alias("p"))
-            .groupBy("p")
-            .count()
-            .collect()
-        )
-        n = flagged.where("is_winner").count()
-        plan = flagged._jdf.queryExecution().executedPlan().toString()
+        yield
     finally:
         for k, v in old.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
-    assert "SortMergeJoin" in plan
-    # the hot contest's 3,000 rows spread over the 8 partitions
-    assert len(parts) >= 6
-    assert max(r["count"] for r in parts) <= 1000
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def rows_by_task(spark, df, path, group):
+    """Rows of each value of ``group`` in each task that wrote the whole result."""
+    df.withColumn("_task", F.spark_partition_id()).write.parquet(path)
+    out = {}
+    for r in spark.read.parquet(path).groupBy(group.alias("g"), "_task").count().collect():
+        out.setdefault(r["g"], []).append(r["count"])
+    return out
+
+
+def assert_spread(rows, tasks=8):
+    """No task has over one and a half times its even share."""
+    assert max(rows) <= 1.5 * sum(rows) / tasks, rows
+
+
+def test_hot_contest_join_is_split(spark, skewed, tmp_out):
+    """With sort-merge joins forced and the flags written, the hot contest's rows are dealt evenly to the join's tasks."""
+    rows, e = skewed
+    with settings(spark, SORT_MERGE):
+        flagged = flag_winners(e.repartition(8, "ac_no"), salt_rows=500)  # the hot contest comes in one task
+        parts = rows_by_task(spark, flagged, f"{tmp_out}/flagged", F.col("ac_no") == 1)
+        plan = flagged._jdf.queryExecution().executedPlan().toString()
+        n = spark.read.parquet(f"{tmp_out}/flagged").where("is_winner").count()
+    assert "SortMergeJoin" in plan and re.search(r"hashpartitioning\(state#\d+, ac_no#\d+L?, _spread#\d+", plan)
+    assert sum(parts[True]) == 3000
+    assert_spread(parts[True])
     best = {}
     for r in rows:
         best[(r[0], r[1])] = max(best.get((r[0], r[1]), -1), r[8])
@@ -140,33 +154,29 @@ def test_attach_group_aggregates_null_keys(spark):
     assert out == {("a", 5): 7, ("a", 7): 7, (None, 9): None, (None, 11): None}
 
 
-def test_hot_by_rows_whatever_the_share(spark):
-    """A group far under a thousandth of all rows, yet over ``salt_rows``, and null keys: both spread over tasks."""
-    from pyspark.sql import functions as F
-
+def test_hot_by_rows_whatever_the_share(spark, tmp_out):
+    """Groups far under a thousandth of all rows, yet over ``salt_rows``, and null keys: both spread over tasks."""
     from psephos.operators.grouped import attach_group_aggregates
 
     n = 400_000
-    k = F.when(F.col("id") < 300, F.lit(-1)).when(F.col("id") < 1300, F.lit(None)).otherwise(F.col("id") % 50_000)
-    df = spark.range(n).repartition(8).select(k.cast("bigint").alias("k"), F.col("id").alias("v"))
-    conf = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.coalescePartitions.enabled": "false",
-    }
-    old = {c: spark.conf.get(c, None) for c in conf}
-    try:
-        for c, v in conf.items():
-            spark.conf.set(c, v)
+    k = F.when(F.col("id") < 800, F.lit(-1)).when(F.col("id") < 4000, F.lit(None)).otherwise(F.col("id") % 50_000)
+    df = spark.range(0, n, 1, 8).select(k.cast("bigint").alias("k"), F.col("id").alias("v"))
+    with settings(spark, SORT_MERGE):
         out = attach_group_aggregates(df, ["k"], [F.max("v").alias("m")], salt_rows=100)
-        hot = out.where((F.col("k") == -1) | F.col("k").isNull())
-        parts = {(r["k"], r["p"]): r["count"] for r in hot.groupBy("k", F.spark_partition_id().alias("p")).count().collect()}
-        right = out.where(F.col("k") == -1).agg(F.count("v"), F.min("m"), F.max("m")).first()
-        nulls = out.where(F.col("k").isNull()).agg(F.count("v"), F.count("m")).first()
-        rows = out.count()
-    finally:
-        for c, v in old.items():
-            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
-    assert rows == n and tuple(right) == (300, 299, 299) and tuple(nulls) == (1000, 0)
-    assert max(v for (k, _), v in parts.items() if k == -1) <= 120
-    assert max(v for (k, _), v in parts.items() if k is None) <= 400
+        parts = rows_by_task(spark, out, f"{tmp_out}/out", F.when(F.col("k").isNull(), "null").when(F.col("k") == -1, "hot").otherwise("rest"))
+        got = spark.read.parquet(f"{tmp_out}/out")
+        right = got.where(F.col("k") == -1).agg(F.count("v"), F.min("m"), F.max("m")).first()
+        nulls = got.where(F.col("k").isNull()).agg(F.count("v"), F.count("m")).first()
+        rest = got.where((F.col("k") >= 0) & F.col("m").isNull()).count()
+    assert sum(map(sum, parts.values())) == n and tuple(right) == (800, 799, 799) and tuple(nulls) == (3200, 0) and rest == 0
+    for group in ("hot", "null", "rest"):
+        assert_spread(parts[group])
+
+
+def test_a_constant_would_leave_the_exchange(spark, tmp_out):
+    """The form this replaced, with a constant on one side, fails the same measure: the test can see it."""
+    df = spark.range(0, 4000, 1, 4).select(F.pmod("id", F.lit(1)).alias("k"), (F.col("id") + 1).alias("_spread"))
+    groups = spark.range(10).select(F.col("id").alias("k"), F.col("id").alias("m")).withColumn("_spread", F.lit(0).cast("bigint"))
+    with settings(spark, SORT_MERGE):
+        parts = rows_by_task(spark, df.join(groups, ["k", "_spread"], "left"), f"{tmp_out}/out", F.lit("hot"))
+    assert max(parts["hot"]) == 4000
