@@ -11,19 +11,33 @@ sets is at least ``percent`` / 100.
    verification.  Classes that share a band's key are in one bucket; there are
    so many bands that a pair at the threshold shares none with a chance of at
    most ``NO_BAND``.
-3. In every bucket the first members, its leaders, are paired with the others
+3. Of the classes in buckets of two or more, the shingles that no other of
+   them has are counted.  A class of n shingles with c shared ones has a
+   similarity of c / n at most to any other, and a pair overlaps in the smaller c
+   at most: both are exact bounds, so what falls short of the threshold goes
+   without being compared.  Heavily edited copies, and texts that share only a
+   template, go here, whatever the size of their bucket; it is done ``PEELS``
+   times, as what is gone leaves others' shingles unshared.
+4. In every bucket the first members, its leaders, are paired with the others
    that are not yet in their component; the leaders are then done with and
-   leave the bucket.  A round's pairs are verified, the links it finds are
+   leave the bucket.  First come those with the greatest share of shared
+   shingles: the text that the others are copies of.  A round's pairs are
+   verified, the links it finds are
    contracted to components, and the next round takes ``GROWTH`` times as
-   many leaders.  A bucket whose members are in one component is done; the rounds
-   end when all are.  So no pair is skipped but those whose ends a chain of
+   many leaders, up to ``MOST_LEADERS``.  A bucket whose members are in one component is done; the rounds
+   end when all are.  So no pair is skipped but those that the bounds rule out, and those whose ends a chain of
    links already joins, and a bucket of n copies costs about n pairs.
-4. A pair's signatures are compared in batches; after each, it is given up if
+5. A pair's signatures are compared in batches; after each, it is given up if
    the posterior chance (uniform prior) that its similarity reaches the
-   threshold is under ``MISS``.  Survivors are confirmed on full sets.
-5. Components are found by passing on the least id, with shortcuts.
+   threshold is under ``MISS``.  Survivors are confirmed on full sets.  A link is
+   missed with a chance of at most ``NO_BAND`` + (batches x ``MISS``), about 4 in 10**7.
+6. Components are found by passing on the least id, with shortcuts.
 
-Null texts count as empty.  Rows of one id are one document, linked if any of
+Leaders are rows, joined with the members of their bucket; those of a bucket
+with very many members are repeated over ``SALTS`` numbers, over which its
+members are spread.
+
+Null texts count as empty.  Ids are whole numbers.  Rows of one id are one document, linked if any of
 them is, with the largest n_shingles.  Null ids are left out of the result.
 """
 
@@ -38,9 +52,11 @@ from pyspark.sql import functions as F
 
 from psephos.llm.common import WORD, attach, hot_limit, ship, written
 
-ROWS, NO_BAND, MOST_BANDS = 3, 1e-9, 64
+ROWS, NO_BAND, MOST_BANDS = 4, 1e-9, 64
 VERIFY, BATCH, MISS = 64, 16, 1e-7
-LEADERS, GROWTH = 4, 8
+#: Leaders of a bucket in the first round, growth by round, and the most (under Spark's limit for a window's group limit).
+LEADERS, GROWTH, MOST_LEADERS = 4, 4, 512
+PEELS, SALTS = 2, 32
 _rng = np.random.Generator(np.random.PCG64(20))
 _A = _rng.integers(1, 1 << 63, VERIFY + MOST_BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, VERIFY + MOST_BANDS * ROWS, np.uint64)
@@ -135,9 +151,9 @@ def _features(texts: Column, size: int, bands: int) -> Column:
 
 
 def _sets(texts: Column, size: int) -> Column:
-    @F.arrow_udf("binary")
+    @F.arrow_udf("array<bigint>")
     def made(batch: pa.Array) -> pa.Array:
-        return pa.array([shingle_set(t.as_py(), size).tobytes() for t in batch], pa.binary())
+        return pa.array([shingle_set(t.as_py(), size).view(np.int64) for t in batch], pa.list_(pa.int64()))
 
     return made(texts)
 
@@ -168,7 +184,7 @@ def _confirmed(a: Column, b: Column, percent: int) -> Column:
     def exact(x: pa.Array, y: pa.Array) -> pa.Array:
         out = []
         for p, q in zip(x, y):
-            left, right = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
+            left, right = p.values.to_numpy(), q.values.to_numpy()
             both = len(np.intersect1d(left, right, assume_unique=True))
             out.append(100 * both >= percent * (len(left) + len(right) - both))
         return pa.array(out)
@@ -197,35 +213,61 @@ def components(links: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("c", "component")
 
 
+def _crowded(members: DataFrame, limit: int) -> DataFrame:
+    """The rows of the buckets (``key``) with two members or more."""
+    sizes = members.groupBy("key").agg(F.count("id").alias("size")).where(F.col("size") > 1).withColumn("many", F.lit(True))
+    return attach(members, written(sizes, "near-crowded"), "key", "size", limit).where(F.col("many")).drop("many")
+
+
+def _peeled(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, n, c, s): of the sets, those of whose n shingles enough (c) are in another one too."""
+    several = sets.groupBy("id").agg(F.count("id").alias("k")).where(F.col("k") > 1).select("id", F.lit(True).alias("several"))
+    sets = written(sets.join(several, "id", "left"), "near-sets")
+    for _ in range(PEELS):
+        alone = sets.select("id", F.explode("s").alias("h")).groupBy("h").agg(F.count("id").alias("k"), F.min("id").alias("id")).where(F.col("k") == 1)
+        alone = alone.groupBy("id").agg(F.count("h").alias("u"))
+        # An id with several texts has no count for each of them: nothing is taken off.
+        u = F.when(F.col("several"), F.lit(0)).otherwise(F.coalesce("u", F.lit(0)))
+        shared = sets.join(alone, "id", "left").select("id", "s", "several", (F.size("s") - u).alias("c"))
+        sets = written(shared.where(100 * F.col("c") >= percent * F.size("s")), "near-shared")
+    return sets.select("id", F.size("s").alias("n"), "c", "s")
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row for each id: id, n_shingles, component_id (the smallest id it is joined with), kept (its own)."""
     ship(docs.sparkSession)
     texts = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).where(F.col("id").isNotNull())
     made = written(texts.select("id", _features(F.col("text"), size, bands_for(percent)).alias("f")).select("id", "f.*"), "near-features")
-    rows = made.count()
-    limit = hot_limit(rows)
+    limit = hot_limit(made.count())
     classes = made.where(F.col("n") > 0).groupBy("digest").agg(F.min("id").alias("rep"), F.count("id").alias("rows")).where(F.col("rows") > 1)
+    classes = written(classes, "near-classes")
     # A class is a member of each of its buckets once, whatever its copies.
-    members = made.where(F.col("n") > 0).select(F.explode("bands").alias("key"), "digest", "id", "n")
-    members = written(members.groupBy("key", "digest").agg(F.min("id").alias("id"), F.min("n").alias("n")).select("key", "id", "n"), "near-members")
-    crowded = members.groupBy("key").agg(F.count("id").alias("size")).where(F.col("size") > 1)
-    buckets = attach(members, written(crowded.withColumn("many", F.lit(True)), "near-crowded"), "key", "size", limit)
-    buckets = written(buckets.where(F.col("many")).select("key", "id", "n"), "near-buckets")
-    signatures = made.where(F.col("n") > 0).select("id", "signature")
-    known = None
-    links = None
+    one = attach(made.where(F.col("n") > 0).select("id", "digest", "bands", "signature"), classes, "digest", "rows", limit)
+    one = written(one.where(F.col("rep").isNull() | (F.col("rep") == F.col("id"))).dropDuplicates(["id", "digest"]).select("id", "bands", "signature"), "near-one")
+    buckets = written(_crowded(one.select(F.explode("bands").alias("key"), "id"), limit), "near-buckets")
+    # Only these classes can be linked.  (A text of a class' id may be another one, if ids repeat: the set decides.)
+    near = buckets.select("id").distinct()
+    sets = texts.join(near, "id", "left_semi").select("id", _sets(F.col("text"), size).alias("s"))
+    sets = _peeled(written(sets.where(F.size("s") > 0), "near-sets"), percent)
+    figures = sets.select("id", "n", "c", ((F.col("n") - F.col("c")) / F.col("n")).alias("r"))
+    buckets = written(_crowded(buckets.join(figures, "id"), limit), "near-buckets")
+    signatures = one.select("id", "signature").join(sets.select("id"), "id", "left_semi")
+    known = links = None
     leaders = LEADERS
     while True:
-        state = _round(buckets, known, leaders, limit)
+        state = _state(buckets, known, limit)
         if state.isEmpty():
             break
-        found = _links(state, signatures, texts, size, percent)
-        buckets = state.where(F.col("id") > F.element_at("leaders", -1)["id"]).select("key", "id", "n")
+        first = _leaders(state, leaders)
+        found = _links(_pairs(state, first, percent), signatures, sets, percent)
+        last = written(first.groupBy("key").agg(F.max("at").alias("last"), F.max("size").alias("size")), "near-last")
+        rest = attach(state, last, "key", "size", limit).where(F.struct("r", "id") > F.struct("last.r", "last.id"))
+        buckets = rest.select("key", "id", "n", "c", "r")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             known = components(links)
-        leaders *= GROWTH
-    joined = attach(made.select("id", "n", "digest"), written(classes, "near-classes"), "digest", "rows", limit)
+        leaders = min(leaders * GROWTH, MOST_LEADERS)
+    joined = attach(made.select("id", "n", "digest"), classes, "digest", "rows", limit)
     joined = joined.select("id", "n", F.coalesce("rep", "id").alias("rep"))
     if known is not None:
         joined = joined.join(known.select(F.col("id").alias("rep"), "component"), "rep", "left")
@@ -235,31 +277,46 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     return out.select(F.col("id").alias(id), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
-def _round(buckets: DataFrame, known: DataFrame | None, leaders: int, limit: int) -> DataFrame:
-    """Members (key, id, n, c) of the buckets whose members are in several components, with the bucket's first ``leaders`` members."""
+def _state(buckets: DataFrame, known: DataFrame | None, limit: int) -> DataFrame:
+    """Members (key, id, n, c, r) of the buckets whose members are in several components, with their component and the bucket's size."""
     if known is None:
-        state = buckets.withColumn("c", F.col("id"))
+        state = buckets.withColumn("component", F.col("id"))
     else:
-        state = buckets.join(known.select("id", "component"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-        state = written(state, "near-state")
-    mixed = state.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("id").alias("size")).where(F.col("lo") < F.col("hi"))
-    first = state.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("place") <= leaders)
-    first = first.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "n", "c"))).alias("leaders"))
-    chosen = written(mixed.join(first, "key").select("key", "size", "leaders"), "near-leaders")
-    return written(attach(state, chosen, "key", "size", limit).where(F.col("leaders").isNotNull()), "near-state")
-
-
-def _links(state: DataFrame, signatures: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The confirmed links (a, b) between leaders and members of other components."""
-    pairs = state.select("id", "n", "c", F.explode("leaders").alias("l")).where((F.col("l.id") < F.col("id")) & (F.col("l.c") != F.col("c")))
-    # Sets of too different sizes cannot be that similar.
-    pairs = pairs.where(100 * F.least("n", "l.n") >= percent * F.greatest("n", "l.n"))
-    pairs = pairs.select(F.col("l.id").alias("a"), F.col("id").alias("b")).distinct()
+        state = buckets.join(known.select("id", F.col("component").alias("k")), "id", "left").withColumn("component", F.coalesce("k", "id")).drop("k")
+    state = written(state, "near-state")
+    mixed = state.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("id").alias("size")).where(F.col("lo") < F.col("hi"))
+    mixed = written(mixed.select("key", "size", F.col("size").alias("members")), "near-mixed")
+    state = attach(state, mixed, "key", "size", limit).where(F.col("members").isNotNull())
+    # Members of a bucket over the limit are spread over SALTS numbers; the others keep 0.
+    salts = F.when(F.col("members") > limit, F.lit(SALTS)).otherwise(F.lit(1))
+    return written(state.select("key", "id", "n", "c", "r", "component", F.col("members").alias("size"), salts.alias("salts")), "near-state")
+
+
+def _leaders(state: DataFrame, leaders: int) -> DataFrame:
+    """The first members of every bucket; the greatest share of shared shingles first, then the smallest id."""
+    place = F.row_number().over(Window.partitionBy("key").orderBy("r", "id"))
+    first = state.withColumn("place", place).where(F.col("place") <= leaders)
+    return written(first.select("key", "id", "n", "c", "component", "size", "salts", F.struct("r", "id").alias("at")), "near-leaders")
+
+
+def _pairs(state: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a leader and a later member of its bucket, of other components, that the bounds leave."""
+    mine = first.select(
+        "key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("component").alias("of_a"), "at",
+        F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
+    )
+    salt = F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")
+    theirs = state.select("key", salt.alias("salt"), F.col("id").alias("b"), "n", "c", "component", F.struct("r", "id").alias("after"))
+    both = F.least("c", "ca")  # their overlap at most
+    possible = 100 * both >= percent * (F.col("n") + F.col("na") - both)
+    pairs = mine.join(theirs, ["key", "salt"]).where((F.col("at") < F.col("after")) & (F.col("component") != F.col("of_a")) & possible)
+    return written(pairs.select("a", "b").distinct(), "near-pairs")
+
+
+def _links(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The confirmed links (a, b) among the pairs."""
     left = signatures.select(F.col("id").alias("a"), F.col("signature").alias("x"))
     right = signatures.select(F.col("id").alias("b"), F.col("signature").alias("y"))
-    alive = pairs.join(left, "a").join(right, "b").where(_promising(F.col("x"), F.col("y"), percent)).select("a", "b").distinct()
-    alive = written(alive, "near-alive")
-    ends = alive.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = written(texts.join(ends, "id", "left_semi").select("id", _sets(F.col("text"), size).alias("s")), "near-sets")
-    full = alive.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    return written(full.where(_confirmed(F.col("x"), F.col("y"), percent)).select("a", "b").distinct(), "near-links")
+    alive = written(pairs.join(left, "a").join(right, "b").where(_promising(F.col("x"), F.col("y"), percent)).select("a", "b").distinct(), "near-alive")
+    x, y = (sets.select(F.col("id").alias(k), F.col("s").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    return written(alive.join(x, "a").join(y, "b").where(_confirmed(F.col("x"), F.col("y"), percent)).select("a", "b").distinct(), "near-links")
