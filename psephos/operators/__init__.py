@@ -1,7 +1,7 @@
 """Contest operators: each takes DataFrames and returns a lazy DataFrame."""
 
 from psephos.operators.enrich import enrich, enrich_summary
-from psephos.operators.lookup import contest_detail, search_contests
+from psephos.operators.lookup import contest_detail, contest_grams, gram_counts, search_contests
 from psephos.operators.margins import close_contests, contest_margins
 from psephos.operators.matchups import contest_parties, contest_winner_party, finishers, head_to_head, opponents, relevant_parties
 from psephos.operators.nota import nota_by_contest, nota_summary
@@ -22,6 +22,8 @@ __all__ = [
     "enrich",
     "enrich_summary",
     "contest_detail",
+    "contest_grams",
+    "gram_counts",
     "search_contests",
     "close_contests",
     "contest_margins",

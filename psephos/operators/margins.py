@@ -32,18 +32,20 @@ def _prefixed(struct_col: str, prefix: str) -> list:
     return [F.col(f"{struct_col}.{c}").alias(f"{prefix}_{names[c]}") for c in RANKED_ENTRY_COLUMNS]
 
 
-def contest_margins(enriched: DataFrame, totals: DataFrame, keys: Sequence[str] = CONTEST_KEY) -> DataFrame:
-    """One row per contest: winner_*, runner_* (null when only one entry), margin_votes, margin_percent.
+def _first_two(places: DataFrame, keys: list[str]) -> DataFrame:
+    """Winner and runner-up of every contest from a written ``contest_places`` table: two of its rows, joined on the
+    contest.  In buckets by the contest the join needs no exchange; four rows a contest at most, so none is hot."""
+    entry = F.struct(*[F.col(c) for c in RANKED_ENTRY_COLUMNS])
+    first = places.where(F.col("_place") == 1).select(*keys, "ac_name", entry.alias("_winner"))
+    second = places.where(F.col("_place") == 2).select(*keys, entry.alias("_runner"))
+    return first.join(second, keys, "left")
 
-    Finish order is votes descending, then ballot serial and candidate name,
-    so a tie for first gives one reproducible winner and margin 0.  Margin
-    percent divides by the contest total from ``totals``; contests missing
-    there are dropped.
-    """
-    keys = list(keys)
+
+def _ranked_two(enriched: DataFrame, keys: list[str]) -> DataFrame:
+    """The same from the entries, in one window."""
     w = rank_window(keys)
     entry = F.struct(*[F.col(c) for c in RANKED_ENTRY_COLUMNS])
-    top2 = (
+    return (
         enriched.select(*keys, "ac_name", "sn", *RANKED_ENTRY_COLUMNS)
         .withColumn("_rn", F.row_number().over(w))
         .where(F.col("_rn") <= 2)
@@ -51,6 +53,21 @@ def contest_margins(enriched: DataFrame, totals: DataFrame, keys: Sequence[str]
         .where(F.col("_rn") == 1)
         .select(*keys, "ac_name", entry.alias("_winner"), "_runner")
     )
+
+
+def contest_margins(
+    enriched: DataFrame, totals: DataFrame, keys: Sequence[str] = CONTEST_KEY, places: DataFrame | None = None
+) -> DataFrame:
+    """One row per contest: winner_*, runner_* (null when only one entry), margin_votes, margin_percent.
+
+    Finish order is votes descending, then ballot serial and candidate name,
+    so a tie for first gives one reproducible winner and margin 0.  Margin
+    percent divides by the contest total from ``totals``; contests missing
+    there are dropped.  ``places`` may be a written ``contest_places`` table
+    of the same entries, which then are not read.
+    """
+    keys = list(keys)
+    top2 = _first_two(places, keys) if places is not None else _ranked_two(enriched, keys)
     contest_votes = totals.select(*keys, F.col("total_votes").alias("_contest_votes"))
     margin = F.col("_winner.total_votes") - F.coalesce(F.col("_runner.total_votes"), F.lit(0))
     return top2.join(contest_votes, keys, "inner").select(

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from psephos.functions.columns import rank_window
@@ -69,6 +69,7 @@ def opponents(
     party: str,
     keys: Sequence[str] = CONTEST_KEY,
     parties: DataFrame | None = None,
+    by_party: DataFrame | None = None,
 ) -> DataFrame:
     """Relevant, non-independent parties met by ``party`` and how often.
 
@@ -76,14 +77,16 @@ def opponents(
     second in any contest counts wherever it is met.
     ``contests`` counts entry pairs: a contest where the subject has two
     entries and the opponent three adds 6 (the reference's pair count).
-    ``parties`` may be a written ``contest_parties`` table of the same entries.
+    ``parties`` may be a written ``contest_parties`` table of the same entries,
+    and ``by_party`` the same rows laid out by party, for the subject's.
     """
     keys = list(keys)
     ps = F.col("party_short")
     per = (parties if parties is not None else contest_parties(enriched, keys)).select(
         *keys, "party_short", "alliance", F.col("entries").alias("_n")
     )
-    subject = per.where(ps == party).groupBy(*keys).agg(F.sum("_n").alias("_n_subject"))
+    own = by_party.select(*keys, "party_short", F.col("entries").alias("_n")) if by_party is not None else per
+    subject = own.where(ps == party).groupBy(*keys).agg(F.sum("_n").alias("_n_subject"))
     others = per.where((ps != party) & (ps != IND_SHORT)).join(
         finishers(margins, []), ["party_short"], "left_semi"
     )
@@ -122,9 +125,13 @@ def head_to_head(
 ) -> DataFrame:
     """Every contest where both parties stood: each one's best votes and best vote percent, and the winner.
 
-    The two parties' rows of ``contest_parties`` (written, or computed here
-    with the party filter pushed below the aggregate) are collapsed per
-    contest in one hash aggregate; contests lacking either party drop out.
+    Whether a party stood is a matter of the contest, by its key; the figures
+    are by key and name, so a contest whose entries spell its name in two
+    ways has a row for each, with nulls for a party that is not under it.
+    The two parties' rows of ``contest_parties`` (written, in either layout, or computed here
+    with the party filter pushed below the aggregate) are collapsed by
+    contest and name in one hash aggregate; the sums over a contest's names
+    are a window over these few rows (they lie together already).
     ``actual_winner`` comes from ``contest_winner_party`` (or a written
     ``contest_winners`` table of the same entries) by a left join on the
     contest key.  ``party1 == party2`` gives the contests where that party
@@ -133,6 +140,7 @@ def head_to_head(
     keys = list(keys)
     ps = F.col("party_short")
     is1, is2 = ps == party1, ps == party2
+    contest = Window.partitionBy(*keys)
     g = (
         (parties if parties is not None else contest_parties(enriched, keys))
         .where(ps.isin(party1, party2))
@@ -145,8 +153,13 @@ def head_to_head(
             F.max(F.when(is2, F.col("best_votes"))).alias("p2_votes"),
             F.max(F.when(is2, F.col("best_pct"))).alias("p2_pct"),
         )
+        .withColumns({"_n1": F.sum("_n1").over(contest), "_n2": F.sum("_n2").over(contest)})
         .where((F.col("_n1") > 0) & (F.col("_n2") > 0))
     )
+    no_key = F.lit(False)
+    for k in keys:
+        no_key = no_key | F.col(k).isNull()
+    g = g.where(~no_key)  # rows without a contest share none
     return (
         g.join(winners if winners is not None else contest_winner_party(enriched, keys), keys, "left")
         .select(*keys, "ac_name", "p1_votes", "p1_pct", "p2_votes", "p2_pct", "actual_winner")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from psephos.functions.columns import rank_window
-from psephos.schema import CONTEST_KEY
+from psephos.schema import CONTEST_KEY, RANKED_ENTRY_COLUMNS
 
 # Vote-percent bands of the profile (lower bound inclusive, upper exclusive).
 VOTE_BANDS = (
@@ -39,17 +39,17 @@ PROFILE_COLUMNS = (
 
 
 def contest_places(enriched: DataFrame, keys: Sequence[str] = CONTEST_KEY) -> DataFrame:
-    """Places 1-4 of every contest: (keys, sn, party_short, _place), in finish order.
+    """Places 1-4 of every contest: the entries' columns and _place, in finish order.
 
     A top-4 window; Spark keeps at most four rows per contest per task
     before the shuffle (WindowGroupLimit), so a huge contest stays cheap.
+    Written, it is what profiles and margins read: four rows a contest at most.
     """
     keys = list(keys)
     return (
-        enriched.select(*keys, "sn", "candidate", "total_votes", "party_short")
+        enriched.select(*keys, "ac_name", "sn", *RANKED_ENTRY_COLUMNS)
         .withColumn("_place", F.row_number().over(rank_window(keys)))
         .where(F.col("_place") <= TOP_PLACES)
-        .select(*keys, "sn", "party_short", "_place")
     )
 
 

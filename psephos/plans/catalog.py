@@ -47,10 +47,14 @@ from psephos.operators import (
 )
 from psephos.plans.adhoc import adhoc_query
 from psephos.plans.datasets import build_datasets
+from psephos.plans.service import Service
+from psephos.schema import ENTRY_SCHEMA, OTHER_ALLIANCE, TOTALS_SCHEMA
+from psephos.sources.files import party_map_from_rows, read_entries, read_totals
+from psephos.sources.fs import delete_on_exit
 from psephos.sources.store import register_views
 from psephos.session import app_id
-from psephos.sources.sinks import json_rows
-from psephos.sources.testview import VIEW_NOTA_PARTY, contest_tables, delete_on_exit, local_shared_dir, view_fingerprint
+from psephos.sources.sinks import answer_rows, json_rows, preview
+from psephos.sources.testview import VIEW_NOTA_PARTY, contest_tables, local_shared_dir, view_fingerprint
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,9 +108,17 @@ def _q(fn: Callable[[_View], DataFrame]) -> Query:
     return lambda spark, sf_dir: fn(_View(spark, str(sf_dir)))
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder of the shared one, deleted when the application ends."""
+    out = f"{local_shared_dir(spark).rstrip('/')}/psephos-scratch/{name}-{uuid.uuid4().hex[:8]}"
+    delete_on_exit(spark, out)
+    return out
+
+
 # Named datasets written once per (application, input fingerprint), as the
 # reference builds its tables once at start-up and serves its routes from them.
 _DATASETS: dict[tuple[str, str], dict[str, DataFrame]] = {}
+_SERVICES: dict[tuple[str, str], Service] = {}
 _DATASETS_LOCK = threading.Lock()
 
 
@@ -128,9 +140,16 @@ def served_datasets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
                 register=False,
                 write_base=False,
             )
+            _SERVICES[key] = Service(spark, out, _DATASETS[key])
     return _DATASETS[key]
 
 
+def service(spark: SparkSession, sf_dir: str) -> Service:
+    """The routes with kept results over the written datasets."""
+    served_datasets(spark, sf_dir)
+    return _SERVICES[(app_id(spark), view_fingerprint(spark, sf_dir))]
+
+
 def _route(fn: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
     q = lambda spark, sf_dir: fn(served_datasets(spark, str(sf_dir)))
     q.served = True  # reads the datasets written once per session
@@ -138,12 +157,15 @@ def _route(fn: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
 
 
 def _opponents(d: dict[str, DataFrame], party: str) -> DataFrame:
-    return opponents(d["candidates_enriched"], d["constituency_margins"], party, parties=d["contest_parties"])
+    return opponents(
+        d["candidates_enriched"], d["constituency_margins"], party,
+        parties=d["contest_parties"], by_party=d["contest_parties_by_party"],
+    )
 
 
 def _head_to_head(d: dict[str, DataFrame], p1: str, p2: str) -> DataFrame:
     return head_to_head(
-        d["candidates_enriched"], p1, p2, parties=d["contest_parties"], winners=d["contest_winners"]
+        d["candidates_enriched"], p1, p2, parties=d["contest_parties_by_party"], winners=d["contest_winners"]
     )
 
 
@@ -158,6 +180,11 @@ def _flag_winners(v: _View) -> DataFrame:
     return flag_winners(v.candidates.drop("is_winner"))
 
 
+def _served(query: Query) -> Query:
+    query.served = True
+    return query
+
+
 def is_served(query: Query) -> bool:
     """True for route queries, which read the datasets written once per session."""
     return getattr(query, "served", False) or query is _adhoc
@@ -195,8 +222,65 @@ def _json_round_trip(d: dict[str, DataFrame]) -> DataFrame:
 
 
 def _placed(d: dict[str, DataFrame]) -> DataFrame:
-    """Margins of a few contests: some parties finish first or second in none of them."""
-    return d["constituency_margins"].where((F.col("ac_no") % 100 == 1) & (F.col("state") == "F"))
+    """Margins of every contest among the entries outside the OTHER alliance: its parties never place."""
+    return contest_margins(d["candidates_enriched"].where(F.col("alliance") != OTHER_ALLIANCE), d["ac_totals"])
+
+
+def _two_spellings(v: _View) -> DataFrame:
+    """Head to head where every other entry has its contest's name in capitals."""
+    name = F.when(F.col("sn") % 2 == 1, F.upper("ac_name")).otherwise(F.col("ac_name"))
+    return head_to_head(v.enriched.withColumn("ac_name", name), "N3", "N8")
+
+
+def _csv_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _scratch(spark, "entries-csv")
+    _View(spark, str(sf_dir)).candidates.select(*ENTRY_SCHEMA.names).write.option("header", True).csv(out)
+    return read_entries(spark, out)
+
+
+def _csv_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _scratch(spark, "totals-csv")
+    _View(spark, str(sf_dir)).totals.select(*reversed(TOTALS_SCHEMA.names)).write.option("header", True).csv(out)
+    return read_totals(spark, out)
+
+
+def _inline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary enriched by a map given as rows in the program (the map has a row for each nation)."""
+    v = _View(spark, str(sf_dir))
+    return enrich_summary(v.summary, party_map_from_rows(spark, [tuple(r) for r in v.party_map.collect()]))
+
+
+def _widest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = served_datasets(spark, str(sf_dir))["constituency_margins"]
+    return m.select("state", "ac_no", "margin_votes").orderBy(F.col("margin_votes").desc(), "state", "ac_no")
+
+
+def _preview_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a preview of the margins, widest first, passes on, beside the number of all rows."""
+    df = _widest(spark, sf_dir)
+    total, passed, _ = preview(df, _scratch(spark, "preview"))
+    return spark.createDataFrame([(r,) for r in passed], "json string").select(F.from_json("json", df.schema).alias("r"), F.lit(total).alias("total")).select("r.*", "total")
+
+
+def _answer_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row kept beside an answer's sample, marked with whether the sample holds it."""
+    df = _widest(spark, sf_dir)
+    answer = answer_rows(df, _scratch(spark, "answer"))
+    sample = spark.createDataFrame([(answer.rows,)], "json string").select(F.explode(F.from_json("json", f"array<{df.schema.simpleString()}>")).alias("r"))
+    sample = sample.select("r.state", "r.ac_no", F.lit(True).alias("_in"))
+    every = answer.every.select(F.from_json("json", df.schema).alias("r")).select("r.*")
+    return every.join(F.broadcast(sample), ["state", "ac_no"], "left").select("state", "ac_no", "margin_votes", F.coalesce("_in", F.lit(False)).alias("in_sample"))
+
+
+def _opponents_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second call of a route, which reads what the first one kept."""
+    routes = service(spark, str(sf_dir))
+    routes.opponents("N3")
+    return routes.opponents("N3")
+
+
+def _search(d: dict[str, DataFrame], q: str) -> DataFrame:
+    return search_contests(d["contest_index"], q, grams=d["contest_grams"], counts=d["gram_counts"])
 
 
 def _sql_text_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,7 +316,9 @@ QUERIES: dict[str, Query] = {
     "overview_alliances_split": _route(lambda d: overview_alliances(d["alliance_summary_split"])),
     "relevant_parties_few": _route(lambda d: relevant_parties(_placed(d), d["party_summary_enriched"])),
     "opponents_N3_few": _route(
-        lambda d: opponents(d["candidates_enriched"], _placed(d), "N3", parties=d["contest_parties"])
+        lambda d: opponents(
+            d["candidates_enriched"], _placed(d), "N3", parties=d["contest_parties"], by_party=d["contest_parties_by_party"]
+        )
     ),
     "opponents_N3_from_entries": _q(lambda v: opponents(v.enriched, v.margins, "N3")),
     "head_to_head_N3_N8_from_entries": _q(lambda v: head_to_head(v.enriched, "N3", "N8")),
@@ -261,11 +347,20 @@ QUERIES: dict[str, Query] = {
         lambda d: party_profile(d["candidates_enriched"], "NO_SUCH_PARTY", places=d["contest_places"], parties=d["contest_parties"])
     ),
     "party_profiles": _route(lambda d: party_profiles(d["candidates_enriched"], places=d["contest_places"], parties=d["contest_parties"])),
-    "contest_search_text": _route(lambda d: search_contests(d["contest_index"], "er#0000001")),
-    "contest_search_number": _route(lambda d: search_contests(d["contest_index"], "12")),
-    "contest_search_wildcard": _route(lambda d: search_contests(d["contest_index"], " customer#00000_12' ")),
+    "contest_search_text": _route(lambda d: _search(d, "er#0000001")),
+    "contest_search_number": _route(lambda d: _search(d, "12")),
+    "contest_search_wildcard": _route(lambda d: _search(d, " customer#00000_12' ")),
     "contest_detail": _route(lambda d: contest_detail(d["candidates_enriched"], 1)),
     "adhoc_select": _adhoc,
+    "head_to_head_two_spellings": _q(_two_spellings),
+    "margins_from_places": _route(lambda d: contest_margins(d["candidates_enriched"], d["ac_totals"], places=d["contest_places"])),
+    "contest_search_every": _route(lambda d: search_contests(d["contest_index"], "R#0", limit=None, grams=d["contest_grams"], counts=d["gram_counts"])),
+    "csv_entries_round_trip": _csv_entries,
+    "csv_totals_round_trip": _csv_totals,
+    "inline_rows": _inline_rows,
+    "preview_margins": _served(_preview_margins),
+    "answer_margins": _served(_answer_margins),
+    "opponents_N3_kept": _served(_opponents_kept),
     "sql_text_check": _sql_text_check,
     "strip_fences": _strip_fences,
 }

@@ -6,7 +6,8 @@
 
 Without ``--party-map`` the reference's map is used.  Routes print every row
 (JSON, one per line, streamed a partition at a time); ``--show N`` prints N and
-fails, naming the total, if there are more; ``--out`` writes the whole result
+fails, naming the total, if there are more; the dashboard's five routes keep their results beside
+``--tables``, until a newer build; ``--out`` writes the whole result
 as JSON text files from the executors instead of through the driver.
 """
 
@@ -32,6 +33,7 @@ from psephos.operators import (
 )
 from psephos.plans.adhoc import adhoc_query
 from psephos.plans.datasets import build_datasets, load_datasets
+from psephos.plans.service import Service
 from psephos.session import build_session
 from psephos.sources import default_party_map, json_rows, read_entries, read_party_map, read_totals
 
@@ -39,10 +41,11 @@ from psephos.sources import default_party_map, json_rows, read_entries, read_par
 ROUTES = {
     "relevant-parties": lambda d, a: relevant_parties(d["constituency_margins"], d["party_summary_enriched"]),
     "opponents": lambda d, a: opponents(
-        d["candidates_enriched"], d["constituency_margins"], a.party, parties=d["contest_parties"]
+        d["candidates_enriched"], d["constituency_margins"], a.party,
+        parties=d["contest_parties"], by_party=d["contest_parties_by_party"],
     ),
     "head-to-head": lambda d, a: head_to_head(
-        d["candidates_enriched"], a.party1, a.party2, parties=d["contest_parties"], winners=d["contest_winners"]
+        d["candidates_enriched"], a.party1, a.party2, parties=d["contest_parties_by_party"], winners=d["contest_winners"]
     ),
     "overview-parties": lambda d, a: overview_parties(d["party_summary_enriched"]),
     "overview-alliances": lambda d, a: overview_alliances(
@@ -59,10 +62,19 @@ ROUTES = {
     "nota": lambda d, a: d["nota_summary"],
     "nail-biters": lambda d, a: close_contests(d["constituency_margins"], 2.0, a.limit),
     "party-analytics": lambda d, a: party_profile(d["candidates_enriched"], a.party_short, places=d["contest_places"], parties=d["contest_parties"]),
-    "search": lambda d, a: search_contests(d["contest_index"], a.q, a.limit),
+    "search": lambda d, a: search_contests(d["contest_index"], a.q, a.limit, grams=d["contest_grams"], counts=d["gram_counts"]),
     "detail": lambda d, a: contest_detail(d["candidates_enriched"], a.ac_no, a.state),
 }
 
+# Routes whose results are kept beside the written tables, by version and parameters.
+KEPT_ROUTES = {
+    "relevant-parties": lambda s, a: s.relevant_parties(),
+    "opponents": lambda s, a: s.opponents(a.party),
+    "head-to-head": lambda s, a: s.head_to_head(a.party1, a.party2),
+    "overview-parties": lambda s, a: s.overview_parties(),
+    "overview-alliances": lambda s, a: s.overview_alliances(a.split_alliances),
+}
+
 # Parameters without which a route has nothing to answer.
 REQUIRED = {
     "opponents": ("party",),
@@ -148,7 +160,10 @@ def main(argv: list[str] | None = None) -> None:
         build_datasets(read_entries(spark, a.entries), read_totals(spark, a.totals), pm, out_dir=a.out, register=False)
         print(json.dumps({"tables": a.out}))
     elif a.cmd == "route":
-        _emit(ROUTES[a.name](_datasets(spark, a), a), a)
+        if a.tables and a.name in KEPT_ROUTES:
+            _emit(KEPT_ROUTES[a.name](Service(spark, a.tables), a), a)
+        else:
+            _emit(ROUTES[a.name](_datasets(spark, a), a), a)
     else:
         _datasets(spark, a)
         _emit(adhoc_query(spark, a.statement), a)

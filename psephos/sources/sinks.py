@@ -2,15 +2,16 @@
 
 Rows leave as JSON text built on the executors (``to_json``), so a large
 result is written as files (``json_rows(df).write.text(path)``) and never
-pulled through the driver.  Only the bounded helpers (``preview``,
-``answer_rows``) bring rows back, and they cap how many.
+pulled through the driver.  The bounded helpers (``preview``,
+``answer_rows``) write the whole result in one run, which counts it, and bring
+back only the first of its rows.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,29 +34,50 @@ def json_rows(df: DataFrame, column: str = "json") -> DataFrame:
     return df.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias(column))
 
 
-def preview(df: DataFrame, threshold: int = PREVIEW_THRESHOLD, sample: int = PREVIEW_SAMPLE) -> tuple[int, list[str]]:
-    """(row count, JSON rows to pass on): all rows if at most ``threshold``, else the first ``sample``.
+@dataclass(frozen=True)
+class StoredRows:
+    """A result written whole as JSON rows, with the number of its rows."""
+
+    rows: DataFrame  # one column ``json``, in the result's order
+    total: int
+
+    def first(self, n: int) -> list[str]:
+        """The first ``n`` rows (a bounded read of what was written; the query does not run again)."""
+        return [r[0] for r in self.rows.limit(n).collect()]
+
+
+def store_rows(df: DataFrame, path: str) -> StoredRows:
+    """Write every row of ``df`` as JSON under ``path`` in one run, which counts them on the way."""
+    counted = Observation()
+    placed = json_rows(df).select(F.monotonically_increasing_id().alias("place"), "json")
+    placed.observe(counted, F.count(F.lit(1)).alias("total")).write.mode("overwrite").parquet(path)
+    rows = df.sparkSession.read.schema("place bigint, json string").parquet(path).orderBy("place").select("json")
+    return StoredRows(rows, counted.get["total"])
+
+
+def preview(
+    df: DataFrame, path: str, threshold: int = PREVIEW_THRESHOLD, sample: int = PREVIEW_SAMPLE
+) -> tuple[int, list[str], DataFrame]:
+    """(row count, JSON rows to pass on, all rows): passed on are all rows if at most ``threshold``, else the first ``sample``.
 
-    At most ``threshold`` rows reach the driver.
+    The query runs once, into ``path``; at most ``threshold`` rows reach the driver.
     """
-    rows = [r[0] for r in json_rows(df).limit(threshold + 1).collect()]
-    if len(rows) <= threshold:  # the usual case: one run
-        return len(rows), rows
-    return df.count(), rows[:sample]
+    stored = store_rows(df, path)
+    return stored.total, stored.first(stored.total if stored.total <= threshold else sample), stored.rows
 
 
 @dataclass(frozen=True)
 class Answer:
-    """Rows passed on to the answer text: their JSON array, the number of all rows, and a note if some are left out."""
+    """Rows passed on to the answer text: their JSON array, the number of all rows, a note if some are left out, and all rows."""
 
     rows: str
     total: int
     note: str | None
+    every: DataFrame
 
 
-def answer_rows(df: DataFrame, max_rows: int = ANSWER_MAX_ROWS) -> Answer:
-    """At most ``max_rows`` rows as JSON, with the total and a note that says what is missing."""
-    rows = [r[0] for r in json_rows(df).limit(max_rows + 1).collect()]
-    total = len(rows) if len(rows) <= max_rows else df.count()
-    note = f"first {max_rows} of {total} rows" if total > max_rows else None
-    return Answer("[" + ",".join(rows[:max_rows]) + "]", total, note)
+def answer_rows(df: DataFrame, path: str, max_rows: int = ANSWER_MAX_ROWS) -> Answer:
+    """At most ``max_rows`` rows as JSON, with the total and a note that says what is missing; the query runs once, into ``path``."""
+    stored = store_rows(df, path)
+    note = f"first {max_rows} of {stored.total} rows" if stored.total > max_rows else None
+    return Answer("[" + ",".join(stored.first(max_rows)) + "]", stored.total, note, stored.rows)

@@ -34,6 +34,7 @@ from psephos.operators.grouped import attach_group_aggregates
 from psephos.operators.winners import winner_flag
 from psephos.schema import CONTEST_KEY
 from psephos.session import app_id, shared_dir
+from psephos.sources import fs
 from psephos.sources.store import materialize
 
 # Fixed value of the mapping: the raw party name (a nation name) that plays
@@ -174,12 +175,6 @@ def local_shared_dir(spark: SparkSession) -> str:
         return shared_dir(spark, _LOCAL_FALLBACK[app])
 
 
-def delete_on_exit(spark: SparkSession, path: str) -> None:
-    """Delete a written folder when the application's file system closes."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-
-
 def contest_tables(spark: SparkSession, sf_dir: str) -> ContestTables:
     """Candidates, contest totals and party map, built once per session and written to the shared folder.
 
@@ -200,14 +195,12 @@ def _build(spark: SparkSession, sf_dir: str, fingerprint: str) -> ContestTables:
     root = local_shared_dir(spark)
     base = f"{root.rstrip('/')}/psephos-contest-view/{fingerprint}-{uuid.uuid4().hex[:8]}"
     keys = list(CONTEST_KEY)
-    delete_on_exit(spark, base)
+    fs.delete_on_exit(spark, base)
     entries = materialize(view_entries(spark, sf_dir), f"{base}/entries")
     t = _derive(spark, sf_dir, entries)
     with ThreadPoolExecutor(max_workers=2) as pool:  # two independent writes, as concurrent jobs
         cand = pool.submit(materialize, t.candidates, f"{base}/candidates", None, ["ac_no", "state"], ["ac_no", "state", "sn"])
         tot = pool.submit(materialize, t.totals, f"{base}/ac_totals", None, keys)
         built = ContestTables(candidates=cand.result(), totals=tot.result(), party_map=t.party_map)
-    # Nothing reads the entries any more; the rest lasts as long as the application.
-    used = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/entries")
-    used.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(used, True)
+    fs.delete(spark, f"{base}/entries")  # nothing reads the entries any more; the rest lasts as long as the application
     return built

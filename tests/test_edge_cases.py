@@ -276,15 +276,33 @@ def test_json_nulls(spark):
     assert rows == [{"s": "x", "d": 1.5}, {"s": None, "d": None}, {"s": "y", "d": None}]
 
 
-def test_preview_rule(spark):
+def test_preview_rule(spark, tmp_out):
     small = spark.range(25).withColumnRenamed("id", "n")
-    n, rows = preview(small)
-    assert n == 25 and len(rows) == 25
+    n, rows, every = preview(small, f"{tmp_out}/a")
+    assert n == 25 and len(rows) == every.count() == 25
     big = spark.range(26).withColumnRenamed("id", "n")
-    n, rows = preview(big.orderBy("n"))
-    assert n == 26 and len(rows) == 5
-    answer = answer_rows(spark.range(500).orderBy("id"))
-    assert len(json.loads(answer.rows)) == 120 and answer.total == 500
+    n, rows, every = preview(big.orderBy(F.col("n").desc()), f"{tmp_out}/b")
+    assert n == 26 and [json.loads(r)["n"] for r in rows] == [25, 24, 23, 22, 21]
+    assert [json.loads(r["json"])["n"] for r in every.collect()] == list(range(25, -1, -1))
+    answer = answer_rows(spark.range(500).orderBy("id"), f"{tmp_out}/c")
+    assert [r["id"] for r in json.loads(answer.rows)] == list(range(120)) and answer.total == 500
+    assert [json.loads(r["json"])["id"] for r in answer.every.collect()] == list(range(500))
+
+
+def test_preview_runs_the_query_once(spark, tmp_out):
+    runs = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def seen(n):
+        runs.add(1)
+        return n
+
+    n, rows, every = preview(spark.range(300).select(seen("id").alias("n")), f"{tmp_out}/a")
+    assert (n, len(rows), every.count()) == (300, 5, 300) and runs.value == 300
+    answer = answer_rows(spark.range(300).select(seen("id").alias("n")), f"{tmp_out}/b")
+    assert answer.total == answer.every.count() == 300 and runs.value == 600
+    n, rows, _ = preview(spark.range(0), f"{tmp_out}/c")
+    assert (n, rows) == (0, [])
 
 
 def test_head_to_head_same_party(spark):

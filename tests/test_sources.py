@@ -58,8 +58,9 @@ def test_build_datasets_materialised(spark, tmp_out):
     out = os.path.join(tmp_out, "tables")
     ds = build_datasets(entries, totals, pm, out_dir=out)
     assert set(ds) == set(DATASET_NAMES)
+    (version,) = os.listdir(os.path.join(out, "versions"))
     for name in ("candidates", "ac_totals", "party_map", "party_summary", "alliance_summary", "party_performance", "constituency_margins"):
-        assert os.path.isdir(os.path.join(out, name)), name
+        assert os.path.isdir(os.path.join(out, "versions", version, name)), name
     # tie in contest 2: two winners flagged, one winner in the margins (lower serial)
     assert ds["candidates"].where("is_winner").count() == 4
     m = {r["ac_no"]: r for r in as_dicts(ds["constituency_margins"])}
@@ -127,16 +128,16 @@ def test_csv_columns_go_by_name(spark, tmp_out):
         read_totals(spark, write(tmp_out, "g.csv", wrong)).collect()
 
 
-def test_answer_rows_says_what_is_left_out(spark):
+def test_answer_rows_says_what_is_left_out(spark, tmp_out):
     from psephos.sources import answer_rows, preview
 
-    some = answer_rows(spark.range(130))
+    some = answer_rows(spark.range(130), f"{tmp_out}/a")
     assert some.total == 130 and some.note == "first 120 of 130 rows" and some.rows.count("{") == 120
-    few = answer_rows(spark.range(120))
+    few = answer_rows(spark.range(120), f"{tmp_out}/b")
     assert few.total == 120 and few.note is None
-    n, rows = preview(spark.range(26))
+    n, rows, _ = preview(spark.range(26), f"{tmp_out}/c")
     assert n == 26 and len(rows) == 5
-    n, rows = preview(spark.range(25))
+    n, rows, _ = preview(spark.range(25), f"{tmp_out}/d")
     assert n == 25 and len(rows) == 25
 
 
