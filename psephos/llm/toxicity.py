@@ -7,14 +7,23 @@ text that no example holds count in its length.  With a number, vectors hold
 only that many terms, those that the log-likelihood ratio ties to the label,
 and only texts with such terms are examples: a lexicon, not the whole texts.
 
-The vectors form an inverted index whose postings are grouped in blocks of 64
-examples, alike in frequent terms and length, each with the greatest weight of
-every term in it.  For a text, a bound on the cosine of every block follows
-from these; blocks are evaluated from the highest bound down, in rounds, until
-the bound is under the k-th best cosine, so the k nearest are exact (equal
-cosines: the smaller id).  Their votes, weighted by cosine and shrunk to the
-sample's rate, are mapped to probabilities by an isotonic fit on leave-one-out
-votes.
+The examples lie in blocks of 64, alike in frequent terms and length.  Their
+vectors form an inverted index: postings by term for most terms, and for the
+``DENSE`` terms found in most examples, whose postings would fill every block, a
+matrix, with the greatest weight of every such term in each block.  A batch of
+texts first adds up the postings of its rarer terms, exactly, for all examples.
+A bound on the cosine of every block follows from the block's best sum and the
+greatest weights of the dense terms; blocks are opened (their rows of the matrix multiplied):
+a text's highest bound first, whose k-th best cosine is a floor, then those that the floor of some text
+of the batch leaves; the others stay closed.
+What comes near the k-th best is computed again in double precision, so the k
+nearest are exact (equal cosines: the smaller id).  Their votes, weighted by
+cosine and shrunk to the sample's rate, are mapped to probabilities by an
+isotonic fit on leave-one-out votes.
+
+The sample has at most ``max_labelled`` rows, and with them at most
+``MAX_CHARACTERS`` characters, so the index is bounded in bytes; what is sent to a
+worker is the terms as 64-bit hashes and the examples' weights.
 
 Null and empty texts, and texts without any of the terms, get the rate of
 label 1 among the sampled texts without such terms, and no evidence.
@@ -38,7 +47,9 @@ from psephos.llm.common import labelled_sample, ship, written
 
 TERM = re.compile(r"[^\W\d_]+")
 #: Labelled rows that are learnt from, and terms that are kept, at most.
-MAX_LABELLED, MAX_TERMS = 20_000, 1_024
+MAX_LABELLED, MAX_TERMS = 10_000, 1_024
+#: Characters of the sampled texts, at most (rows are taken in the order of the sample until then).
+MAX_CHARACTERS = 100_000_000
 #: Least texts with a term, and least log-likelihood ratio (chance of one in 100,000).
 LEAST_TEXTS, LEAST_RATIO = 5, 19.5
 #: Least share of label 1 among the texts with a term.
@@ -46,12 +57,16 @@ LEAST_SHARE = 0.5
 #: Examples whose leave-one-out votes are fitted, at most (evenly spaced).
 MAX_CALIBRATION = 2_000
 NEIGHBOURS, BLOCK, SHRINK = 16, 64, 1.0
-#: Blocks of the first round, and how many times more each further round has.
-FIRST_BLOCKS, MORE_BLOCKS = 4, 8
+#: Terms whose postings are a matrix; texts that are looked up together.
+DENSE, TOGETHER = 512, 128
+#: More than single precision can be off by.
+EPS = 1e-5
 #: Examples are put in blocks by groups, found from their most frequent terms in a few passes.
 GROUPS, FREQUENT_TERMS, PASSES = 16, 512, 3
 #: Answers kept in a worker before they are dropped.
 CACHE = 4_000
+#: Words a worker remembers the numbers of.
+KNOWN = 200_000
 
 
 def terms(text: str | None) -> list[str]:
@@ -95,11 +110,19 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def hashes(words) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
 @dataclass
 class Index:
     """Examples (in the order of their ids) by term; see the module's text."""
 
-    vocabulary: dict[str, int]
+    vocabulary: list[str] | None  # the terms' words, where they are known
+    hashed: np.ndarray  # hashes of the terms, ascending
+    numbers: np.ndarray  # and the terms' numbers
     idf: np.ndarray
     labels: np.ndarray
     ids: np.ndarray
@@ -107,14 +130,16 @@ class Index:
     rate: float  # and among the examples
     unseen: float = 0.0  # idf of a term without examples; 0: such terms do not count
     examples: np.ndarray | None = None  # example number by place
-    entries: np.ndarray | None = None  # by term: its first entry; an entry is a term in a block
-    blocks: np.ndarray | None = None  # by entry: the block
-    tops: np.ndarray | None = None  # by entry: the greatest weight
-    firsts: np.ndarray | None = None  # by entry: its first posting
-    places: np.ndarray | None = None  # by posting: the example's place
-    weights: np.ndarray | None = None  # by posting
+    starts: np.ndarray | None = None  # by place: its first entry
+    cols: np.ndarray | None = None  # by entry: the term, ascending within a place
+    weights: np.ndarray | None = None  # by entry
     knots: tuple[np.ndarray, np.ndarray] | None = None
     cache: dict = field(default_factory=dict)
+    known: dict = field(default_factory=dict)
+    ready: dict = field(default_factory=dict)  # what a worker derives
+
+    def __getstate__(self):
+        return {**self.__dict__, "cache": {}, "known": {}, "ready": {}}
 
     def vector(self, counts: dict[int, int], rest: float = 0.0) -> tuple[list[int], np.ndarray]:
         """Terms, ascending, and weights (1 + log of the count, by idf) of unit length with ``rest``, a sum of squares."""
@@ -122,19 +147,42 @@ class Index:
         w = (1 + np.log([counts[t] for t in found])) * self.idf[found]
         return found, w / np.sqrt(w @ w + rest)
 
+    def numbered(self, words: list[str]) -> np.ndarray:
+        """The terms' numbers, -1 for words that no example holds; the first ``KNOWN`` words met are remembered."""
+        known = self.known
+        out = [known.get(w) for w in words]
+        new = [i for i, t in enumerate(out) if t is None]
+        if new:
+            h = hashes([words[i] for i in new])
+            at = np.minimum(np.searchsorted(self.hashed, h), max(len(self.hashed) - 1, 0))
+            found = np.where(self.hashed[at] == h, self.numbers[at], -1).tolist() if len(self.hashed) else [-1] * len(new)
+            for i, t in zip(new, found):
+                out[i] = t
+                if len(known) < KNOWN:
+                    known[words[i]] = t
+        return np.array(out, np.int64)
+
     def counts(self, text: str | None) -> tuple[dict[int, int], float]:
         """Counts of the terms, and the sum of squared weights of those without examples."""
-        known, counts, rest = self.vocabulary, {}, 0.0
-        for w, n in Counter(terms(text)).items():
-            t = known.get(w)
-            if t is not None:
-                counts[t] = n
-            elif self.unseen:
-                rest += ((1 + math.log(n)) * self.unseen) ** 2
-        return counts, rest
+        t, n, rest = self._counts(text)
+        return dict(zip(t.tolist(), n.tolist())), rest
+
+    def _counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray, float]:
+        found = Counter(terms(text))
+        t, n = self.numbered(list(found)), np.fromiter(found.values(), np.int64, len(found))
+        known = t >= 0
+        return t[known], n[known], float((((1 + np.log(n[~known])) * self.unseen) ** 2).sum())
+
+    def query(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+        """Terms and weights of unit length of a text; None without any term."""
+        t, n, rest = self._counts(text)
+        if not len(t):
+            return None
+        w = (1 + np.log(n)) * self.idf[t]
+        return t, w / np.sqrt(w @ w + rest)
 
     def build(self, rows: np.ndarray, cols: np.ndarray, counts: np.ndarray) -> None:
-        """Postings of the terms ``cols`` of the examples ``rows``, ascending."""
+        """Weights of the terms ``cols`` of the examples ``rows``, ascending, put in the places' order."""
         n, size = len(self.labels), len(self.idf)
         w = (1 + np.log(counts)) * self.idf[cols]
         w /= np.sqrt(np.bincount(rows, weights=w * w, minlength=n))[rows]
@@ -142,50 +190,97 @@ class Index:
         place = np.empty(n, np.int32)
         place[self.examples] = np.arange(n, dtype=np.int32)
         at = place[rows]
-        order = np.lexsort((at, cols))
-        self.places, self.weights, by = at[order], w[order], cols[order]
-        del at, w, order  # the driver holds one copy of the postings
-        block = self.places // BLOCK
-        fresh = np.ones(len(by), bool)
-        fresh[1:] = (by[1:] != by[:-1]) | (block[1:] != block[:-1])
-        firsts = np.flatnonzero(fresh)
-        self.blocks = block[firsts]
-        self.tops = np.maximum.reduceat(self.weights, firsts) if len(firsts) else np.zeros(0)
-        self.entries = np.searchsorted(by[firsts], np.arange(size + 1)).astype(np.int32)
-        self.firsts = np.append(firsts, len(by)).astype(np.int32 if len(by) < 1 << 31 else np.int64)
+        order = np.lexsort((cols, at))
+        self.cols, self.weights = cols[order].astype(np.int32), w[order]
+        self.starts = np.append(0, np.cumsum(np.bincount(at, minlength=n))).astype(np.int64)
+
+    def prepared(self) -> dict:
+        """Matrix and greatest weights of the dense terms, and the others' postings."""
+        if not self.ready:
+            n, size = len(self.labels), len(self.idf)
+            blocks = -(-n // BLOCK)
+            held = np.bincount(self.cols, minlength=size)
+            dense = np.argsort(-held, kind="stable")[:DENSE]
+            column = np.full(size, -1, np.int32)
+            column[dense] = np.arange(len(dense), dtype=np.int32)
+            place = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.starts))
+            of = column[self.cols]
+            matrix = np.zeros((blocks * BLOCK, len(dense)), np.float32)
+            matrix[place[of >= 0], of[of >= 0]] = self.weights[of >= 0]
+            rare = np.flatnonzero(of < 0)
+            rare = rare[np.argsort(self.cols[rare], kind="stable")]
+            firsts = np.append(0, np.cumsum(np.bincount(self.cols[rare], minlength=size)))
+            self.ready = {
+                "column": column,
+                "matrix": matrix,
+                "tops": matrix.reshape(blocks, BLOCK, -1).max(axis=1) if n else matrix,
+                "places": place[rare],
+                "weights": self.weights[rare].astype(np.float32),
+                "firsts": firsts,
+                "query": np.zeros(size),
+                "place_of": np.argsort(self.examples),
+            }
+        return self.ready
 
     def nearest(self, counts: dict[int, int], k: int = NEIGHBOURS, leave: int = -1, rest: float = 0.0) -> list[tuple[float, int]]:
         """The k nearest examples with a cosine over 0: (cosine, example number), best first."""
-        found, q = self.vector(counts, rest)
-        t = np.array(found)
-        sizes = self.entries[t + 1] - self.entries[t]
-        entry = ranges(self.entries[t], sizes)
-        weight, block = np.repeat(q, sizes), self.blocks[entry]
-        bound = np.bincount(block, weights=weight * self.tops[entry], minlength=-(-len(self.labels) // BLOCK))
-        order = np.argsort(-bound, kind="stable")
-        cosines, numbers = np.zeros(0), np.zeros(0, np.int64)  # the best so far
-        done, take = 0, FIRST_BLOCKS
-        while done < len(order):
-            full = len(cosines) == k
-            chosen = order[done : done + take]
-            chosen = chosen[(bound[chosen] > 0) & (bound[chosen] + 1e-12 >= (cosines[-1] if full else 0))]
-            if not len(chosen):
-                break
-            in_round = np.zeros(len(bound), bool)
-            in_round[chosen] = True
-            use = in_round[block]
-            e = entry[use]
-            n = self.firsts[e + 1] - self.firsts[e]
-            posting = ranges(self.firsts[e], n)
-            cos = np.bincount(self.places[posting], weights=np.repeat(weight[use], n) * self.weights[posting], minlength=len(self.labels))
-            hit = np.flatnonzero(cos > (cosines[-1] - 1e-9 if full else 0))
-            number = self.examples[hit]
-            hit, number = hit[number != leave], number[number != leave]
-            cosines, numbers = np.append(cosines, np.round(cos[hit], 12)), np.append(numbers, number)
-            best = np.lexsort((numbers, -cosines))[:k]
-            cosines, numbers = cosines[best], numbers[best]
-            done, take = done + take, take * MORE_BLOCKS
-        return [(float(c), int(e)) for c, e in zip(cosines, numbers)]
+        return self.nearest_many([self.vector(counts, rest)], k, [leave])[0]
+
+    def nearest_many(self, queries: list[tuple[list[int], np.ndarray]], k: int = NEIGHBOURS, leave: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """The same for many vectors; ``leave``: an example (or -1) that each of them leaves out."""
+        out = []
+        for at in range(0, len(queries), TOGETHER):
+            out += self._nearest_group(queries[at : at + TOGETHER], k, leave[at : at + TOGETHER] if leave else None)
+        return out
+
+    def _nearest_group(self, queries, k: int, leave) -> list[list[tuple[float, int]]]:
+        if not len(self.labels):
+            return [[] for _ in queries]
+        r = self.prepared()
+        matrix, tops, firsts, column = r["matrix"], r["tops"], r["firsts"], r["column"]
+        m, n, blocks = len(queries), len(matrix), len(tops)
+        x, sums = np.zeros((m, matrix.shape[1]), np.float32), np.empty((m, n), np.float32)
+        for j, (t, q) in enumerate(queries):
+            t = np.array(t, np.int64)
+            c = column[t]
+            x[j, c[c >= 0]] = q[c >= 0]
+            sizes = firsts[t + 1] - firsts[t]  # 0 for dense terms
+            p = ranges(firsts[t], sizes)
+            sums[j] = np.bincount(r["places"][p], weights=np.repeat(q, sizes) * r["weights"][p], minlength=n)
+        bound = sums.reshape(m, blocks, BLOCK).max(axis=2) + x @ tops.T
+        left = np.full(m, -1) if leave is None else np.array([r["place_of"][e] if e >= 0 else -1 for e in leave])
+        # First every text's best block: the k-th best there is a floor for the k-th best of all.
+        best, floor = bound.argmax(axis=1), np.zeros(m, np.float32)
+        for b in np.unique(best):
+            some, at = np.flatnonzero(best == b), slice(b * BLOCK, (b + 1) * BLOCK)
+            first = sums[some, at] + x[some] @ matrix[at].T
+            own = np.flatnonzero((left[some] >= at.start) & (left[some] < at.stop))
+            first[own, left[some][own] - b * BLOCK] = -1
+            floor[some] = np.partition(first, -k, axis=1)[:, -k] if BLOCK >= k else 0
+        # Then the blocks that some text's bound leaves, together.
+        floor = np.maximum(floor, 0)
+        opened = np.flatnonzero((bound + EPS >= floor[:, None]).any(axis=0))
+        rows = (opened[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        cosines = sums[:, rows] + x @ matrix[rows].T if len(opened) < blocks else sums + x @ matrix.T
+        own = np.flatnonzero(left >= 0)
+        at = np.searchsorted(rows, left[own])
+        there = (at < len(rows)) & (rows[np.minimum(at, len(rows) - 1)] == left[own])
+        cosines[own[there], at[there]] = -1
+        cosines[:, rows >= len(self.labels)] = -1
+        floor = np.maximum(floor, np.partition(cosines, -k, axis=1)[:, -k] if cosines.shape[1] >= k else 0) - EPS
+        found = []
+        for j, (t, q) in enumerate(queries):
+            place = rows[np.flatnonzero(cosines[j] >= floor[j])]
+            r["query"][t] = q
+            sizes = self.starts[place + 1] - self.starts[place]
+            entry = ranges(self.starts[place], sizes)
+            by = np.repeat(np.arange(len(place)), sizes)
+            exact = np.round(np.bincount(by, weights=r["query"][self.cols[entry]] * self.weights[entry], minlength=len(place)), 12)
+            r["query"][t] = 0
+            number = self.examples[place]
+            best = np.lexsort((number, -exact))[:k]
+            found.append([(float(exact[b]), int(number[b])) for b in best if exact[b] > 0])
+        return found
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         cos = np.array([c for c, _ in near])
@@ -194,17 +289,27 @@ class Index:
 
     def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
         """Probability of label 1, and the nearest examples (cosine, id)."""
-        key = hashlib.blake2b((text or "").encode(), digest_size=16).digest()
-        hit = self.cache.get(key)
-        if hit is None:
-            counts, rest = self.counts(text)
-            if not counts:
-                return self.base, []
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            near = self.nearest(counts, rest=rest)
-            hit = self.cache[key] = float(np.interp(self.vote(near), *self.knots)), [(c, int(self.ids[e])) for c, e in near]
-        return hit
+        return self.scores([text])[0]
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[float, int]]]]:
+        """The same for many texts; equal ones are looked up once."""
+        keys = [hashlib.blake2b((t or "").encode(), digest_size=16).digest() for t in texts]
+        if len(self.cache) >= CACHE:
+            self.cache.clear()
+        got, missing = {}, []
+        for key, text in zip(keys, texts):
+            if key in got:
+                continue
+            got[key] = self.cache.get(key)
+            if got[key] is None:
+                query = self.query(text)
+                if query is None:
+                    got[key] = self.base, []
+                else:
+                    missing.append((key, query))
+        for (key, _), near in zip(missing, self.nearest_many([q for _, q in missing])):
+            got[key] = self.cache[key] = float(np.interp(self.vote(near), *self.knots)), [(c, int(self.ids[e])) for c, e in near]
+        return [got[key] for key in keys]
 
 
 def arrange(rows: np.ndarray, cols: np.ndarray, weights: np.ndarray, n: int, size: int) -> np.ndarray:
@@ -234,18 +339,24 @@ def make_index(ids, texts_counts, labels, vocabulary: list[str], texts_with: lis
     return index_of(ids, rows, cols, counts, labels, vocabulary, texts_with, sampled, base)
 
 
-def index_of(ids, rows: np.ndarray, cols: np.ndarray, counts: np.ndarray, labels, vocabulary: list[str], texts_with, sampled: int, base: float, whole: bool = False) -> Index:
-    """The same from the examples' terms as flat arrays, by example; ``whole``: terms outside the vocabulary count in the length."""
+def index_of(ids, rows: np.ndarray, cols: np.ndarray, counts: np.ndarray, labels, vocabulary, texts_with, sampled: int, base: float, whole: bool = False) -> Index:
+    """The same from the examples' terms as flat arrays, by example; the vocabulary is words, or their hashes;
+    ``whole``: terms outside the vocabulary count in the length."""
     idf = np.log((1 + sampled) / (1 + np.array(texts_with, float))) + 1
     y = np.array(labels, float)
-    out = Index({t: i for i, t in enumerate(vocabulary)}, idf, y, np.array(ids, np.int64), base, float(y.mean()) if len(y) else base)
+    words = None if isinstance(vocabulary, np.ndarray) else list(vocabulary)
+    h = vocabulary if words is None else hashes(words)
+    order = np.argsort(h, kind="stable")
+    out = Index(words, h[order], order.astype(np.int32), idf, y, np.array(ids, np.int64), base, float(y.mean()) if len(y) else base)
     out.unseen = math.log(1 + sampled) + 1 if whole else 0.0
     out.build(rows, cols, counts)
     if len(y):
         some = range(0, len(y), -(-len(y) // MAX_CALIBRATION))
         edges = np.searchsorted(rows, np.arange(len(y) + 1))
         of = lambda e: dict(zip(cols[edges[e] : edges[e + 1]].tolist(), counts[edges[e] : edges[e + 1]].tolist()))
-        out.knots = isotonic(np.array([out.vote(out.nearest(of(e), leave=e)) for e in some]), y[some])
+        near = out.nearest_many([out.vector(of(e)) for e in some], leave=list(some))
+        out.knots = isotonic(np.array([out.vote(x) for x in near]), y[some])
+        out.ready = {}
     else:
         out.knots = np.array([0.0, 1.0]), np.array([base, base])
     return out
@@ -254,21 +365,19 @@ def index_of(ids, rows: np.ndarray, cols: np.ndarray, counts: np.ndarray, labels
 def fit_whole(sample: DataFrame) -> Index:
     """An index of all rows of ``sample`` (id, y, text) over all their terms."""
 
-    @F.arrow_udf("struct<terms:array<string>,counts:array<int>>")
+    @F.arrow_udf("struct<terms:array<bigint>,counts:array<int>>")
     def counted(texts: pa.Array) -> pa.Array:
         found = [Counter(terms(t.as_py())) for t in texts]
-        kinds = [pa.list_(pa.string()), pa.list_(pa.int32())]
-        return pa.StructArray.from_arrays([pa.array([list(c) for c in found], kinds[0]), pa.array([list(c.values()) for c in found], kinds[1])], ["terms", "counts"])
+        kinds = [pa.list_(pa.int64()), pa.list_(pa.int32())]
+        hashed = [hashes(list(c)).view(np.int64) for c in found]
+        return pa.StructArray.from_arrays([pa.array(hashed, kinds[0]), pa.array([list(c.values()) for c in found], kinds[1])], ["terms", "counts"])
 
     got = sample.select("id", "y", counted("text").alias("c")).select("id", "y", "c.terms", "c.counts").toArrow().sort_by("id")  # at most max_labelled rows
     ids, y = got["id"].to_numpy(), got["y"].to_numpy()
     sizes = np.array(pc.list_value_length(got["terms"]), np.int64)
     counts = pc.list_flatten(got["counts"]).to_numpy()
-    words = pc.list_flatten(got["terms"]).combine_chunks().dictionary_encode()
+    vocabulary, cols = np.unique(pc.list_flatten(got["terms"]).to_numpy().view(np.uint64), return_inverse=True)
     del got
-    words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
-    cols, vocabulary = words.indices.to_numpy(), words.dictionary.to_pylist()
-    del words
     pa.default_memory_pool().release_unused()
     held = sizes > 0
     rows = np.repeat(np.arange(int(held.sum()), dtype=np.int32), sizes[held])
@@ -277,6 +386,21 @@ def fit_whole(sample: DataFrame) -> Index:
     return index_of(ids[held], rows, cols, counts, y[held], vocabulary, np.bincount(cols, minlength=len(vocabulary)), n, base, whole=True)
 
 
+def bounded(sample: DataFrame, most: int = MAX_CHARACTERS) -> DataFrame:
+    """The rows of ``sample`` (id, text, y), in the order of a hash of the id, until their texts have ``most`` characters."""
+    sizes = sample.select(F.col("id"), F.length("text").alias("n")).collect()  # at most max_labelled rows of two numbers
+    if sum(r["n"] or 0 for r in sizes) <= most:
+        return sample
+    spark, total, kept = sample.sparkSession, 0, []
+    for r in sample.select("id", F.xxhash64(F.col("id").cast("string")).alias("h"), F.length("text").alias("n")).orderBy("h", "id").collect():
+        total += r["n"] or 0
+        if total > most:
+            break
+        kept.append((r["id"],))
+    chosen = spark.createDataFrame(kept, sample.select("id").schema)
+    return sample.join(F.broadcast(chosen), "id", "left_semi")
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str, id: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED, max_terms: int | None = MAX_TERMS) -> Index:
     """An index learnt from at most ``max_labelled`` rows of ``labels`` (id, label); over all terms if ``max_terms`` is None."""
 
@@ -286,9 +410,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, id: str = "doc_id", text
     def distinct_terms(texts: pa.Array) -> pa.Array:
         return pa.array([sorted(set(terms(t.as_py()))) for t in texts], type=pa.list_(pa.string()))
 
-    sample = labelled_sample(docs, labels, label, max_labelled, id, text)
+    sample = labelled_sample(docs, labels, label, max_labelled, id, text).withColumnRenamed(id, "id")
+    sample = bounded(written(sample, "toxicity-labelled"))
     # Copies of a text are one example, with the label most of them have.
-    copies = sample.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.min(id).alias("id"), F.round(F.avg("y")).cast("int").alias("y"))
+    copies = sample.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.min("id").alias("id"), F.round(F.avg("y")).cast("int").alias("y"))
     if max_terms is None:
         return fit_whole(copies)
     sample = written(copies.select("id", "y", "text", distinct_terms("text").alias("terms")), "toxicity-sample")
@@ -324,8 +449,7 @@ def score_texts(texts: Column, index, evidence: bool = False) -> Column:
     @F.arrow_udf("struct<score:double,nearest:array<struct<id:bigint,cosine:double>>>")
     def scored(batch: pa.Array) -> pa.Array:
         out = []
-        for t in batch:
-            s, near = index.value.score(t.as_py())
+        for s, near in index.value.scores(batch.to_pylist()):
             out.append({"score": s, "nearest": [{"id": i, "cosine": c} for c, i in near] if evidence else []})
         return pa.array(out, type=kind)
 
