@@ -135,10 +135,10 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", rules: Sequence
         .withColumns({"rule": rule, "_rule_verdict": verdict})
         .withColumn("may_be_listed", F.when(F.col("canonical").isNull(), False).otherwise(may_be_listed(F.coalesce("canonical", F.lit("")), sent, blocks)))
     )
-    # Only possible hits meet the list.  The others have no key, join nothing, and are spread over the tasks.
-    hit = F.col("may_be_listed")
-    rows = rows.withColumn("_key", F.when(hit, F.col("canonical"))).withColumn("_spread", F.when(hit, F.lit(-1).cast("bigint")).otherwise(F.monotonically_increasing_id()))
-    list_side = listed.select(F.col("canonical").alias("_key"), F.lit(-1).cast("bigint").alias("_spread"), F.lit(True).alias("listed"))
-    joined = rows.join(list_side, ["_key", "_spread"], "left")
+    # Only possible hits meet the list.  The others get a key of their own, which no listed URL has (one begins
+    # with its host, not with a slash), so the exchange spreads them over all tasks.
+    own_key = F.concat(F.lit("/"), F.monotonically_increasing_id().cast("string"))
+    rows = rows.withColumn("_key", F.when(F.col("may_be_listed"), F.col("canonical")).otherwise(own_key))
+    joined = rows.join(listed.select(F.col("canonical").alias("_key"), F.lit(True).alias("listed")), "_key", "left")
     is_listed = F.coalesce(F.col("listed"), F.lit(False))
-    return joined.withColumn("listed", is_listed).withColumn("verdict", F.coalesce("_rule_verdict", F.when(F.col("listed"), "block").otherwise("allow"))).drop("_key", "_spread", "_rule_verdict")
+    return joined.withColumn("listed", is_listed).withColumn("verdict", F.coalesce("_rule_verdict", F.when(F.col("listed"), "block").otherwise("allow"))).drop("_key", "_rule_verdict")
