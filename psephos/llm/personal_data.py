@@ -10,16 +10,23 @@ that hold the term, n(e,t) texts with both and N texts, a term discloses
 
 bits that name the entity.  From ``GENERALISE`` of that information on, a term
 is generalised to its shape, from ``REMOVE`` on it is removed; either is a span
-of kind ``term``.  A term needs ``SUPPORT`` texts with the entity as evidence.
-A disclosing term is treated wherever it stands outside base spans, also in
-texts without the entity; where it discloses several, the stricter holds.
+of kind ``term``.  A disclosing term is treated wherever it stands outside base
+spans, also in texts without the entity; where it discloses several, the
+stricter holds.
 
-All counts run over all rows (repeated rows count each).  Null and empty texts
+Copies are no evidence of their own: N and n(t) count distinct texts, and n(e)
+and n(e,t) count groups of near-duplicates (five-word shingles, 0.8) among the
+texts with an entity.  A term needs ``SUPPORT`` groups with the entity, and their
+number must be beyond chance: the chance that n(e,t) or more of n(e) texts hold
+the term, bounded from above, times the terms tested for the entity, is at most ``CHANCE``.
+
+All counts run over all rows.  Null and empty texts
 have no span.  Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -31,9 +38,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from psephos.llm.common import attach, hot_limit, ship, written
+from psephos.llm.near_dedup import near_duplicates
 
 KINDS = ("email", "ip", "card", "phone", "term")
-SUPPORT, GENERALISE, REMOVE = 2, 0.9, 0.98
+SUPPORT, GENERALISE, REMOVE, CHANCE = 2, 0.9, 0.98, 0.01
 #: Terms whose counts a task keeps before it hands them on.
 TERMS_HELD = 300_000
 #: Bits of the filter of disclosing terms: so many a term, and at least and at most (32 MB).
@@ -164,17 +172,21 @@ def _term_filter(telling: DataFrame) -> np.ndarray:
     return out
 
 
+def _in_filter(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """False only for hashes that were not put in."""
+    at = hashes & (len(words) * 64 - 1)
+    return (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+
 def _scan_column(column: Column, sent) -> Column:
     """Base spans, and the places of the terms that pass the filter (``sent`` is a broadcast of it)."""
 
     @F.arrow_udf(BOTH)
     def scan(texts: pa.Array) -> pa.Array:
         words = sent.value
-        last = len(words) * 64 - 1
 
         def wanted(hashes: list[int]) -> list[bool]:
-            at = np.array(hashes, np.int64) & last
-            return ((words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0).tolist()
+            return _in_filter(words, np.array(hashes, np.int64)).tolist()
 
         spans, near = [], []
         for t in texts:
@@ -206,35 +218,67 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(held)
 
 
-def find_personal_data(docs: DataFrame, text: str = "text", out: str = "personal_spans") -> DataFrame:
-    """``docs`` without its text, with ``out``: spans (kind, start, end, action) by kind, then start.
+def _distinct_texts(column: Column, docs: DataFrame) -> tuple[int, DataFrame]:
+    """The number of distinct texts that are not empty, and (t, n): how many of them hold each term.
 
-    ``action`` is null for base kinds, ``generalise`` or ``remove`` for terms.
-    A column named ``out`` is replaced.
+    Only texts that may have a copy (a filter of bounded size, of the digests found twice, says so) meet their copies.
     """
+    texts = docs.select(column.alias("text")).where(F.length("text") > 0).withColumns({"d": F.xxhash64("text"), "e": F.xxhash64("text", F.lit(1))})
+    digests = written(texts.groupBy("d", "e").agg(F.count(F.lit(1)).alias("k")), "text-digests")
+    sent = docs.sparkSession.sparkContext.broadcast(_term_filter(digests.where(F.col("k") > 1).select(F.col("d").alias("t"))))
+
+    @F.arrow_udf("boolean")
+    def may_have_copy(d: pa.Array) -> pa.Array:
+        return pa.array(_in_filter(sent.value, d.to_numpy()))
+
+    marked = texts.withColumn("copied", may_have_copy("d"))
+    copied = marked.where("copied").groupBy("d", "e").agg(F.first("text").alias("text"))
+    counted = [x.select("text").mapInArrow(_count_terms, "t long, n long") for x in (marked.where(~F.col("copied")), copied)]
+    return digests.count(), counted[0].unionByName(counted[1]).groupBy("t").agg(F.sum("n").alias("n_t"))
+
+
+def disclosures(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(e, t, n_e, n_et, n_t, share, action): the terms that disclose an entity, both as hashes; counts as in the module's text."""
     ship(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in (text, out)]
     column = F.col(f"`{text}`")
     # Texts with entities only: few hold any.
-    mentions = written(
-        docs.select(_mentions(column).alias("m")).select("m.*").where(F.size("es") > 0).select(F.monotonically_increasing_id().alias("row"), "es", "ts"),
-        "mentions",
-    )
-    rows = docs.count()
-    by_e = mentions.select("row", F.explode("es").alias("e"))
-    # No term can have SUPPORT texts with an entity that has fewer.
-    n_e = by_e.groupBy("e").agg(F.count("row").alias("n_e")).where(F.col("n_e") >= SUPPORT)
-    often = attach(mentions.select(F.explode("es").alias("e"), "ts"), n_e.withColumn("size", F.col("n_e")), "e", "size", hot_limit(rows)).where(F.col("n_e").isNotNull())
-    pairs = often.select("e", "n_e", F.explode("ts").alias("t")).groupBy("e", "t").agg(F.count("t").alias("n_et"), F.first("n_e").alias("n_e")).where(F.col("n_et") >= SUPPORT)
-    n_t = docs.select(column).mapInArrow(_count_terms, "t long, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
-    information = F.log2(F.lit(float(rows)) / F.col("n_e"))
-    disclosed = F.log2(F.col("n_et") * F.lit(float(rows)) / (F.col("n_e") * F.col("n_t")))
+    mentions = docs.select(column.alias("text"), _mentions(column).alias("m")).where(F.size("m.es") > 0)
+    mentions = written(mentions.select(F.monotonically_increasing_id().alias("row"), "text", "m.es", "m.ts"), "mentions")
+    groups = near_duplicates(mentions, id="row", size=5, percent=80).select("row", F.col("component_id").alias("group"))
+    groups = written(mentions.select("row", "es", "ts").join(groups, "row"), "mention-groups")
+    n, n_t = _distinct_texts(column, docs)
+    rows = groups.count()
+    by_e = groups.select("group", F.explode("es").alias("e"), F.size("ts").alias("tested"))
+    # No term can have SUPPORT groups with an entity that has fewer.
+    n_e = by_e.groupBy("e", "group").agg(F.max("tested").alias("tested")).groupBy("e").agg(F.count("group").alias("n_e"), F.sum("tested").alias("tested"))
+    n_e = written(n_e.where(F.col("n_e") >= SUPPORT).withColumn("size", F.col("n_e")), "entities")
+    often = attach(groups.select("group", F.explode("es").alias("e"), "ts"), n_e, "e", "size", hot_limit(rows)).where(F.col("n_e").isNotNull())
+    pairs = often.select("e", "n_e", "tested", "group", F.explode("ts").alias("t")).groupBy("e", "t", "group").agg(F.first("n_e").alias("n_e"), F.first("tested").alias("tested"))
+    pairs = pairs.groupBy("e", "t").agg(F.count("group").alias("n_et"), F.first("n_e").alias("n_e"), F.first("tested").alias("tested")).where(F.col("n_et") >= SUPPORT)
+    every = F.lit(float(max(n, 1)))
+    information = F.log2(every / F.col("n_e"))
+    disclosed = F.log2(F.col("n_et") * every / (F.col("n_e") * F.col("n_t")))
     share = F.when(information > 0, disclosed / information).otherwise(0.0)
+    # At least n_et of n_e texts, each with a chance of n_t / N: at most exp(n_e H(n_et / n_e)) (n_t / N) ** n_et.
+    part = F.col("n_et") / F.col("n_e")
+    entropy = F.when(part < 1, -(part * F.log(part) + (1 - part) * F.log(1 - part))).otherwise(0.0)
+    chance = F.col("n_e") * entropy + F.col("n_et") * F.log(F.col("n_t") / every) + F.log(F.col("tested"))
     action = F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise")
-    telling = written(
-        pairs.join(n_t, "t").withColumn("share", share).where(F.col("share") >= GENERALISE).groupBy("t").agg(F.max(action).alias("action"), F.max("n_t").alias("n_t")),
-        "telling-terms",
-    )
+    told = pairs.join(n_t, "t").withColumn("share", share).where((F.col("share") >= GENERALISE) & (chance <= math.log(CHANCE)))
+    return told.select("e", "t", "n_e", "n_et", "n_t", "share", action.alias("action"))
+
+
+def find_personal_data(docs: DataFrame, text: str = "text", out: str = "personal_spans", keep_text: bool = False) -> DataFrame:
+    """``docs`` (without its text, unless ``keep_text``) with ``out``: spans (kind, start, end, action) by kind, then start.
+
+    ``action`` is null for base kinds, ``generalise`` or ``remove`` for terms.
+    A column named ``out`` is replaced.
+    """
+    ship(docs.sparkSession)
+    kept = [c for c in docs.columns if c != out and (keep_text or c != text)]
+    column = F.col(f"`{text}`")
+    telling = written(disclosures(docs, text).groupBy("t").agg(F.max("action").alias("action"), F.max("n_t").alias("n_t")), "telling-terms")
+    rows = docs.count()
     sent = docs.sparkSession.sparkContext.broadcast(_term_filter(telling))
     found = written(
         docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("own") if kept else F.lit(None).alias("own"), F.monotonically_increasing_id().alias("row"), _scan_column(column, sent).alias("s"))
@@ -264,6 +308,32 @@ def sanitise(text: str, spans: list[dict]) -> str:
     return "".join([*out, text[at:]])
 
 
+def sanitised(text: Column, spans: Column) -> Column:
+    """The same as a column, over the spans of ``find_personal_data``; a null text stays null."""
+
+    def step(acc: Column, s: Column) -> Column:
+        first = F.substring(text, s["start"] + 1, F.lit(1))
+        shape = F.when(first != F.lower(first), "[NAME]").otherwise("[WORD]")
+        mask = F.when(s["action"] == "generalise", shape).when(s["action"] == "remove", "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        kept = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
+        fresh = s["start"] >= acc["at"]
+        return F.struct(F.when(fresh, F.concat(acc["done"], kept, mask)).otherwise(acc["done"]).alias("done"), F.when(fresh, s["end"]).otherwise(acc["at"]).alias("at"))
+
+    by_start = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
+    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
+    whole = F.aggregate(by_start, start, step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
+
+
+def sanitise_documents(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with its texts sanitised: base spans become their kind, terms that disclose an entity their shape, or nothing."""
+    spans = "spans"
+    while spans in docs.columns:
+        spans += "_"
+    found = find_personal_data(docs, text, out=spans, keep_text=True)
+    return found.withColumn(text, sanitised(F.col(f"`{text}`"), F.col(spans))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def spans_by_kind(spans: Column) -> Column:
     """The base spans alone."""
     return F.filter(spans, lambda s: s["kind"] != "term")

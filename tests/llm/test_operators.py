@@ -192,8 +192,9 @@ def test_personal_data(spark, odd, none):
 def test_personal_data_in_whole_texts(spark):
     """Terms far from a mention disclose it, letters and digits alike, and are treated in texts without it too."""
     far = " ".join(["the club wrote about other things again"] * 20)
-    rows = [(i, f"jo@x.org {far} Zanzibar about zanzibar77", "", "", 0) for i in range(12)]
-    rows += [(20, f"{far} ZANZIBAR", "", "", 0)] + [(30 + i, far, "", "", 0) for i in range(200)]
+    # Texts of their own: copies would be one piece of evidence.
+    rows = [(i, f"jo@x.org {far} Zanzibar about zanzibar77 one{i} two{i} three{i} four{i}", "", "", 0) for i in range(12)]
+    rows += [(20, f"{far} ZANZIBAR", "", "", 0)] + [(30 + i, f"{far} page{i}", "", "", 0) for i in range(200)]
     got = rows_of(personal_data.find_personal_data(spark.createDataFrame(rows, SCHEMA)))
     texts = {r[0]: r[1] for r in rows}
     marks = {i: [(s["kind"], texts[i][s["start"] : s["end"]], s["action"]) for s in got[i]["personal_spans"]] for i in texts}
