@@ -24,8 +24,9 @@ sets is at least ``percent`` / 100.
    shingles: the text that the others are copies of.  A round's pairs are
    verified, the links it finds are
    contracted to components, and the next round takes ``GROWTH`` times as
-   many leaders, up to ``MOST_LEADERS``.  A bucket whose members are in one component is done; the rounds
-   end when all are.  So no pair is skipped but those that the bounds rule out, and those whose ends a chain of
+   many leaders, up to ``MOST_LEADERS``.  A bucket whose members are in one component is done; once the
+   pairs of all others are few for the number of documents (``PAIRS_A_ROW``), the last round takes
+   every member as a leader.  So no pair is skipped but those that the bounds rule out, and those whose ends a chain of
    links already joins, and a bucket of n copies costs about n pairs.
 5. A pair's signatures are compared in batches; after each, it is given up if
    the posterior chance (uniform prior) that its similarity reaches the
@@ -57,6 +58,8 @@ VERIFY, BATCH, MISS = 64, 16, 1e-7
 #: Leaders of a bucket in the first round, growth by round, and the most (under Spark's limit for a window's group limit).
 LEADERS, GROWTH, MOST_LEADERS = 4, 4, 512
 PEELS, SALTS = 2, 32
+#: Pairs of members to look at for each document (and at least), up to which all buckets are done in one round.
+PAIRS_A_ROW, LEAST_PAIRS = 1_000, 10_000_000
 _rng = np.random.Generator(np.random.PCG64(20))
 _A = _rng.integers(1, 1 << 63, VERIFY + MOST_BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, VERIFY + MOST_BANDS * ROWS, np.uint64)
@@ -238,7 +241,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     ship(docs.sparkSession)
     texts = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).where(F.col("id").isNotNull())
     made = written(texts.select("id", _features(F.col("text"), size, bands_for(percent)).alias("f")).select("id", "f.*"), "near-features")
-    limit = hot_limit(made.count())
+    rows = made.count()
+    limit, limit_pairs = hot_limit(rows), max(LEAST_PAIRS, PAIRS_A_ROW * rows)
     classes = made.where(F.col("n") > 0).groupBy("digest").agg(F.min("id").alias("rep"), F.count("id").alias("rows")).where(F.col("rows") > 1)
     classes = written(classes, "near-classes")
     # A class is a member of each of its buckets once, whatever its copies.
@@ -258,14 +262,18 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
         state = _state(buckets, known, limit)
         if state.isEmpty():
             break
-        first = _leaders(state, leaders)
+        # Not in the first round: most pairs within a cluster go once its members are one component.
+        every = leaders > LEADERS and state.agg(F.sum("size")).first()[0] <= limit_pairs  # the sum of the squares of the buckets' sizes
+        first = _leaders(state, None if every else leaders)
         found = _links(_pairs(state, first, percent), signatures, sets, percent)
-        last = written(first.groupBy("key").agg(F.max("at").alias("last"), F.max("size").alias("size")), "near-last")
-        rest = attach(state, last, "key", "size", limit).where(F.struct("r", "id") > F.struct("last.r", "last.id"))
-        buckets = rest.select("key", "id", "n", "c", "r")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             known = components(links)
+        if every:
+            break
+        last = written(first.groupBy("key").agg(F.max("at").alias("last"), F.max("size").alias("size")), "near-last")
+        rest = attach(state, last, "key", "size", limit).where(F.struct("r", "id") > F.struct("last.r", "last.id"))
+        buckets = rest.select("key", "id", "n", "c", "r")
         leaders = min(leaders * GROWTH, MOST_LEADERS)
     joined = attach(made.select("id", "n", "digest"), classes, "digest", "rows", limit)
     joined = joined.select("id", "n", F.coalesce("rep", "id").alias("rep"))
@@ -292,8 +300,10 @@ def _state(buckets: DataFrame, known: DataFrame | None, limit: int) -> DataFrame
     return written(state.select("key", "id", "n", "c", "r", "component", F.col("members").alias("size"), salts.alias("salts")), "near-state")
 
 
-def _leaders(state: DataFrame, leaders: int) -> DataFrame:
-    """The first members of every bucket; the greatest share of shared shingles first, then the smallest id."""
+def _leaders(state: DataFrame, leaders: int | None) -> DataFrame:
+    """The first members of every bucket (None: all); the greatest share of shared shingles first, then the smallest id."""
+    if leaders is None:
+        return state.withColumn("at", F.struct("r", "id"))
     place = F.row_number().over(Window.partitionBy("key").orderBy("r", "id"))
     first = state.withColumn("place", place).where(F.col("place") <= leaders)
     return written(first.select("key", "id", "n", "c", "component", "size", "salts", F.struct("r", "id").alias("at")), "near-leaders")

@@ -54,10 +54,13 @@ def run(spark, texts, monkeypatch, **more):
     return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows}, sum(made)
 
 
-@pytest.mark.parametrize("size,percent", [(3, 85), (5, 80)])
-def test_large_cluster_and_template(spark, monkeypatch, size, percent):
+@pytest.mark.parametrize("size,percent,at_once", [(3, 85, True), (5, 80, False)])
+def test_large_cluster_and_template(spark, monkeypatch, size, percent, at_once):
     """300 copies of one text, many of them too far off, 300 texts of a template, and mixed ones, with hot buckets from 20 members on."""
     monkeypatch.setattr(near_dedup, "hot_limit", lambda rows: 20)
+    if not at_once:  # rounds of leaders to the end
+        monkeypatch.setattr(near_dedup, "PAIRS_A_ROW", 0)
+        monkeypatch.setattr(near_dedup, "LEAST_PAIRS", 0)
     rng = random.Random(9)
     texts = dict(enumerate([*cluster(rng, 300, 12), *template(rng, 300), *mixed(rng, 60)]))
     got, pairs = run(spark, texts, monkeypatch, size=size, percent=percent)
@@ -82,6 +85,8 @@ def test_pairs_grow_with_the_cluster(spark, monkeypatch):
 
 def test_many_leaders(spark, monkeypatch):
     """With few leaders a round, later rounds still compare every pair that the bounds leave."""
+    monkeypatch.setattr(near_dedup, "PAIRS_A_ROW", 0)
+    monkeypatch.setattr(near_dedup, "LEAST_PAIRS", 0)
     monkeypatch.setattr(near_dedup, "LEADERS", 1)
     monkeypatch.setattr(near_dedup, "GROWTH", 2)
     monkeypatch.setattr(near_dedup, "MOST_LEADERS", 3)

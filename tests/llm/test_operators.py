@@ -175,6 +175,27 @@ def test_decontamination_in_passes(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i, _ in items}
 
 
+def test_passes_change_no_weight(spark, monkeypatch):
+    """Items that share much of their words, near the threshold: the same rows in one pass and in many, in any order."""
+    rng = random.Random(12)
+    stock = [" ".join(str(rng.randrange(30)) for _ in range(6)) for _ in range(9)]
+    items = [(i, " ".join(rng.choice(stock) for _ in range(4))) for i in range(40)]
+    texts = []
+    for i in range(160):
+        words = items[i % 40][1].split()
+        for _ in range(rng.randint(0, 2)):
+            words[rng.choice([0, 1, len(words) - 1, rng.randrange(len(words))])] = "z"
+        texts.append((i, "a b " + " ".join(words) + " c", "", "", 0))
+    bench, docs = spark.createDataFrame(items, "item_id int, text string"), spark.createDataFrame(texts, SCHEMA)
+    rows = lambda b: sorted((r["doc_id"], r["item_id"], round(r["similarity"], 9), r["first_word"]) for r in decontamination.contaminated(docs, b).collect())
+    whole = rows(bench)
+    assert len(whole) > 40 and any(r[2] < 0.95 for r in whole)
+    for most in (60, 200):
+        monkeypatch.setattr(decontamination, "MAX_ITEM_WORDS", most)
+        assert rows(bench) == whole
+    assert rows(spark.createDataFrame(items[::-1], "item_id int, text string")) == whole
+
+
 def test_personal_data(spark, odd, none):
     """A rare word beside one person's address in several texts discloses it; a common word does not."""
     rows = [(i, f"the Zanzibar club wrote to jo@x.org about things number{i}", "", "", 0) for i in range(4)]
