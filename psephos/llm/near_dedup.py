@@ -13,8 +13,9 @@ sets is at least ``percent`` / 100.
    most ``NO_BAND``.
 3. Of the classes in buckets of two or more, the shingles that no other of
    them has are counted.  A class of n shingles with c shared ones has a
-   similarity of c / n at most to any other, and a pair overlaps in the smaller c
-   at most: both are exact bounds, so what falls short of the threshold goes
+   similarity of c / n at most to any other.  The shared ones are also counted by
+   ``PARTS`` parts of the hashes' space: a pair overlaps in the sum of the smaller
+   counts at most.  Both are exact bounds, so what falls short of the threshold goes
    without being compared.  Heavily edited copies, and texts that share only a
    template, go here, whatever the size of their bucket; it is done ``PEELS``
    times, as what is gone leaves others' shingles unshared.
@@ -57,7 +58,7 @@ ROWS, NO_BAND, MOST_BANDS = 4, 1e-9, 64
 VERIFY, BATCH, MISS = 64, 16, 1e-7
 #: Leaders of a bucket in the first round, growth by round, and the most (under Spark's limit for a window's group limit).
 LEADERS, GROWTH, MOST_LEADERS = 4, 4, 512
-PEELS, SALTS = 2, 32
+PEELS, PARTS, SALTS = 2, 32, 32
 #: Pairs of members to look at for each document (and at least), up to which all buckets are done in one round.
 PAIRS_A_ROW, LEAST_PAIRS = 1_000, 10_000_000
 _rng = np.random.Generator(np.random.PCG64(20))
@@ -154,9 +155,14 @@ def _features(texts: Column, size: int, bands: int) -> Column:
 
 
 def _sets(texts: Column, size: int) -> Column:
-    @F.arrow_udf("array<bigint>")
+    """The shingles, and how many of them are in each part."""
+    kinds = [pa.list_(pa.int64()), pa.list_(pa.int32())]
+
+    @F.arrow_udf("struct<s:array<bigint>,p:array<int>>")
     def made(batch: pa.Array) -> pa.Array:
-        return pa.array([shingle_set(t.as_py(), size).view(np.int64) for t in batch], pa.list_(pa.int64()))
+        sets = [shingle_set(t.as_py(), size).view(np.int64) for t in batch]
+        parts = [np.bincount(s & (PARTS - 1), minlength=PARTS).astype(np.int32) for s in sets]
+        return pa.StructArray.from_arrays([pa.array(sets, kinds[0]), pa.array(parts, kinds[1])], ["s", "p"])
 
     return made(texts)
 
@@ -223,17 +229,20 @@ def _crowded(members: DataFrame, limit: int) -> DataFrame:
 
 
 def _peeled(sets: DataFrame, percent: int) -> DataFrame:
-    """(id, n, c, s): of the sets, those of whose n shingles enough (c) are in another one too."""
+    """(id, n, c, v, s): of the sets, those of whose n shingles enough (c, v by part) are in another one too."""
     several = sets.groupBy("id").agg(F.count("id").alias("k")).where(F.col("k") > 1).select("id", F.lit(True).alias("several"))
     sets = written(sets.join(several, "id", "left"), "near-sets")
+    part = F.col("h").bitwiseAND(F.lit(PARTS - 1))
     for _ in range(PEELS):
         alone = sets.select("id", F.explode("s").alias("h")).groupBy("h").agg(F.count("id").alias("k"), F.min("id").alias("id")).where(F.col("k") == 1)
-        alone = alone.groupBy("id").agg(F.count("h").alias("u"))
+        alone = alone.groupBy("id").agg(F.count("h").alias("u"), *[F.count_if(part == k).alias(f"u{k}") for k in range(PARTS)])
+        alone = alone.select("id", "u", F.array(*[f"u{k}" for k in range(PARTS)]).alias("by_part"))
         # An id with several texts has no count for each of them: nothing is taken off.
         u = F.when(F.col("several"), F.lit(0)).otherwise(F.coalesce("u", F.lit(0)))
-        shared = sets.join(alone, "id", "left").select("id", "s", "several", (F.size("s") - u).alias("c"))
+        v = F.when(F.col("several") | F.col("by_part").isNull(), F.col("p")).otherwise(F.zip_with("p", "by_part", lambda x, y: (x - y).cast("int")))
+        shared = sets.join(alone, "id", "left").select("id", "s", "p", "several", (F.size("s") - u).alias("c"), v.alias("v"))
         sets = written(shared.where(100 * F.col("c") >= percent * F.size("s")), "near-shared")
-    return sets.select("id", F.size("s").alias("n"), "c", "s")
+    return sets.select("id", F.size("s").alias("n"), "c", "v", "s")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -251,9 +260,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     buckets = written(_crowded(one.select(F.explode("bands").alias("key"), "id"), limit), "near-buckets")
     # Only these classes can be linked.  (A text of a class' id may be another one, if ids repeat: the set decides.)
     near = buckets.select("id").distinct()
-    sets = texts.join(near, "id", "left_semi").select("id", _sets(F.col("text"), size).alias("s"))
+    sets = texts.join(near, "id", "left_semi").select("id", _sets(F.col("text"), size).alias("x")).select("id", "x.s", "x.p")
     sets = _peeled(written(sets.where(F.size("s") > 0), "near-sets"), percent)
-    figures = sets.select("id", "n", "c", ((F.col("n") - F.col("c")) / F.col("n")).alias("r"))
+    figures = sets.select("id", "n", "c", "v", ((F.col("n") - F.col("c")) / F.col("n")).alias("r"))
     buckets = written(_crowded(buckets.join(figures, "id"), limit), "near-buckets")
     signatures = one.select("id", "signature").join(sets.select("id"), "id", "left_semi")
     known = links = None
@@ -273,7 +282,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
             break
         last = written(first.groupBy("key").agg(F.max("at").alias("last"), F.max("size").alias("size")), "near-last")
         rest = attach(state, last, "key", "size", limit).where(F.struct("r", "id") > F.struct("last.r", "last.id"))
-        buckets = rest.select("key", "id", "n", "c", "r")
+        buckets = rest.select("key", "id", "n", "c", "v", "r")
         leaders = min(leaders * GROWTH, MOST_LEADERS)
     joined = attach(made.select("id", "n", "digest"), classes, "digest", "rows", limit)
     joined = joined.select("id", "n", F.coalesce("rep", "id").alias("rep"))
@@ -286,7 +295,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
 
 
 def _state(buckets: DataFrame, known: DataFrame | None, limit: int) -> DataFrame:
-    """Members (key, id, n, c, r) of the buckets whose members are in several components, with their component and the bucket's size."""
+    """Members (key, id, n, c, v, r) of the buckets whose members are in several components, with their component and the bucket's size."""
     if known is None:
         state = buckets.withColumn("component", F.col("id"))
     else:
@@ -297,7 +306,7 @@ def _state(buckets: DataFrame, known: DataFrame | None, limit: int) -> DataFrame
     state = attach(state, mixed, "key", "size", limit).where(F.col("members").isNotNull())
     # Members of a bucket over the limit are spread over SALTS numbers; the others keep 0.
     salts = F.when(F.col("members") > limit, F.lit(SALTS)).otherwise(F.lit(1))
-    return written(state.select("key", "id", "n", "c", "r", "component", F.col("members").alias("size"), salts.alias("salts")), "near-state")
+    return written(state.select("key", "id", "n", "c", "v", "r", "component", F.col("members").alias("size"), salts.alias("salts")), "near-state")
 
 
 def _leaders(state: DataFrame, leaders: int | None) -> DataFrame:
@@ -306,19 +315,20 @@ def _leaders(state: DataFrame, leaders: int | None) -> DataFrame:
         return state.withColumn("at", F.struct("r", "id"))
     place = F.row_number().over(Window.partitionBy("key").orderBy("r", "id"))
     first = state.withColumn("place", place).where(F.col("place") <= leaders)
-    return written(first.select("key", "id", "n", "c", "component", "size", "salts", F.struct("r", "id").alias("at")), "near-leaders")
+    return written(first.select("key", "id", "n", "c", "v", "component", "size", "salts", F.struct("r", "id").alias("at")), "near-leaders")
 
 
 def _pairs(state: DataFrame, first: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of a leader and a later member of its bucket, of other components, that the bounds leave."""
     mine = first.select(
-        "key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("component").alias("of_a"), "at",
+        "key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("v").alias("va"), F.col("component").alias("of_a"), "at",
         F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
     )
     salt = F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")
-    theirs = state.select("key", salt.alias("salt"), F.col("id").alias("b"), "n", "c", "component", F.struct("r", "id").alias("after"))
-    both = F.least("c", "ca")  # their overlap at most
-    possible = 100 * both >= percent * (F.col("n") + F.col("na") - both)
+    theirs = state.select("key", salt.alias("salt"), F.col("id").alias("b"), "n", "c", "v", "component", F.struct("r", "id").alias("after"))
+    enough = lambda overlap: 100 * overlap >= percent * (F.col("n") + F.col("na") - overlap)
+    by_part = F.aggregate(F.zip_with("v", "va", lambda x, y: F.least(x, y)), F.lit(0), lambda sum, x: sum + x)
+    possible = F.when(enough(F.least("c", "ca")), enough(by_part)).otherwise(False)  # the cheaper one first
     pairs = mine.join(theirs, ["key", "salt"]).where((F.col("at") < F.col("after")) & (F.col("component") != F.col("of_a")) & possible)
     return written(pairs.select("a", "b").distinct(), "near-pairs")
 
