@@ -82,17 +82,24 @@ def opponents(
     """
     keys = list(keys)
     ps = F.col("party_short")
-    per = (parties if parties is not None else contest_parties(enriched, keys)).select(
-        *keys, "party_short", "alliance", F.col("entries").alias("_n")
-    )
-    own = by_party.select(*keys, "party_short", F.col("entries").alias("_n")) if by_party is not None else per
-    subject = own.where(ps == party).groupBy(*keys).agg(F.sum("_n").alias("_n_subject"))
-    others = per.where((ps != party) & (ps != IND_SHORT)).join(
-        finishers(margins, []), ["party_short"], "left_semi"
-    )
+    relevant = finishers(margins, [])
+    met = (ps != party) & (ps != IND_SHORT)
+    if parties is None:
+        # One read of the entries: counts by contest, party and alliance, and beside them the subject's
+        # in the contest (a window over one row for each party of a contest, never over entries).
+        per = enriched.groupBy(*keys, "party_short", "alliance").agg(F.count(F.lit(1)).alias("_n"))
+        own = F.sum(F.when(ps == party, F.col("_n"))).over(Window.partitionBy(*keys))
+        no_key = F.lit(False)
+        for k in keys:
+            no_key = no_key | F.col(k).isNull()
+        pairs = per.where(~no_key).withColumn("_n_subject", own).where(F.col("_n_subject").isNotNull() & met).join(relevant, ["party_short"], "left_semi")
+    else:
+        per = parties.select(*keys, "party_short", "alliance", F.col("entries").alias("_n"))
+        own = by_party.select(*keys, "party_short", F.col("entries").alias("_n")) if by_party is not None else per
+        subject = own.where(ps == party).groupBy(*keys).agg(F.sum("_n").alias("_n_subject"))
+        pairs = per.where(met).join(relevant, ["party_short"], "left_semi").join(subject, keys, "inner")
     return (
-        others.join(subject, keys, "inner")
-        .groupBy("party_short", "alliance")
+        pairs.groupBy("party_short", "alliance")
         .agg(F.sum(F.col("_n") * F.col("_n_subject")).alias("contests"))
         .orderBy(F.col("contests").desc_nulls_last(), F.col("party_short").asc_nulls_last(), F.col("alliance").asc_nulls_last())
     )

@@ -43,6 +43,19 @@ def seat_totals(totals: DataFrame, scope: Sequence[str], keys: Sequence[str] = C
     return totals.groupBy(*scope).agg(F.count_distinct(*[F.col(k) for k in keys]).alias(name))
 
 
+def _contest_votes(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Votes and rows of every contest in ``totals``, one row each."""
+    return totals.groupBy(*keys).agg(F.sum("total_votes").alias("_contest_votes"), F.count(F.lit(1)).alias("_totals_rows"))
+
+
+def _seats(contest_votes: DataFrame, scope: Sequence[str], keys: Sequence[str], name: str = "_total_seats") -> DataFrame:
+    """``seat_totals`` from ``_contest_votes``: the same exchange serves both."""
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    return contest_votes.groupBy(*scope).agg(F.count_if(whole).alias(name))
+
+
 def party_summary(candidates: DataFrame, scope: Sequence[str] = PARTY_SCOPE) -> DataFrame:
     """Seats won, votes and vote share per raw party within the scope.
 
@@ -139,11 +152,8 @@ def party_contest_stats(
                 F.sum("total_votes").alias("_votes"),
             )
         )
-    contest_votes = totals.groupBy(*keys).agg(
-        F.sum("total_votes").alias("_contest_votes"), F.count(F.lit(1)).alias("_totals_rows")
-    )
     return (
-        per_contest.join(contest_votes, keys, "inner")
+        per_contest.join(_contest_votes(totals, keys), keys, "inner")
         .groupBy(*scope, *group_cols)
         .agg(
             F.count(F.lit(1)).alias("seats_contested"),
@@ -174,7 +184,7 @@ def party_performance(
     group_cols = ["party_short", "party_canonical", "alliance"]
     stats = party_contest_stats(enriched, totals, group_cols, scope, keys, parties)
     j = _with_state_share(stats, party_summary_enriched, scope)
-    j = _attach(j, seat_totals(totals, scope, keys), scope, "_total_seats")
+    j = _attach(j, _seats(_contest_votes(totals, keys), scope, keys), scope, "_total_seats")
     seat_share = pct("seats_won", "_total_seats")
     gap = F.when(
         F.col("_total_seats") > 0,
