@@ -110,10 +110,10 @@ def bands_for(percent: int) -> int:
     return n
 
 
-def signature(shingles: np.ndarray, length: int) -> np.ndarray:
-    """Minimum of each of the first ``length`` hash functions over a set (uint32)."""
+def signature(shingles: np.ndarray, length: int, first: int = 0) -> np.ndarray:
+    """Minimum of each of ``length`` hash functions, from number ``first`` on, over a set (uint32)."""
     out = np.full(length, 0xFFFFFFFF, np.uint32)
-    a, b = _A[:length, None], _B[:length, None]
+    a, b = _A[first : first + length, None], _B[first : first + length, None]
     for at in range(0, len(shingles), 2048):
         part = shingles[None, at : at + 2048]
         out = np.minimum(out, ((part * a + b) >> np.uint64(32)).min(axis=1).astype(np.uint32))
@@ -132,9 +132,9 @@ def least_matches(percent: int, n: int, miss: float = MISS) -> int:
 
 
 def _features(texts: Column, size: int, bands: int) -> Column:
-    kind = pa.struct([("n", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary())])
+    kind = pa.struct([("n", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
-    @F.arrow_udf("struct<n:bigint,digest:binary,bands:array<bigint>,signature:binary>")
+    @F.arrow_udf("struct<n:bigint,digest:binary,bands:array<bigint>>")
     def made(batch: pa.Array) -> pa.Array:
         import xxhash
 
@@ -142,18 +142,28 @@ def _features(texts: Column, size: int, bands: int) -> Column:
         for t in batch:
             s = shingle_set(t.as_py(), size)
             if not len(s):
-                out.append({"n": 0, "digest": None, "bands": [], "signature": None})
+                out.append({"n": 0, "digest": None, "bands": []})
                 continue
-            sig = signature(s, VERIFY + bands * ROWS)
+            sig = signature(s, bands * ROWS, VERIFY)
             key = np.arange(bands, dtype=np.uint64)
             for r in range(ROWS):
-                key = _mix(key * _M1 + sig[VERIFY + r :: ROWS])
-            out.append({"n": len(s), "digest": xxhash.xxh3_128_digest(s.tobytes()), "bands": key.view(np.int64), "signature": sig[:VERIFY].tobytes()})
+                key = _mix(key * _M1 + sig[r::ROWS])
+            out.append({"n": len(s), "digest": xxhash.xxh3_128_digest(s.tobytes()), "bands": key.view(np.int64)})
         return pa.array(out, type=kind)
 
     return made(texts)
 
 
+def _signatures(sets: Column) -> Column:
+    """Minimum hashes for verification, of functions that no band uses."""
+
+    @F.arrow_udf("binary")
+    def made(batch: pa.Array) -> pa.Array:
+        return pa.array([signature(s.values.to_numpy().view(np.uint64), VERIFY).tobytes() for s in batch], pa.binary())
+
+    return made(sets)
+
+
 def _sets(texts: Column, size: int) -> Column:
     """The shingles, and how many of them are in each part."""
     kinds = [pa.list_(pa.int64()), pa.list_(pa.int32())]
@@ -255,8 +265,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     classes = made.where(F.col("n") > 0).groupBy("digest").agg(F.min("id").alias("rep"), F.count("id").alias("rows")).where(F.col("rows") > 1)
     classes = written(classes, "near-classes")
     # A class is a member of each of its buckets once, whatever its copies.
-    one = attach(made.where(F.col("n") > 0).select("id", "digest", "bands", "signature"), classes, "digest", "rows", limit)
-    one = written(one.where(F.col("rep").isNull() | (F.col("rep") == F.col("id"))).dropDuplicates(["id", "digest"]).select("id", "bands", "signature"), "near-one")
+    one = attach(made.where(F.col("n") > 0).select("id", "digest", "bands"), classes, "digest", "rows", limit)
+    one = written(one.where(F.col("rep").isNull() | (F.col("rep") == F.col("id"))).dropDuplicates(["id", "digest"]).select("id", "bands"), "near-one")
     buckets = written(_crowded(one.select(F.explode("bands").alias("key"), "id"), limit), "near-buckets")
     # Only these classes can be linked.  (A text of a class' id may be another one, if ids repeat: the set decides.)
     near = buckets.select("id").distinct()
@@ -264,7 +274,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     sets = _peeled(written(sets.where(F.size("s") > 0), "near-sets"), percent)
     figures = sets.select("id", "n", "c", "v", ((F.col("n") - F.col("c")) / F.col("n")).alias("r"))
     buckets = written(_crowded(buckets.join(figures, "id"), limit), "near-buckets")
-    signatures = one.select("id", "signature").join(sets.select("id"), "id", "left_semi")
+    signatures = written(sets.select("id", _signatures(F.col("s")).alias("signature")), "near-signatures")
     known = links = None
     leaders = LEADERS
     while True:

@@ -59,3 +59,22 @@ def test_the_sample_is_bounded_in_characters(spark):
     assert toxicity.bounded(sample, 1_000).count() == 100
     few = {r["id"] for r in toxicity.bounded(sample, 305).collect()}
     assert len(few) == 30 and {r["id"] for r in toxicity.bounded(sample, 305).collect()} == few
+
+
+def test_token_counts_of_odd_rows(spark):
+    """Null, empty, long and repeated texts, an empty table, columns of any name: one count a row."""
+    import sentencepiece
+
+    from psephos.llm import piece_encoding, token_counts
+    from psephos.llm.common import ship
+    from tests.llm.test_operators import ODD
+
+    ship(spark)
+    model = piece_encoding.load_model(queries.model_path())
+    vocabulary, byte_fallback = token_counts.rank_vocabulary(model)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*ODD, *ODD])], "doc_id bigint, text string").withColumn("n_tokens", F.lit("x")).withColumn("vocabulary", F.lit(1))
+    rows = docs.select("doc_id", "vocabulary", "n_tokens", token_counts.count_tokens(F.col("text"), vocabulary, byte_fallback).alias("n")).orderBy("doc_id").collect()
+    n = [r["n"] for r in rows]
+    assert n[: len(ODD)] == n[len(ODD) :] and n[0] == n[1] == 0 and all(x > 0 for x in n[3 : len(ODD)])
+    assert docs.where("doc_id < 0").select(token_counts.count_tokens(F.col("text"), vocabulary, byte_fallback).alias("n")).count() == 0
+    assert sentencepiece.SentencePieceProcessor(model_proto=model).get_piece_size() >= len(vocabulary) > 0
