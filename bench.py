@@ -29,7 +29,15 @@ from psephos.sources.testview import contest_tables  # noqa: E402
 
 from psephos.plans.catalog import QUERIES, is_served, served_datasets  # noqa: E402
 
-SERVING_TABLES = ["contest_index", "contest_parties", "contest_places", "contest_winners"]
+SERVING_TABLES = [
+    "contest_grams",
+    "contest_index",
+    "contest_parties",
+    "contest_parties_by_party",
+    "contest_places",
+    "contest_winners",
+    "gram_counts",
+]
 
 
 def run(df) -> None:

@@ -4,7 +4,8 @@ The first call of a query with some parameters writes its rows to the shared
 folder; later calls read them back, in the same order, from any session that
 opens the same folder.  Each query keeps a number of results of its own; beyond
 it the one used longest ago goes.  A new version of the datasets starts empty
-and deletes what older ones kept.
+and deletes what older ones kept (a session still on an older version makes its
+results again).
 """
 
 from __future__ import annotations
@@ -56,6 +57,8 @@ class KeptResults:
                 path = self._kept[query].get(key)
                 if path:
                     self._kept[query].move_to_end(key)
+            if path and not fs.exists(self.spark, f"{path}/schema.json"):
+                path = None  # a session that opened a newer version deleted it
             if path is None:
                 path = self._write(query, key, make())
                 with self._lock:

@@ -260,6 +260,14 @@ def test_least_recently_used_goes(spark, tmp_out):
     assert len(runs) == 6
 
 
+def test_a_result_deleted_by_a_newer_version_is_made_again(spark, tmp_out):
+    old = KeptResults(spark, tmp_out, "v1", {"q": 2})
+    old.get("q", {}, lambda: spark.range(3)).collect()
+    KeptResults(spark, tmp_out, "v2", {"q": 2})
+    assert os.listdir(f"{tmp_out}/results") == []
+    assert old.get("q", {}, lambda: spark.range(4)).count() == 4
+
+
 def test_no_rows_are_kept_too(spark, tmp_out):
     kept = KeptResults(spark, tmp_out, "v", {"q": 2})
     none = spark.range(5).where("id > 9")
