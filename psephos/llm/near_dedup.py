@@ -57,7 +57,7 @@ from psephos.llm.common import WORD, attach, hot_limit, ship, written
 ROWS, NO_BAND, MOST_BANDS = 4, 1e-9, 64
 VERIFY, BATCH, MISS = 64, 16, 1e-7
 #: Leaders of a bucket in the first round, growth by round, and the most (under Spark's limit for a window's group limit).
-LEADERS, GROWTH, MOST_LEADERS = 4, 4, 512
+LEADERS, GROWTH, MOST_LEADERS = 1, 4, 512
 PEELS, PARTS, SALTS = 2, 32, 32
 #: Pairs of members to look at for each document (and at least), up to which all buckets are done in one round.
 PAIRS_A_ROW, LEAST_PAIRS = 1_000, 10_000_000
