@@ -44,8 +44,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 SUPPORT, GENERALISE, REMOVE, CHANCE = 2, 0.9, 0.98, 0.01
 #: Terms whose counts a task keeps before it hands them on.
 TERMS_HELD = 300_000
-#: Bits of the filter of disclosing terms: so many a term, and at least and at most (32 MB).
-BITS_PER_TERM, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
+#: Bits of the filter of disclosing terms: so many a term (so it lets few others by), and at least and at most (32 MB).
+BITS_PER_TERM, LEAST_BITS, MOST_BITS = 256, 1 << 20, 1 << 28
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
