@@ -19,6 +19,7 @@ from psephos.operators import (
     search_contests,
 )
 from psephos.operators.lookup import clean_query, contest_grams, gram_counts, pattern_grams
+from psephos.operators.matchups import finishers
 from psephos.plans import build_datasets, datasets, load_datasets
 from psephos.plans.kept import KEPT_RESULTS, KeptResults
 from psephos.plans.service import Service
@@ -135,6 +136,18 @@ def test_no_exchange_by_contest_over_written_tables(spark, served):
         assert sorted(map(str, p.collect())) == sorted(map(str, plain.collect()))
 
 
+def test_opponents_move_the_subject_alone(spark, served):
+    """The table of all parties stays in its buckets, and every finisher is one row, however many contests."""
+    _, d = served
+    margins = d["constituency_margins"]
+    assert finishers(margins, []).count() == finishers(margins, []).distinct().count() <= 25
+    with settings(spark, SORT_MERGE):
+        q = opponents(d["candidates_enriched"], margins, "N3", parties=d["contest_parties"], by_party=d["contest_parties_by_party"])
+        assert len(re.findall(BY_CONTEST, plan(q))) == 1
+        by_contest = opponents(d["candidates_enriched"], margins, "N3")
+        assert q.collect() == by_contest.collect() and len(q.collect()) > 5
+
+
 def test_one_file_a_bucket(spark, served):
     _, d = served
     for name in datasets.BUCKETED:
