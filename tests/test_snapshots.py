@@ -136,6 +136,13 @@ def test_no_exchange_by_contest_over_written_tables(spark, served):
         assert sorted(map(str, p.collect())) == sorted(map(str, plain.collect()))
 
 
+def test_buckets_grow_with_the_contests():
+    """Six times the contests are six times the buckets, not buckets of six times the rows."""
+    for contests in (2_500_000, 15_000_000):
+        assert contests / datasets.bucket_count(contests, 12) <= 25_000
+    assert datasets.bucket_count(1_000, 12) == 12
+
+
 def test_opponents_move_the_subject_alone(spark, served):
     """The table of all parties stays in its buckets, and every finisher is one row, however many contests."""
     _, d = served
