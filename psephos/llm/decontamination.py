@@ -12,9 +12,13 @@ Candidates are verified by exact weighted Jaccard similarity of the shingles
 (0.8 or more).
 
 A window without any shingle of the items has similarity 0 with all of them;
-such windows are not fingerprinted.  Nothing is shuffled: the items travel to
-the texts.  They are read in passes of at most ``MAX_ITEM_WORDS`` words, so
-what is broadcast stays bounded for a benchmark of any size.
+such windows are not fingerprinted.  The items travel to the texts, in passes
+of at most ``MAX_ITEM_WORDS`` words, so what is broadcast stays bounded for a
+benchmark of any size.  Weights come from the whole benchmark in every pass:
+those of up to ``MAX_COMMON`` shingles that several items hold are broadcast
+too, and nothing is shuffled.  Beyond that a pass is sent the weights of its own
+shingles, and each text that holds one of them gets those of its other
+shingles by a join, so no weight is left out.
 
 Null and empty texts match nothing, nor do items without words; repeated items
 count each under its id; of a text's windows the best for an item counts (the
@@ -24,20 +28,20 @@ first of equals).  Rows of ``docs`` with the same id are judged one by one.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from psephos.llm.common import WORD, ship, written
 
 SIZE, SIMILARITY, RADIUS = 5, 0.8, 19
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 4  # BLOCKS * (BLOCK_RADIUS + 1) > RADIUS
-#: Words of the items of a pass, and shingles of several items whose weights travel with it, at most.
+#: Words of the items of a pass, at most, and shingles of several items up to which the weights of all travel with it.
 MAX_ITEM_WORDS, MAX_COMMON = 2_000_000, 2_000_000
 _POP16 = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -122,6 +126,13 @@ class Items:
     by_length: dict[int, tuple[np.ndarray, list[np.ndarray], np.ndarray]]  # words: item numbers, blocks of their fingerprints, their shingles
     known: dict[str, int]  # words of the items, from 1
     hash_of: np.ndarray  # their hashes
+    n: int  # items of the whole benchmark
+    more: tuple[np.ndarray, np.ndarray] | None = None  # further common shingles, ascending, and their weights
+
+    def with_counts(self, sh: np.ndarray, held: np.ndarray) -> Items:
+        """These items where shingles ``sh``, too, are held by several: by as many as ``held``."""
+        order = np.argsort(sh)
+        return replace(self, more=(sh[order], np.log((1 + self.n) / held[order])))
 
     def may_match(self, words: list[str]) -> bool:
         """Does a text hold a shingle of the items?  Only runs of their words are hashed."""
@@ -142,10 +153,12 @@ class Items:
         return bool((self.shingle[np.minimum(np.searchsorted(self.shingle, h), len(self.shingle) - 1)] == h).any())
 
     def weights(self, sh: np.ndarray) -> np.ndarray:
-        if not len(self.common):
-            return np.full(len(sh), self.unseen)
-        at = np.minimum(np.searchsorted(self.common, sh), len(self.common) - 1)
-        return np.where(self.common[at] == sh, self.weight[at], self.unseen)
+        out = np.full(len(sh), self.unseen)
+        for common, weight in ((self.common, self.weight), *([self.more] if self.more else [])):
+            if len(common):
+                at = np.minimum(np.searchsorted(common, sh), len(common) - 1)
+                out = np.where(common[at] == sh, weight[at], out)
+        return out
 
     def similarity(self, item: int, sh: np.ndarray) -> float:
         """Weighted Jaccard similarity of an item and the shingles of a window."""
@@ -160,7 +173,7 @@ def make_items(rows: list[tuple[int, str | None]], counts: tuple[int, np.ndarray
     """Items of (id, text) rows; None if no text has a word.
 
     ``counts``: where the rows are a part of the benchmark, the number of all its items, and the shingles
-    that several of them hold (ascending) with how many.
+    that several of them hold (ascending) with how many; those of the rows at least.
     """
     words = [(i, lower_words(t)) for i, t in rows]
     known = {w: k for k, w in enumerate(sorted({w for _, ws in words for w in ws}), 1)}
@@ -171,7 +184,7 @@ def make_items(rows: list[tuple[int, str | None]], counts: tuple[int, np.ndarray
     own = [np.unique(shingles(w), return_counts=True) for _, w in words]
     every, with_it = np.unique(np.concatenate([s for s, _ in own]), return_counts=True)
     n, common, held = counts if counts else (len(words), every[with_it > 1], with_it[with_it > 1])
-    out = Items([i for i, _ in words], every, common, np.log((1 + n) / held), math.log(1 + n), own, {}, known, word_hashes(["", *known]))
+    out = Items([i for i, _ in words], every, common, np.log((1 + n) / held), math.log(1 + n), own, {}, known, word_hashes(["", *known]), n)
     lengths: dict[int, list[int]] = {}
     for k, (_, w) in enumerate(words):
         lengths.setdefault(len(w), []).append(k)
@@ -252,73 +265,127 @@ def passes(benchmark: DataFrame, id: str, text: str) -> Iterator[list[tuple[int,
     yield batch
 
 
-def item_counts(benchmark: DataFrame, text: str, most: int = MAX_COMMON) -> tuple[int, np.ndarray, np.ndarray]:
-    """Over the whole benchmark: the items with a word, and the shingles that several hold (ascending) with how many.
-
-    At most ``most`` shingles: of more, those that most items hold, down to a number that leaves so many; the
-    others count as held by one, in every pass alike.
-    """
+def _shingles_of(texts: Column) -> Column:
+    """The distinct shingles of each text."""
 
     @F.arrow_udf("array<bigint>")
     def held(texts: pa.Array) -> pa.Array:
         hashed = [word_hashes(lower_words(t.as_py())) for t in texts]
         return pa.array([np.unique(shingles(w)).view(np.int64) if len(w) else [] for w in hashed], pa.list_(pa.int64()))
 
-    each = benchmark.select(held(F.col(f"`{text}`")).alias("h")).where(F.size("h") > 0)
-    several = written(each.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1), "item-shingles")
-    least, left = 2, several.count()
-    while left > most:
-        least *= 2
-        left = several.where(F.col("k") >= least).count()
-    got = several.where(F.col("k") >= least).toArrow()
+    return held(texts)
+
+
+def item_counts(benchmark: DataFrame, text: str) -> tuple[int, DataFrame]:
+    """Over the whole benchmark: the items with a word, and the shingles ``h`` that several hold with how many, ``k`` (written)."""
+    each = benchmark.select(_shingles_of(F.col(f"`{text}`")).alias("h")).where(F.size("h") > 0)
+    several = each.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1)
+    return each.count(), written(several, "item-shingles")
+
+
+def _fetched(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``item_counts`` (a bounded number) as shingles, ascending, and numbers of items."""
+    got = counts.toArrow()
     h = got["h"].to_numpy().view(np.uint64)
     order = np.argsort(h)
-    return each.count(), h[order], got["k"].to_numpy()[order]
+    return h[order], got["k"].to_numpy()[order]
+
+
+def pass_counts(several: DataFrame, rows: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the shingles that several items hold, those of the items of one pass: as many as their words at most."""
+    held = [shingles(word_hashes(lower_words(t))) for _, t in rows]
+    own = pa.table({"h": np.unique(np.concatenate(held)).view(np.int64)}) if held else pa.table({"h": pa.array([], pa.int64())})
+    return _fetched(several.join(F.broadcast(several.sparkSession.createDataFrame(own)), "h", "left_semi"))
+
+
+def _digest(text: str) -> Column:
+    return F.sha2(F.col(f"`{text}`").cast("binary"), 256)
+
+
+def text_counts(docs: DataFrame, text: str, sent, several: DataFrame) -> DataFrame:
+    """Of the shingles that several items hold, those of each text that may match the pass ``sent``: rows of the text's
+    digest, ``_text``, and an array of (h, k), ``_held`` (written).
+
+    Copies of a text are looked up once; texts without a shingle of the pass are not shuffled.
+    """
+
+    @F.arrow_udf("boolean")
+    def may_match(texts: pa.Array) -> pa.Array:
+        items = sent.value
+        return pa.array([bool(items) and items.may_match(lower_words(t.as_py())) for t in texts], pa.bool_())
+
+    near = docs.select(_digest(text).alias("_text"), F.col(f"`{text}`").alias("t")).where(may_match("t"))
+    near = near.select("_text", _shingles_of(F.col("t")).alias("h")).groupBy("_text").agg(F.first("h").alias("h"))
+    held = near.select("_text", F.explode("h").alias("h")).join(several, "h")
+    return written(held.groupBy("_text").agg(F.collect_list(F.struct("h", "k")).alias("_held")), "text-shingles")
 
 
 def _matcher(sent):
-    """An Arrow UDF from texts to the items found; ``sent`` is a broadcast of the items."""
+    """An Arrow UDF from texts, and what ``with_weights`` found for them, to the items found; ``sent`` is a broadcast of the items."""
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int32()), ("end_word", pa.int32())]))
 
     @F.arrow_udf("array<struct<item_id:bigint,similarity:double,first_word:int,end_word:int>>")
-    def matches(texts: pa.Array) -> pa.Array:
+    def matches(texts: pa.Array, *more: pa.Array) -> pa.Array:
         items = sent.value
-        found = [find(items, t.as_py()) if items else [] for t in texts]
+        found = []
+        for i, t in enumerate(texts):
+            its = items
+            if items and more and more[0][i].is_valid:
+                got = more[0][i].values
+                its = items.with_counts(got.field("h").to_numpy().view(np.uint64), got.field("k").to_numpy())
+            found.append(find(its, t.as_py()) if items else [])
         return pa.array([[{"item_id": items.ids[k], "similarity": s, "first_word": a, "end_word": b} for k, s, a, b in f] for f in found], type=kind)
 
     return matches
 
 
-def found_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> Iterator[Column]:
-    """For each pass over the items a column: an array of (item_id, similarity, first_word, end_word).
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, longer by underscores until no column has it."""
+    while name in map(str.lower, docs.columns):
+        name = f"_{name}"
+    return name
+
+
+def found_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> Iterator[tuple[Callable[[DataFrame], DataFrame], Column]]:
+    """For each pass over the items what prepares rows of ``docs``, and a column of the prepared rows: an array of
+    (item_id, similarity, first_word, end_word).
 
     A shingle's weight comes from the whole benchmark, so the passes, and the order of its rows, change nothing.
     """
     ship(docs.sparkSession)
     send = docs.sparkSession.sparkContext.broadcast
     column = F.col(f"`{text}`")
+    key, weights = _free(docs, "_text"), _free(docs, "_held")
     batches = passes(benchmark, item_id, item_text)
     first = next(batches)
     second = next(batches, None)
     if second is None:
-        yield _matcher(send(make_items(sorted(first))))(column)
+        yield lambda rows: rows, _matcher(send(make_items(sorted(first))))(column)
         return
-    counts = item_counts(benchmark, item_text)
+    n, several = item_counts(benchmark, item_text)
+    every = _fetched(several) if several.count() <= MAX_COMMON else None
     for rows in chain((first, second), batches):
-        yield _matcher(send(make_items(sorted(rows), counts)))(column)
+        sent = send(make_items(sorted(rows), (n, *(every or pass_counts(several, rows)))))
+        if every:
+            yield lambda rows: rows, _matcher(sent)(column)
+        else:
+            held = text_counts(docs, text, sent, several).toDF(key, weights)
+            yield lambda rows, held=held: rows.join(held, _digest(text) == held[key], "left"), _matcher(sent)(column, F.col(weights))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each text and item found in it: doc_id, item_id, similarity, first_word, end_word."""
+    docs = docs.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     out = None
-    for found in found_items(docs, benchmark, text, item_id, item_text):
-        one = docs.select(F.col(f"`{id}`").alias("doc_id"), F.explode(found).alias("m")).select("doc_id", "m.*")
+    for prepared, found in found_items(docs, benchmark, "text", item_id, item_text):
+        one = prepared(docs).select("doc_id", F.explode(found).alias("m")).select("doc_id", "m.*")
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without the rows whose text holds an item."""
-    for found in found_items(docs, benchmark, text, item_id, item_text):
-        docs = docs.where(F.size(found) == 0)
-    return docs
+    kept = docs
+    for prepared, found in found_items(docs, benchmark, text, item_id, item_text):
+        kept = prepared(kept).where(F.size(found) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept

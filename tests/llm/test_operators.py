@@ -196,6 +196,31 @@ def test_passes_change_no_weight(spark, monkeypatch):
     assert rows(spark.createDataFrame(items[::-1], "item_id int, text string")) == whole
 
 
+def test_no_weight_is_left_out(spark, monkeypatch):
+    """Shingles of several items beyond what is broadcast: the same rows and similarities as in one pass."""
+    rng = random.Random(13)
+    stock = [" ".join(str(rng.randrange(30)) for _ in range(6)) for _ in range(9)]
+    items = [(i, " ".join(rng.choice(stock) for _ in range(4))) for i in range(40)] + [(40, "one two"), (41, None), (42, " ")]
+    texts = []
+    for i in range(160):
+        words = items[i % 40][1].split()
+        for _ in range(rng.randint(0, 2)):
+            words[rng.choice([0, 1, len(words) - 1, rng.randrange(len(words))])] = "z"
+        # Words before and after that are runs of other items, copies, one id on two texts.
+        texts.append((i // 2, f"{rng.choice(stock)} " + " ".join(words) + f" {rng.choice(stock)}", "", "", 0))
+    texts += [*texts[:9], (200, None, "", "", 0), (201, "", "", "", 0), (202, "one two", "", "", 0), (203, "none of them at all", "", "", 0)]
+    bench, docs = spark.createDataFrame(items, "item_id int, text string"), spark.createDataFrame(texts, SCHEMA)
+    rows = lambda: sorted((r["doc_id"], r["item_id"], round(r["similarity"], 9), r["first_word"]) for r in decontamination.contaminated(docs, bench).collect())
+    kept = lambda: sorted(map(str, decontamination.clean(docs, bench).collect()))
+    whole, left = rows(), kept()
+    assert len(whole) > 40 and any(r[2] < 0.95 for r in whole) and 3 < len(left) < len(texts)
+    assert decontamination.item_counts(bench, "text")[1].count() > 20
+    monkeypatch.setattr(decontamination, "MAX_COMMON", 5)
+    monkeypatch.setattr(decontamination, "MAX_ITEM_WORDS", 300)
+    assert rows() == whole
+    assert kept() == left
+
+
 def test_personal_data(spark, odd, none):
     """A rare word beside one person's address in several texts discloses it; a common word does not."""
     rows = [(i, f"the Zanzibar club wrote to jo@x.org about things number{i}", "", "", 0) for i in range(4)]
