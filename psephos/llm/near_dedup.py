@@ -239,7 +239,8 @@ def _crowded(members: DataFrame, limit: int) -> DataFrame:
 
 
 def _peeled(sets: DataFrame, percent: int) -> DataFrame:
-    """(id, n, c, v, s): of the sets, those of whose n shingles enough (c, v by part) are in another one too."""
+    """(id, n, c, v, s, several): of the sets, those of whose n shingles enough (c, v by part) are in another one too;
+    several: true for an id with several sets, else null."""
     several = sets.groupBy("id").agg(F.count("id").alias("k")).where(F.col("k") > 1).select("id", F.lit(True).alias("several"))
     sets = written(sets.join(several, "id", "left"), "near-sets")
     part = F.col("h").bitwiseAND(F.lit(PARTS - 1))
@@ -252,7 +253,20 @@ def _peeled(sets: DataFrame, percent: int) -> DataFrame:
         v = F.when(F.col("several") | F.col("by_part").isNull(), F.col("p")).otherwise(F.zip_with("p", "by_part", lambda x, y: (x - y).cast("int")))
         shared = sets.join(alone, "id", "left").select("id", "s", "p", "several", (F.size("s") - u).alias("c"), v.alias("v"))
         sets = written(shared.where(100 * F.col("c") >= percent * F.size("s")), "near-shared")
-    return sets.select("id", F.size("s").alias("n"), "c", "v", "s")
+    return sets.select("id", F.size("s").alias("n"), "c", "v", "s", "several")
+
+
+def _figures(sets: DataFrame) -> DataFrame:
+    """(id, n, c, v, r) of each id, r the share of its shingles that no other set has.
+
+    One row stands for all sets of an id, with the least n and the greatest c and v, so that the bounds leave a pair
+    if they leave it for any of them.
+    """
+    sets = sets.select("id", "n", "c", "v", "several")
+    v = F.array(*[F.max(F.get("v", F.lit(k))) for k in range(PARTS)])
+    many = sets.where(F.col("several")).groupBy("id").agg(F.min("n").alias("n"), F.max("c").alias("c"), v.alias("v"))
+    one = sets.where(F.col("several").isNull()).drop("several")
+    return one.unionByName(many).withColumn("r", F.greatest((F.col("n") - F.col("c")) / F.col("n"), F.lit(0.0)))
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -272,8 +286,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     near = buckets.select("id").distinct()
     sets = texts.join(near, "id", "left_semi").select("id", _sets(F.col("text"), size).alias("x")).select("id", "x.s", "x.p")
     sets = _peeled(written(sets.where(F.size("s") > 0), "near-sets"), percent)
-    figures = sets.select("id", "n", "c", "v", ((F.col("n") - F.col("c")) / F.col("n")).alias("r"))
-    buckets = written(_crowded(buckets.join(figures, "id"), limit), "near-buckets")
+    buckets = written(_crowded(buckets.join(_figures(sets), "id"), limit), "near-buckets")
     signatures = written(sets.select("id", _signatures(F.col("s")).alias("signature")), "near-signatures")
     known = links = None
     leaders = LEADERS
