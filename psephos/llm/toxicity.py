@@ -23,7 +23,11 @@ isotonic fit on leave-one-out votes.
 
 The sample has at most ``max_labelled`` rows, and with them at most
 ``MAX_CHARACTERS`` characters, so the index is bounded in bytes; what is sent to a
-worker is the terms as 64-bit hashes and the examples' weights.
+worker is the terms as 64-bit hashes and the examples' terms with their counts.
+An executor holds an index for each of its workers, so a weight in double precision
+is not kept but made of its parts (the count's logarithm, the idf, the example's
+length), which take a byte or two an entry instead of eight, and a worker fills
+the postings and the matrix by ``ENTRIES`` entries at a time.
 
 Null and empty texts, and texts without any of the terms, get the rate of
 label 1 among the sampled texts without such terms, and no evidence.
@@ -65,8 +69,8 @@ EPS = 1e-5
 GROUPS, FREQUENT_TERMS, PASSES = 16, 512, 3
 #: Answers kept in a worker before they are dropped.
 CACHE = 4_000
-#: Words a worker remembers the numbers of.
-KNOWN = 200_000
+#: Entries that are put into the postings, and rows of the matrix that are multiplied, at once.
+ENTRIES, ROWS = 100_000, 2_048
 
 
 def terms(text: str | None) -> list[str]:
@@ -132,14 +136,15 @@ class Index:
     examples: np.ndarray | None = None  # example number by place
     starts: np.ndarray | None = None  # by place: its first entry
     cols: np.ndarray | None = None  # by entry: the term, ascending within a place
-    weights: np.ndarray | None = None  # by entry
+    codes: np.ndarray | None = None  # by entry: the number of its count's logarithm in logs
+    logs: np.ndarray | None = None  # 1 + log of the counts that there are
+    lengths: np.ndarray | None = None  # by place: of the vector before it got unit length
     knots: tuple[np.ndarray, np.ndarray] | None = None
     cache: dict = field(default_factory=dict)
-    known: dict = field(default_factory=dict)
     ready: dict = field(default_factory=dict)  # what a worker derives
 
     def __getstate__(self):
-        return {**self.__dict__, "cache": {}, "known": {}, "ready": {}}
+        return {**self.__dict__, "cache": {}, "ready": {}}
 
     def vector(self, counts: dict[int, int], rest: float = 0.0) -> tuple[list[int], np.ndarray]:
         """Terms, ascending, and weights (1 + log of the count, by idf) of unit length with ``rest``, a sum of squares."""
@@ -148,19 +153,12 @@ class Index:
         return found, w / np.sqrt(w @ w + rest)
 
     def numbered(self, words: list[str]) -> np.ndarray:
-        """The terms' numbers, -1 for words that no example holds; the first ``KNOWN`` words met are remembered."""
-        known = self.known
-        out = [known.get(w) for w in words]
-        new = [i for i, t in enumerate(out) if t is None]
-        if new:
-            h = hashes([words[i] for i in new])
-            at = np.minimum(np.searchsorted(self.hashed, h), max(len(self.hashed) - 1, 0))
-            found = np.where(self.hashed[at] == h, self.numbers[at], -1).tolist() if len(self.hashed) else [-1] * len(new)
-            for i, t in zip(new, found):
-                out[i] = t
-                if len(known) < KNOWN:
-                    known[words[i]] = t
-        return np.array(out, np.int64)
+        """The terms' numbers, -1 for words that no example holds."""
+        if not len(self.hashed):
+            return np.full(len(words), -1, np.int64)
+        h = hashes(words)
+        at = np.minimum(np.searchsorted(self.hashed, h), len(self.hashed) - 1)
+        return np.where(self.hashed[at] == h, self.numbers[at], -1).astype(np.int64)
 
     def counts(self, text: str | None) -> tuple[dict[int, int], float]:
         """Counts of the terms, and the sum of squared weights of those without examples."""
@@ -184,16 +182,26 @@ class Index:
     def build(self, rows: np.ndarray, cols: np.ndarray, counts: np.ndarray) -> None:
         """Weights of the terms ``cols`` of the examples ``rows``, ascending, put in the places' order."""
         n, size = len(self.labels), len(self.idf)
-        w = (1 + np.log(counts)) * self.idf[cols]
-        w /= np.sqrt(np.bincount(rows, weights=w * w, minlength=n))[rows]
+        there = np.unique(counts)
+        self.logs = 1 + np.log(there)
+        codes = np.searchsorted(there, counts).astype(np.min_scalar_type(len(there)))
+        w = self.logs[codes] * self.idf[cols]
+        lengths = np.sqrt(np.bincount(rows, weights=w * w, minlength=n))
+        lengths[lengths == 0] = 1  # an example without terms
+        w /= lengths[rows]
         self.examples = arrange(rows, cols, w, n, size)
+        del w
         place = np.empty(n, np.int32)
         place[self.examples] = np.arange(n, dtype=np.int32)
         at = place[rows]
         order = np.lexsort((cols, at))
-        self.cols, self.weights = cols[order].astype(np.int32), w[order]
+        self.cols, self.codes, self.lengths = cols[order].astype(np.int32), codes[order], lengths[self.examples]
         self.starts = np.append(0, np.cumsum(np.bincount(at, minlength=n))).astype(np.int64)
 
+    def weights(self, places: np.ndarray, entries: np.ndarray | slice) -> np.ndarray:
+        """Weights of the ``entries``, each of the place beside it."""
+        return self.logs[self.codes[entries]] * self.idf[self.cols[entries]] / self.lengths[places]
+
     def prepared(self) -> dict:
         """Matrix and greatest weights of the dense terms, and the others' postings."""
         if not self.ready:
@@ -203,19 +211,31 @@ class Index:
             dense = np.argsort(-held, kind="stable")[:DENSE]
             column = np.full(size, -1, np.int32)
             column[dense] = np.arange(len(dense), dtype=np.int32)
-            place = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.starts))
-            of = column[self.cols]
             matrix = np.zeros((blocks * BLOCK, len(dense)), np.float32)
-            matrix[place[of >= 0], of[of >= 0]] = self.weights[of >= 0]
-            rare = np.flatnonzero(of < 0)
-            rare = rare[np.argsort(self.cols[rare], kind="stable")]
-            firsts = np.append(0, np.cumsum(np.bincount(self.cols[rare], minlength=size)))
+            held[dense] = 0
+            firsts = np.append(0, np.cumsum(held))
+            places, weights = np.empty(firsts[-1], np.min_scalar_type(n)), np.empty(firsts[-1], np.float32)
+            free = firsts[:-1].copy()
+            # Places in runs of about ENTRIES entries: a term's postings stay in the order of their places.
+            edges = np.unique(np.append(np.searchsorted(self.starts, np.arange(0, len(self.cols), ENTRIES)), n))
+            for first, end in zip(edges[:-1], edges[1:]):
+                entries = slice(self.starts[first], self.starts[end])
+                place = np.repeat(np.arange(first, end), np.diff(self.starts[first : end + 1]))
+                cols, w = self.cols[entries], self.weights(place, entries)
+                some = np.flatnonzero(column[cols] >= 0)
+                matrix[place[some], column[cols[some]]] = w[some]
+                some = np.flatnonzero(column[cols] < 0)
+                some = some[np.argsort(cols[some], kind="stable")]
+                term, sizes = np.unique(cols[some], return_counts=True)
+                at = ranges(free[term], sizes)
+                places[at], weights[at] = place[some], w[some]
+                free[term] += sizes
             self.ready = {
                 "column": column,
                 "matrix": matrix,
                 "tops": matrix.reshape(blocks, BLOCK, -1).max(axis=1) if n else matrix,
-                "places": place[rare],
-                "weights": self.weights[rare].astype(np.float32),
+                "places": places,
+                "weights": weights,
                 "firsts": firsts,
                 "query": np.zeros(size),
                 "place_of": np.argsort(self.examples),
@@ -261,7 +281,9 @@ class Index:
         floor = np.maximum(floor, 0)
         opened = np.flatnonzero((bound + EPS >= floor[:, None]).any(axis=0))
         rows = (opened[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        cosines = sums[:, rows] + x @ matrix[rows].T if len(opened) < blocks else sums + x @ matrix.T
+        cosines = np.take(sums, rows, axis=1) if len(opened) < blocks else sums  # by rows in memory, as the steps below go
+        for at in range(0, len(rows), ROWS):
+            cosines[:, at : at + ROWS] += x @ matrix[rows[at : at + ROWS]].T
         own = np.flatnonzero(left >= 0)
         at = np.searchsorted(rows, left[own])
         there = (at < len(rows)) & (rows[np.minimum(at, len(rows) - 1)] == left[own])
@@ -275,7 +297,7 @@ class Index:
             sizes = self.starts[place + 1] - self.starts[place]
             entry = ranges(self.starts[place], sizes)
             by = np.repeat(np.arange(len(place)), sizes)
-            exact = np.round(np.bincount(by, weights=r["query"][self.cols[entry]] * self.weights[entry], minlength=len(place)), 12)
+            exact = np.round(np.bincount(by, weights=r["query"][self.cols[entry]] * self.weights(place[by], entry), minlength=len(place)), 12)
             r["query"][t] = 0
             number = self.examples[place]
             best = np.lexsort((number, -exact))[:k]

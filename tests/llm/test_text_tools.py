@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import os
+import pickle
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -297,6 +299,50 @@ def test_blocks_of_whole_texts_lose_no_neighbour():
         assert all(cos[x] == pytest.approx(c) for c, x in got)
 
 
+def whole_index(n: int = 2000, size: int = 20_000, each: int = 300):
+    """An index of n examples with ``each`` of ``size`` terms, and the examples' terms."""
+    rng = np.random.default_rng(3)
+    terms = [np.sort(rng.choice(size, each, replace=False)) for _ in range(n)]
+    rows, cols = np.repeat(np.arange(n), each), np.concatenate(terms)
+    hashed = rng.permutation(np.arange(size, dtype=np.uint64))
+    counts, labels = rng.integers(1, 9, len(rows)), rng.integers(0, 2, n)
+    return toxicity.index_of(np.arange(n), rows, cols, counts, labels, hashed, np.bincount(cols, minlength=size), n, 0.5, whole=True), terms
+
+
+def test_a_worker_holds_few_bytes_an_entry():
+    """What is sent, and the most that a worker takes to load and prepare it."""
+    index, terms = whole_index()
+    entries = sum(map(len, terms))
+    sent = pickle.dumps(index, 5)
+    tracemalloc.start()
+    try:
+        pickle.loads(sent).prepared()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(sent) < 8 * entries
+    assert peak < 40 * entries
+
+
+def test_parts_of_the_index_lose_no_entry(monkeypatch):
+    """Filled and multiplied in one part or in many: the same postings, matrix and neighbours."""
+    index, terms = whole_index(700, 3000, 40)
+    queries = [index.vector({int(t): 1 + e % 3 for t in terms[e]}) for e in range(0, 700, 9)]
+    ready, near = index.prepared(), index.nearest_many(queries)
+    monkeypatch.setattr(toxicity, "ENTRIES", 100)
+    monkeypatch.setattr(toxicity, "ROWS", 96)
+    again = pickle.loads(pickle.dumps(index))
+    assert all(np.array_equal(x, ready[k]) for k, x in again.prepared().items())
+    assert again.nearest_many(queries) == near
+    held = [set(ready["places"][ready["firsts"][t] : ready["firsts"][t + 1]].tolist()) for t in range(3000)]
+    want = [set() for _ in range(3000)]
+    for e, ts in enumerate(terms):
+        for t in ts:
+            if ready["column"][t] < 0:
+                want[t].add(int(ready["place_of"][e]))
+    assert held == want
+
+
 def test_isotonic():
     x, y = toxicity.isotonic(np.array([1.0, 2, 3, 4, 4]), np.array([0.0, 1, 0, 1, 1]))
     assert list(np.interp([1, 2, 3, 4], x, y)) == [0, 0.5, 0.5, 1]
