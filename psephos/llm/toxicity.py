@@ -35,6 +35,7 @@ label 1 among the sampled texts without such terms, and no evidence.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import math
 import re
@@ -114,6 +115,12 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def runs(starts: np.ndarray) -> list[tuple[int, int]]:
+    """Runs (first, end) of rows with about ``ENTRIES`` entries; a row's first entry is at ``starts``, whose last number is their number."""
+    edges = np.unique(np.append(np.searchsorted(starts, np.arange(0, starts[-1], ENTRIES)), len(starts) - 1)).tolist()
+    return list(zip(edges[:-1], edges[1:]))
+
+
 def hashes(words) -> np.ndarray:
     import xxhash
 
@@ -184,19 +191,26 @@ class Index:
         n, size = len(self.labels), len(self.idf)
         there = np.unique(counts)
         self.logs = 1 + np.log(there)
-        codes = np.searchsorted(there, counts).astype(np.min_scalar_type(len(there)))
-        w = self.logs[codes] * self.idf[cols]
-        lengths = np.sqrt(np.bincount(rows, weights=w * w, minlength=n))
-        lengths[lengths == 0] = 1  # an example without terms
-        w /= lengths[rows]
+        starts = np.append(0, np.cumsum(np.bincount(rows, minlength=n))).astype(np.int64)
+        codes, w = np.empty(len(cols), np.min_scalar_type(len(there))), np.empty(len(cols), np.float32)
+        lengths = np.ones(n)
+        for first, end in runs(starts):
+            some = slice(starts[first], starts[end])
+            codes[some] = np.searchsorted(there, counts[some])
+            x, row = self.logs[codes[some]] * self.idf[cols[some]], rows[some] - first
+            length = np.sqrt(np.bincount(row, weights=x * x, minlength=end - first))
+            lengths[first:end] = np.where(length > 0, length, 1)  # 0: an example without terms
+            w[some] = x / lengths[first:end][row]
         self.examples = arrange(rows, cols, w, n, size)
         del w
-        place = np.empty(n, np.int32)
-        place[self.examples] = np.arange(n, dtype=np.int32)
-        at = place[rows]
-        order = np.lexsort((cols, at))
-        self.cols, self.codes, self.lengths = cols[order].astype(np.int32), codes[order], lengths[self.examples]
-        self.starts = np.append(0, np.cumsum(np.bincount(at, minlength=n))).astype(np.int64)
+        sizes = np.diff(starts)[self.examples]
+        self.starts, self.lengths = np.append(0, np.cumsum(sizes)).astype(np.int64), lengths[self.examples]
+        self.cols, self.codes = np.empty(len(cols), np.int32), np.empty_like(codes)
+        for first, end in runs(self.starts):
+            entries = ranges(starts[self.examples[first:end]], sizes[first:end])
+            entries = entries[np.lexsort((cols[entries], np.repeat(np.arange(end - first), sizes[first:end])))]
+            some = slice(self.starts[first], self.starts[end])
+            self.cols[some], self.codes[some] = cols[entries], codes[entries]
 
     def weights(self, places: np.ndarray, entries: np.ndarray | slice) -> np.ndarray:
         """Weights of the ``entries``, each of the place beside it."""
@@ -216,9 +230,7 @@ class Index:
             firsts = np.append(0, np.cumsum(held))
             places, weights = np.empty(firsts[-1], np.min_scalar_type(n)), np.empty(firsts[-1], np.float32)
             free = firsts[:-1].copy()
-            # Places in runs of about ENTRIES entries: a term's postings stay in the order of their places.
-            edges = np.unique(np.append(np.searchsorted(self.starts, np.arange(0, len(self.cols), ENTRIES)), n))
-            for first, end in zip(edges[:-1], edges[1:]):
+            for first, end in runs(self.starts):  # a term's postings stay in the order of their places
                 entries = slice(self.starts[first], self.starts[end])
                 place = np.repeat(np.arange(first, end), np.diff(self.starts[first : end + 1]))
                 cols, w = self.cols[entries], self.weights(place, entries)
@@ -339,10 +351,10 @@ def arrange(rows: np.ndarray, cols: np.ndarray, weights: np.ndarray, n: int, siz
     if not n:
         return np.zeros(0, np.int64)
     top = np.argsort(-np.bincount(cols, minlength=size), kind="stable")[:FREQUENT_TERMS]
-    column = np.full(size, -1)
-    column[top] = np.arange(len(top))
+    column = np.full(size, -1, np.int32)
+    column[top] = np.arange(len(top), dtype=np.int32)
     x = np.zeros((n, len(top)), np.float32)
-    held = column[cols] >= 0
+    held = np.flatnonzero(column[cols] >= 0)
     x[rows[held], column[cols[held]]] = weights[held]
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     centres = x[np.linspace(0, n - 1, GROUPS).astype(int)]
@@ -374,7 +386,7 @@ def index_of(ids, rows: np.ndarray, cols: np.ndarray, counts: np.ndarray, labels
     out.build(rows, cols, counts)
     if len(y):
         some = range(0, len(y), -(-len(y) // MAX_CALIBRATION))
-        edges = np.searchsorted(rows, np.arange(len(y) + 1))
+        edges = np.append(0, np.cumsum(np.bincount(rows, minlength=len(y))))
         of = lambda e: dict(zip(cols[edges[e] : edges[e + 1]].tolist(), counts[edges[e] : edges[e + 1]].tolist()))
         near = out.nearest_many([out.vector(of(e)) for e in some], leave=list(some))
         out.knots = isotonic(np.array([out.vote(x) for x in near]), y[some])
@@ -398,8 +410,11 @@ def fit_whole(sample: DataFrame) -> Index:
     ids, y = got["id"].to_numpy(), got["y"].to_numpy()
     sizes = np.array(pc.list_value_length(got["terms"]), np.int64)
     counts = pc.list_flatten(got["counts"]).to_numpy()
-    vocabulary, cols = np.unique(pc.list_flatten(got["terms"]).to_numpy().view(np.uint64), return_inverse=True)
-    del got
+    hashed = pc.list_flatten(got["terms"]).to_numpy().view(np.uint64)
+    vocabulary, cols = np.unique(hashed), np.empty(len(hashed), np.int32)
+    for at in range(0, len(cols), ENTRIES):
+        cols[at : at + ENTRIES] = np.searchsorted(vocabulary, hashed[at : at + ENTRIES])
+    del got, hashed
     pa.default_memory_pool().release_unused()
     held = sizes > 0
     rows = np.repeat(np.arange(int(held.sum()), dtype=np.int32), sizes[held])
@@ -408,6 +423,14 @@ def fit_whole(sample: DataFrame) -> Index:
     return index_of(ids[held], rows, cols, counts, y[held], vocabulary, np.bincount(cols, minlength=len(vocabulary)), n, base, whole=True)
 
 
+def give_back() -> None:
+    """Memory that the fit has freed goes back to the system, where the C library can do that; the driver's later stages need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def bounded(sample: DataFrame, most: int = MAX_CHARACTERS) -> DataFrame:
     """The rows of ``sample`` (id, text, y), in the order of a hash of the id, until their texts have ``most`` characters."""
     sizes = sample.select(F.col("id"), F.length("text").alias("n")).collect()  # at most max_labelled rows of two numbers
@@ -437,7 +460,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, id: str = "doc_id", text
     # Copies of a text are one example, with the label most of them have.
     copies = sample.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.min("id").alias("id"), F.round(F.avg("y")).cast("int").alias("y"))
     if max_terms is None:
-        return fit_whole(copies)
+        index = fit_whole(copies)
+        give_back()
+        return index
     sample = written(copies.select("id", "y", "text", distinct_terms("text").alias("terms")), "toxicity-sample")
     n1, n = sample.agg(F.sum("y"), F.count("y")).first()
     n1, n = int(n1 or 0), int(n)

@@ -324,6 +324,21 @@ def test_a_worker_holds_few_bytes_an_entry():
     assert peak < 40 * entries
 
 
+def test_the_driver_makes_an_index_in_parts():
+    """The most that the driver takes to make an index from flat arrays, beside these and the matrix it groups by."""
+    index, terms = whole_index()
+    n, entries = len(terms), sum(map(len, terms))
+    rows, cols = np.repeat(np.arange(n), [len(t) for t in terms]), np.concatenate(terms)
+    counts = np.full(entries, 2)
+    tracemalloc.start()
+    try:
+        index.build(rows, cols, counts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 32 * entries
+
+
 def test_parts_of_the_index_lose_no_entry(monkeypatch):
     """Filled and multiplied in one part or in many: the same postings, matrix and neighbours."""
     index, terms = whole_index(700, 3000, 40)
