@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from psephos.functions.columns import nan_to_null
+from psephos.sources.store import CODEC, shuffles_freed
 
 # Fixed values of the reference's result handling.
 PREVIEW_THRESHOLD = 25  # more rows than this -> only a sample is passed on
@@ -50,7 +51,8 @@ def store_rows(df: DataFrame, path: str) -> StoredRows:
     """Write every row of ``df`` as JSON under ``path`` in one run, which counts them on the way."""
     counted = Observation()
     placed = json_rows(df).select(F.monotonically_increasing_id().alias("place"), "json")
-    placed.observe(counted, F.count(F.lit(1)).alias("total")).write.mode("overwrite").parquet(path)
+    with shuffles_freed(df.sparkSession):
+        placed.observe(counted, F.count(F.lit(1)).alias("total")).write.mode("overwrite").option("compression", CODEC).parquet(path)
     rows = df.sparkSession.read.schema("place bigint, json string").parquet(path).orderBy("place").select("json")
     return StoredRows(rows, counted.get["total"])
 

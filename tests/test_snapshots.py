@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import random
 import re
+import time
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,6 +27,7 @@ from psephos.plans.kept import KEPT_RESULTS, KeptResults
 from psephos.plans.service import Service
 from psephos.sources import fs
 from psephos.sources.snapshots import SnapshotStore
+from psephos.sources.store import shuffles_freed
 from psephos.sources.testview import contest_tables
 from tests.conftest import SMOKE
 from tests.helpers import as_dicts, candidates_df, entry, party_map_df, totals_from
@@ -356,3 +359,60 @@ def test_head_to_head_under_two_names(spark):
     for parties in (None, contest_parties(ce)):
         got = [(r["ac_no"], r["ac_name"], r["p1_votes"], r["p2_votes"], r["actual_winner"]) for r in head_to_head(ce, "ALP", "BET", parties=parties).collect()]
         assert got == want
+
+
+# ----------------------------------------------------------------------- disk
+
+
+def shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ")
+    return {b for b in blocks.split() if b.startswith("shuffle_")}
+
+
+def left(spark, before):
+    """Shuffle files that are there now and were not before (they are deleted in the background)."""
+    until = time.time() + 20
+    while (now := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    return now
+
+
+FREES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmp_out):
+    before, set_to = shuffle_files(spark), spark.conf.get(FREES)
+    b = SnapshotStore(spark, tmp_out).begin()
+    df = spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count()
+    for name, how in {"plain": {}, "ranges": {"range_by": ["k"]}, "buckets": {"bucket_by": ["k"], "buckets": 3}}.items():
+        b.write(name, df, **how)
+        assert not left(spark, before), name
+    assert spark.conf.get(FREES) == set_to
+    b.publish()
+    assert [t.count() for t in SnapshotStore(spark, tmp_out).load().values()] == [100, 100, 100]
+
+
+def test_a_build_leaves_no_shuffle_files(spark, tmp_out):
+    rows = [entry("S", ac, sn, f"P{sn % 5}", ac + sn) for ac in range(1, 30) for sn in range(1, 7)]
+    candidates, totals, party_map = candidates_df(spark, rows), totals_from(spark, rows), party_map_df(spark)
+    before = shuffle_files(spark)
+    built = build_datasets(candidates, totals, party_map, out_dir=tmp_out, register=False)
+    assert not left(spark, before)
+    files = [f for name in ("candidates", "contest_parties", "contest_grams") for f in built[name].inputFiles()]
+    codecs = {pq.ParquetFile(f.removeprefix("file:")).metadata.row_group(0).column(0).compression for f in files}
+    assert codecs == {"ZSTD"}
+
+
+def test_freeing_ends_with_the_last_of_several_callers(spark):
+    set_to = spark.conf.get(FREES)
+    with shuffles_freed(spark):
+        with shuffles_freed(spark):
+            assert spark.conf.get(FREES) == "true"
+        assert spark.conf.get(FREES) == "true"
+    assert spark.conf.get(FREES) == set_to
+
+
+def test_the_view_keeps_no_steps(spark):
+    t = contest_tables(spark, SMOKE)
+    base = os.path.dirname(os.path.dirname(t.candidates.inputFiles()[0].removeprefix("file:")))
+    assert [n for n in sorted(os.listdir(base)) if not n.startswith(".")] == ["ac_totals", "candidates"]
