@@ -3,7 +3,7 @@
 from psephos.operators.enrich import enrich, enrich_summary
 from psephos.operators.lookup import contest_detail, contest_grams, gram_counts, search_contests
 from psephos.operators.margins import close_contests, contest_margins
-from psephos.operators.matchups import contest_parties, contest_winner_party, finishers, head_to_head, opponents, relevant_parties
+from psephos.operators.matchups import contest_parties, contest_parties_dealt, contest_winner_party, finishers, head_to_head, opponents, relevant_parties
 from psephos.operators.nota import nota_by_contest, nota_summary
 from psephos.operators.positions import contest_places, party_profile, party_profiles
 from psephos.operators.summary import (
@@ -28,6 +28,7 @@ __all__ = [
     "close_contests",
     "contest_margins",
     "contest_parties",
+    "contest_parties_dealt",
     "contest_winner_party",
     "finishers",
     "head_to_head",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from psephos.operators import (
     contest_margins,
     contest_parties,
+    contest_parties_dealt,
     enrich,
     head_to_head,
     opponents,
@@ -416,3 +417,33 @@ def test_the_view_keeps_no_steps(spark):
     t = contest_tables(spark, SMOKE)
     base = os.path.dirname(os.path.dirname(t.candidates.inputFiles()[0].removeprefix("file:")))
     assert [n for n in sorted(os.listdir(base)) if not n.startswith(".")] == ["ac_totals", "candidates"]
+
+
+@pytest.mark.parametrize("hot_rows", [0, 4, 5, 10**6])
+def test_dealt_parties_equal_contest_parties(spark, hot_rows):
+    rng = random.Random(5)
+    parties = ["Party Alpha", "Party Beta", "Independent", "Elsewhere", None]
+    rows = [entry("S", ac, sn, rng.choice(parties), rng.choice((None, 0, 5, 40, 900)), vote_percent=rng.choice((None, 0.0, 9.9, 10.0, 50.0, 77.7))) for ac in (1, 2, 3) for sn in range(1, 3 * ac)]
+    rows += [entry(None, 7, 1, "Party Beta", 5), entry(None, 7, 2, "Party Beta", None), entry(None, None, 1, None, 3), *[entry("S", None, sn, "Party Alpha", sn) for sn in range(9)]]
+    rows += [rows[0], rows[-1]]
+    ce = enrich(candidates_df(spark, rows), party_map_df(spark, [("Party Alpha", "Alpha Party", "ALP", "NDA"), ("Party Alpha", "Alpha Party", "ALP", "MGB"), ("Party Beta", "Beta Party", "BET", "MGB")]))
+    dealt = contest_parties_dealt(ce, 3, hot_rows=hot_rows)
+    want = contest_parties(ce)
+    assert dealt.dtypes == want.dtypes
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, want.collect()))
+    places = dealt.select("state", "ac_no", F.spark_partition_id().alias("p")).distinct().groupBy("state", "ac_no").count()
+    assert places.where("count > 1").isEmpty()  # a contest lies in one partition
+
+
+def test_parties_are_exchanged_once(spark, tmp_out):
+    """Entries go to the buckets as they are: no exchange by party before, none by bucket after."""
+    ce = enrich(candidates_df(spark, ROWS), party_map_df(spark))
+    with settings(spark, SORT_MERGE | {"spark.sql.adaptive.enabled": "false"}):
+        p = plan(contest_parties_dealt(ce, 3))
+    top = p[: p.index("REPARTITION_BY_NUM")]
+    assert top.count("Exchange") == 1 and "NestedLoop" not in p
+    b = SnapshotStore(spark, tmp_out).begin()
+    out = b.write("contest_parties", contest_parties_dealt(ce, 3), bucket_by=["state", "ac_no"], buckets=3, dealt=True)
+    files = [os.path.basename(f) for f in out.inputFiles()]
+    assert len(files) == len({re.search(r"_(\d{5})\.", f).group(1) for f in files}) <= 3
+    assert sorted(map(str, out.collect())) == sorted(map(str, contest_parties(ce).collect()))
